@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import byte_cnn, sharding
 
 
 def queries():
     return {
         "op4_sharding": sharding.query,
+        "op10_language_id": byte_cnn.query,
     }
 
 
