@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, sharding
+from . import byte_cnn, sharding, word_cnn
 
 
 def queries():
     return {
+        "op2_toxicity": word_cnn.query,
         "op4_sharding": sharding.query,
         "op10_language_id": byte_cnn.query,
     }
