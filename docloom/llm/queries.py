@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, secrets, sharding, word_cnn
+from . import byte_cnn, flac, secrets, sharding, word_cnn
 
 
 def queries():
     return {
         "op2_toxicity": word_cnn.query,
+        "op3_flac": flac.query,
         "op4_sharding": sharding.query,
         "op8_secrets": secrets.query,
         "op10_language_id": byte_cnn.query,
