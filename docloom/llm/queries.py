@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, flac, near_dup, secrets, sharding, word_cnn
+from . import byte_bpe, byte_cnn, flac, near_dup, secrets, sharding, word_cnn
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_toxicity": word_cnn.query,
         "op3_flac": flac.query,
         "op4_sharding": sharding.query,
+        "op5_byte_bpe": byte_bpe.query,
         "op6_near_dup": near_dup.query,
         "op8_secrets": secrets.query,
         "op10_language_id": byte_cnn.query,
