@@ -4,10 +4,11 @@
    stands for it.  So thousands of copies cost one row from here on.
 2. Classes that share a band key meet in a bucket.  Buckets of any size are split into blocks of about ``BLOCK`` rows,
    with a few rows common to all blocks; no task holds a bucket.
-3. Round one links each row of a block to the rows whose signatures agree best with its own, and to the block's most
-   central row: some links a row, not all pairs.  Links are confirmed on the full sets.
+3. Round one compares each row of a block with the rows whose signatures agree best with its own, and with the block's
+   most central row.  Sets cut to 16 or 24 bits an element bound the intersection from above; of the pairs that can be
+   links a spanning forest goes on, at most one link a row, to be confirmed on the full sets.
 4. The last round is what makes the result whole: wherever a bucket still spans two components, every pair across them
-   that can reach the threshold (sizes and signatures permitting) is confirmed.  Pairs inside a component need no check.
+   that can reach the threshold (sizes, signatures and cut sets permitting) is confirmed; others never leave their task.  Pairs inside a component need no check.
    A round like the first goes before it, for rows still outside their bucket's largest component.
 
 A pair at similarity s shares no band with probability (1 - s**4)**16: 7e-6 at 0.85.  Signatures are compared with a
@@ -30,7 +31,7 @@ from .common import materialize, slices, table, utf8
 from .components import connected_components
 from .superminhash import bands, set_hashes, shingles, signatures
 
-SLOTS, ROWS, BLOCK, COMMON, NEAREST = 64, 4, 1024, 16, 4
+SLOTS, ROWS, BLOCK, COMMON, NEAREST, NARROW = 64, 4, 1024, 16, 4, 1024
 STEP = 1 << 20
 
 
@@ -54,16 +55,67 @@ def signed(docs: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, elements: the sorted 64-bit shingles of each text."""
+    """node, elements (the sorted 64-bit shingles of each text) and brief (their low bits, see ``Briefs``)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, raw = utf8(batch.column(1))
             for i, j in slices(offsets, STEP):
                 e, at = shingles(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([e[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["node", "elements"])
-
-    return docs.select("node", "text").mapInArrow(apply, f"node {dict(docs.dtypes)['node']}, elements binary")
+                each = [e[at[k] : at[k + 1]] for k in range(j - i)]
+                brief = [(x & np.uint64(0xFFFF)).astype(np.uint16) if len(x) <= NARROW else (x & np.uint64(0xFFFFFF)).astype(np.uint32) for x in each]
+                columns = [batch.column(0).slice(i, j - i), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (each, brief))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", "brief"])
+
+    return docs.select("node", "text").mapInArrow(apply, f"node {dict(docs.dtypes)['node']}, elements binary, brief binary")
+
+
+class Briefs:
+    """Sets cut to 16 bits an element, or to 24 where they have more than NARROW elements."""
+
+    def __init__(self, t: pa.Table):
+        self.at, self.raw = utf8(t.column("brief"))
+        self.size = t.column("n_shingles").to_numpy()
+        self.tables = {16: np.zeros(1 << 16, bool), 24: None}
+
+    def row(self, i: int, bits: int) -> np.ndarray:
+        x = self.raw[self.at[i] : self.at[i + 1]].tobytes()
+        x = np.frombuffer(x, np.uint16 if self.size[i] <= NARROW else np.uint32)
+        return x if bits == 24 or self.size[i] <= NARROW else x & 0xFFFF
+
+    def reach(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of ``others`` may have 100 * |A & B| >= percent * |A | B| with row i: an equal pair of elements is equal when cut."""
+        out = np.zeros(len(others), bool)
+        for wide in (False, True):  # both sets wide, or cut to 16 bits
+            pick = np.flatnonzero((np.minimum(self.size[others], self.size[i]) > NARROW) == wide)
+            if not len(pick):
+                continue
+            bits = 24 if wide else 16
+            if self.tables[bits] is None:
+                self.tables[bits] = np.zeros(1 << bits, bool)
+            mine, has = self.row(i, bits), self.tables[bits]
+            has[mine] = True
+            both = np.array([np.count_nonzero(has[self.row(int(j), bits)]) for j in others[pick]])
+            has[mine] = False
+            out[pick] = 100 * both >= percent * (self.size[i] + self.size[others[pick]] - both)
+        return out
+
+
+def forest(i: np.ndarray, j: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Positions of the pairs (i, j) that join two trees, in order; trees start from equal names."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(zip(name[i].tolist(), name[j].tolist(), strict=True)):
+        if (a := root(a)) != (b := root(b)):
+            parent[a] = b
+            keep.append(k)
+    return np.array(keep, np.int64)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -109,14 +161,17 @@ def _earlier(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
     return (a == b).reshape(len(a), SLOTS // ROWS, ROWS).all(2)[:, :band].any(1) if band else np.zeros(len(a), bool)
 
 
-def nearest_links(share: float) -> callable:
-    """Some links a row, for the blocks of round one; with a column ``comp``, only links between components."""
+def nearest_links(percent: int) -> callable:
+    """A forest of likely links for each block; with a column ``comp``, only links between components."""
+    share = percent / 100
     least = share - 4.5 * (share * (1 - share) / SLOTS) ** 0.5
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
             band, node, size, sig = t.column("band").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
             comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
+            name = comp if comp is not None else node
+            briefs = Briefs(t)
             left, right = [], []
 
             def fits(i, j, agree):
@@ -129,6 +184,7 @@ def nearest_links(share: float) -> callable:
             for b in np.unique(band[two]):
                 pick = two[ok & (band[two] == b)]
                 pick = pick[~_earlier(sig[pick], sig[pick + 1], int(b))]
+                pick = pick[[bool(briefs.reach(int(x), np.array([x + 1]), percent)[0]) for x in pick]] if len(pick) else pick
                 left.append(pick)
                 right.append(pick + 1)
             for s, m in zip(starts[:-1][n > 2], n[n > 2], strict=True):
@@ -139,28 +195,35 @@ def nearest_links(share: float) -> callable:
                 ranked = np.where(ok, agree, -1)
                 hub = int(ranked.sum(1).argmax())
                 best = np.argpartition(-ranked, min(NEAREST, m - 1), 1)[:, :NEAREST] if m > NEAREST else np.tile(np.arange(m), (m, 1))
-                i = np.concatenate([np.repeat(np.arange(m), best.shape[1]), np.arange(m)])
-                j = np.concatenate([best.ravel(), np.full(m, hub)])
-                i, j = i[ok[i, j]], j[ok[i, j]]
-                i, j = np.divmod(np.unique(np.minimum(i, j) * m + np.maximum(i, j)), m)
-                i, j = rows[i], rows[j]
-                new = ~_earlier(sig[i], sig[j], int(band[s]))
-                left.append(i[new])
-                right.append(j[new])
+                best = np.concatenate([np.full((m, 1), hub), best], 1)
+                found = []
+                for i in range(m):
+                    j = np.unique(best[i][ok[i, best[i]]])
+                    j = rows[j[(j > i) | ~(best[j] == i).any(1)]]  # of two that choose each other, the first asks
+                    if len(j):
+                        found.append((rows[i], j[briefs.reach(int(rows[i]), j, percent)]))
+                i = np.concatenate([np.zeros(0, np.int64), *(np.full(len(j), i) for i, j in found)]).astype(np.int64)
+                j = np.concatenate([np.zeros(0, np.int64), *(j for _, j in found)]).astype(np.int64)
+                tree = forest(i, j, name)
+                i, j = i[tree], j[tree]
+                left.append(i)
+                right.append(j)
             i, j = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     return apply
 
 
-def all_links(share: float) -> callable:
+def all_links(percent: int) -> callable:
     """All pairs across components that can reach the threshold: rows with ``guest`` against the block's own."""
+    share = percent / 100
     least = share - 4.5 * (share * (1 - share) / SLOTS) ** 0.5
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
             band, node, size, sig = t.column("band").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
             comp, guest, stray = t.column("comp").to_numpy(), t.column("guest").to_numpy(zero_copy_only=False), t.column("stray").to_numpy(zero_copy_only=False)
+            briefs = Briefs(t)
             for s, z in zip(starts[:-1], starts[1:], strict=True):
                 guests, own = np.flatnonzero(guest[s:z]) + s, np.flatnonzero(~guest[s:z]) + s
                 for at in range(0, len(guests), 64):
@@ -173,6 +236,9 @@ def all_links(share: float) -> callable:
                     i, j = g[i], own[j]
                     new = ~_earlier(sig[i], sig[j], int(band[s]))
                     i, j = i[new], j[new]
+                    may = [briefs.reach(int(x), j[i == x], percent) for x in np.unique(i)]
+                    may = np.concatenate([np.zeros(0, bool), *may])
+                    i, j = i[may], j[may]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     return apply
@@ -222,7 +288,6 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id, kept for each row of ``docs`` (key: an integer)."""
-    share = percent / 100
     docs = docs.select(F.col(key).cast("bigint").alias("node"), "text")
     table_ = materialize(signed(docs, "node", size), "signed")
     linked = table_.where("n_shingles > 0 AND node IS NOT NULL")
@@ -234,10 +299,13 @@ def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 8
     buckets = keyed.join(shared, ["band", "key"]).join(reps.select("node", "n_shingles", "sig"), "node")
     buckets = materialize(buckets.select("band", "key", "cnt", "node", "n_shingles", "sig"), "buckets")
     met = buckets.select("node").distinct()
-    members = materialize(sets(docs.join(met, "node", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    # a merge join at every size, so that small inputs behave like large ones
+    members = materialize(sets(docs.hint("merge").join(met, "node", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    briefs = members.select("node", "brief")
 
     columns = ["band", "key", "block", "node", "n_shingles", "sig"]
-    pairs = dealt(blocks(buckets, True).select(*columns)).mapInArrow(nearest_links(share), "a bigint, b bigint").distinct()
+    rows = blocks(buckets, True).select(*columns).join(briefs, "node").select(*columns, "brief")
+    pairs = dealt(rows).mapInArrow(nearest_links(percent), "a bigint, b bigint").distinct()
     links = materialize(confirm(pairs, members, percent), "links")
     for last in (False, True):
         roots = connected_components(links)
@@ -247,13 +315,15 @@ def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 8
         main = tally.agg(F.count("*").alias("comps"), F.max(F.struct("n", F.col("comp").alias("main"))).alias("most")).where("comps > 1").select("band", "key", F.col("most.main").alias("main"))
         mixed = mixed.join(main, ["band", "key"])
         if not last:
-            pairs = dealt(blocks(mixed, True).select(*columns, "comp")).mapInArrow(nearest_links(share), "a bigint, b bigint")
+            rows = blocks(mixed, True).select(*columns, "comp").join(briefs, "node").select(*columns, "comp", "brief")
+            pairs = dealt(rows).mapInArrow(nearest_links(percent), "a bigint, b bigint")
         else:
             mixed = blocks(mixed.withColumn("stray", F.col("comp") != F.col("main")), False)
-            rows = [*columns, "comp", "guest", "stray"]
+            rows = [*columns, "comp", "brief", "guest", "stray"]
+            mixed = mixed.join(briefs, "node")
             own = mixed.withColumn("guest", F.lit(False)).withColumn("block", F.col("home")).select(*rows)
             strays = mixed.where("stray").withColumn("guest", F.lit(True)).withColumn("block", F.explode("every")).select(*rows)
-            pairs = dealt(own.unionByName(strays)).mapInArrow(all_links(share), "a bigint, b bigint")
+            pairs = dealt(own.unionByName(strays)).mapInArrow(all_links(percent), "a bigint, b bigint")
         links = materialize(links.unionByName(confirm(pairs.distinct(), members, percent)), "links")
     roots = connected_components(links)
     placed = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("root", "rep").alias("component"))
