@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, byte_cnn, flac, near_dup, secrets, sharding, word_cnn
+from . import byte_bpe, byte_cnn, flac, near_dup, pivot_index, secrets, sharding, word_cnn
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_sharding": sharding.query,
         "op5_byte_bpe": byte_bpe.query,
         "op6_near_dup": near_dup.query,
+        "op7_pivot_index": pivot_index.query,
         "op8_secrets": secrets.query,
         "op10_language_id": byte_cnn.query,
     }
