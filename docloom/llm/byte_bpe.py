@@ -3,14 +3,16 @@
 A text is cut by the tokenizer's pattern; each word's bytes are folded: the state is the pieces and the ranks of the
 neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are handled
 as strings of one character a byte (ISO-8859-1).  Ranks are a literal: an array of small maps, indexed by crc32 of the
-piece, as one large map would be searched from end to end.  Its size is the vocabulary's.
+piece, as one large map would be searched from end to end.  Its size is the vocabulary's; it is given as a scalar
+subquery, which Spark evaluates once and keeps in its compact binary form.  (Analysis wants subqueries outside of
+higher-order functions, so they are columns at first, each used once, and the optimizer puts them in place.)
 
 Frequent words are folded once: the ``hot`` most frequent distinct words of a bounded sample of documents are a second
-literal of the same kind, word to ids.  That is a cache only; all other words are folded where they stand, so nothing
+map of the same kind, word to ids.  That is a cache only; all other words are folded where they stand, so nothing
 is shuffled and no table that grows with the corpus is broadcast.
 
-The fold takes time with the square of a word's length.  Texts with a run of more than ``LONGEST`` characters without a
-word boundary go another way with the same result: the same merges, from a heap, in Python.
+The fold takes time with the square of a word's length.  Texts with a word of more than ``LONGEST`` bytes go another way
+with the same result: the same merges, from a heap, in Python.
 
 Decoding concatenates the ids' binary pieces.  Null and empty texts have no ids; repeated rows get equal results; an
 empty table gives an empty table.
@@ -22,11 +24,10 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sample_order, table
@@ -41,16 +42,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with Unicode classes, as its own engine has them."""
+    """The tokenizer's pattern with Unicode white space, as its own engine has it."""
     return f"(?U){pattern}"
 
 
-def _bucketed(entries: dict[str, object], kind: str) -> Column:
-    """A literal array of maps: crc32 of the key picks the map."""
-    rows: list[dict] = [{} for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        rows[zlib.crc32(k.encode()) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
+def _bucketed(entries: DataFrame) -> Column:
+    """One array of maps for a small table (key, value): crc32 of the key picks the map."""
+    spark = entries.sparkSession
+    maps = entries.groupBy((F.crc32(F.col("key").cast("binary")) % BUCKETS).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
+    rows = spark.range(BUCKETS).select(F.col("id").alias("b")).join(maps, "b", "left").select(F.struct("b", "m").alias("row"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.map_from_entries(r["m"])).alias("maps")).scalar()
 
 
 def _look_up(literal: Column, key: Column) -> Column:
@@ -73,9 +74,9 @@ def fold(word: Column, rank) -> Column:
         def at(i: Column) -> Column:  # from 1: merges pieces i and i + 1
             def joined(both: Column) -> Column:
                 last = F.array(F.when(i + 1 < F.size(pieces), rank(F.concat(both, F.get(pieces, i + 1)))))
-                new = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), both))), last, F.slice(ranks, i + 2, F.lit(LONGEST * 4))))
-                new = new.otherwise(F.concat(last, F.slice(ranks, F.lit(3), F.lit(LONGEST * 4))))
-                return F.struct(F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(both), F.slice(pieces, i + 2, F.lit(LONGEST * 4))).alias("pieces"), new.alias("ranks"))
+                new = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), both))), last, F.slice(ranks, i + 2, F.lit(LONGEST))))
+                new = new.otherwise(F.concat(last, F.slice(ranks, F.lit(3), F.lit(LONGEST))))
+                return F.struct(F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(both), F.slice(pieces, i + 2, F.lit(LONGEST))).alias("pieces"), new.alias("ranks"))
 
             return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), joined)
 
@@ -94,59 +95,75 @@ def fold(word: Column, rank) -> Column:
 class Tokenizer:
     """Column functions for one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
-        self.literal = _bucketed({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+        self.spark, self.ranks, self.pattern = spark, ranks, pattern
+        given = F.from_json(F.lit(json.dumps([[k.decode("latin-1"), str(v)] for k, v in ranks.items()])), "array<array<string>>")
+        pairs = spark.range(1).select(F.explode(given).alias("x")).select(F.col("x")[0].alias("key"), F.col("x")[1].cast("int").alias("value"))
+        self.literal = _bucketed(pairs)
         top = max(ranks.values()) + 1
         pieces = [""] * top
         for k, v in ranks.items():
             pieces[v] = k.hex()
-        self.piece_hex = F.split(F.lit(",".join(pieces)), ",")
-        self.id_hex = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(top))), ",")
+        one = lambda texts: spark.range(1).select(F.split(F.lit(",".join(texts)), ",")).scalar()
+        self.piece_hex, self.id_hex = one(pieces), one([i.to_bytes(4, "little").hex() for i in range(top)])
 
     def words(self, text: Column) -> Column:
-        """The pattern's matches, each as a string of bytes."""
-        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(self.pattern)), F.lit(0))
-        return F.transform(found, lambda w: F.decode(w.cast("binary"), "ISO-8859-1"))
+        """The pattern's matches."""
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(self.pattern)), F.lit(0))
 
     def _ids(self, literal: Column, word: Column) -> Column:
         def rank(piece: Column) -> Column:
             return _look_up(literal, piece)
 
-        return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(word, rank)))
+        def of(raw: Column) -> Column:
+            return _let(rank(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(raw, rank)))
 
-    def word_ids(self, word: Column) -> Column:
-        """ids of one word; a word that is a piece itself needs no merges."""
-        return _let(self.literal, lambda ranks: self._ids(ranks, word))
+        return _let(F.decode(word.cast("binary"), "ISO-8859-1"), of)
 
-    def encode(self, words: Column, hot: dict[str, list[int]]) -> Column:
-        """ids of all words of a text; both literals are bound once."""
+    def word_ids(self, words: DataFrame, word: str) -> DataFrame:
+        """``words`` with ids; a word that is a piece itself needs no merges."""
+        return words.withColumn("__ranks", self.literal).select(*words.columns, _let(F.col("__ranks"), lambda ranks: self._ids(ranks, F.col(word))).alias("ids"))
+
+    def encode(self, texts: DataFrame, text: str, hot: Column) -> DataFrame:
+        """``texts`` with ids, instead of ``text``; texts with a long word are left out.  ``hot``: see hot_words.
+
+        An array of one or none is exploded, as a filter would be pushed down and cut the texts into words again."""
 
         def all_ids(ranks: Column) -> Column:
-            if not hot:
-                return F.flatten(F.transform(words, lambda w: self._ids(ranks, w)))
-            return _let(_bucketed(hot, "array<int>"), lambda cached: F.flatten(F.transform(words, lambda w: F.coalesce(_look_up(cached, w), self._ids(ranks, w)))))
+            def of(cached: Column) -> Column:
+                def one(w: Column) -> Column:
+                    return F.coalesce(_look_up(cached, w), self._ids(ranks, w))
+
+                return _let(self.words(F.col(text)), lambda words: F.when(~_long(words), F.array(F.flatten(F.transform(words, one)))))
+
+            return _let(F.col("__hot"), of)
 
-        return _let(self.literal, all_ids)
+        kept = [c for c in texts.columns if c != text]
+        return texts.withColumns({"__ranks": self.literal, "__hot": hot}).select(*kept, F.explode(_let(F.col("__ranks"), all_ids)).alias("ids"))
 
-    def decode(self, ids: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.piece_hex, i)), ""))
+    def _each(self, texts: DataFrame, ids: str, name: str, pieces: Column) -> DataFrame:
+        each = _let(F.col("__pieces"), lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
+        return texts.withColumn("__pieces", pieces).select(*texts.columns, F.unhex(F.array_join(each, "")).alias(name))
 
-    def id_bytes(self, ids: Column) -> Column:
-        """ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.id_hex, i)), ""))
+    def decode(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
+        """``texts`` with the ids' binary pieces concatenated."""
+        return self._each(texts, ids, name, self.piece_hex)
 
-    def hot_words(self, docs: DataFrame, documents: int, hot: int) -> dict[str, list[int]]:
-        """The most frequent words of about ``documents`` documents with their ids."""
+    def id_bytes(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
+        """``texts`` with ids as little-endian unsigned 32-bit integers."""
+        return self._each(texts, ids, name, self.id_hex)
+
+    def hot_words(self, docs: DataFrame, documents: int, hot: int) -> Column:
+        """The most frequent words of about ``documents`` documents with their ids, as a map in buckets."""
         n = docs.count()
-        sample = docs.where(sample_order(F.col("doc_id")) < min(1.0, documents / max(n, 1))).where(~_long(F.col("text")))
-        words = sample.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(hot)
-        parts = min(64, 1 + hot // 2000)
-        return {r["word"]: r["ids"] for r in words.repartition(parts).select("word", self.word_ids(F.col("word")).alias("ids")).collect()}
+        sample = docs.where(sample_order(F.col("doc_id")) < min(1.0, documents / max(n, 1)))
+        words = sample.select(F.explode(self.words(F.col("text"))).alias("key")).where(F.octet_length("key") <= LONGEST)
+        words = words.groupBy("key").count().orderBy(F.desc("count"), "key").limit(hot).select("key")
+        return _bucketed(self.word_ids(words.repartition(min(64, 1 + hot // 4000)), "key").withColumnRenamed("ids", "value"))
 
 
-def _long(text: Column) -> Column:
-    return F.coalesce(text.rlike(f"(?U)\\S{{{LONGEST + 1},}}|\\s{{{LONGEST + 1},}}"), F.lit(False))
+def _long(words: Column) -> Column:
+    return F.exists(words, lambda w: F.octet_length(w) > LONGEST)
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -202,33 +219,28 @@ def _long_texts(docs: DataFrame, tokenizer: Tokenizer, keep: list[str]) -> DataF
     return kept.mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]))
 
 
-def digests(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], sample: int = 12000, hot: int = 200000) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], sample: int = 16000, hot: int = 300000) -> DataFrame:
     """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
-    if taken := {"n_tokens", "ids_sha256", "decoded_sha256"} & set(keep):
+    if taken := {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "__text", "__ranks", "__hot", "__pieces", "__raw", "__decoded"} & set(keep):
         raise ValueError(f"columns already there: {sorted(taken)}")
     cached = tokenizer.hot_words(docs, sample, hot)
-    long = _long(F.col("text"))
-    ids = tokenizer.encode(tokenizer.words(F.col("text")), cached)
-    short = docs.where(~long).select(*keep, ids.alias("__ids"))
-    short = short.select(
-        *keep,
-        F.size("__ids").cast("bigint").alias("n_tokens"),
-        F.sha2(tokenizer.id_bytes(F.col("__ids")), 256).alias("ids_sha256"),
-        F.sha2(tokenizer.decode(F.col("__ids")), 256).alias("decoded_sha256"),
-    )
-    return short.unionByName(_long_texts(docs.where(long), tokenizer, keep))
-
-
-def production() -> Tokenizer:
+    words = tokenizer.words(F.col("text"))
+    short = tokenizer.encode(docs.select(*keep, F.col("text").alias("__text")), "__text", cached)
+    short = tokenizer.decode(tokenizer.id_bytes(short, "ids", "__raw"), "ids", "__decoded")
+    short = short.select(*keep, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("__raw", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+    return short.unionByName(_long_texts(docs.where(_long(words)), tokenizer, keep))
+
+
+def production(spark: SparkSession) -> Tokenizer:
     import public_tokenizers
 
-    return Tokenizer(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return Tokenizer(spark, read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 def query(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), production(), ["doc_id"])
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), production(spark), ["doc_id"])
 
 
 def stage(spark, docs, sf_dir):
     """The last stage: each document's token count and digests beside its own columns."""
-    return digests(docs, production(), [c for c in docs.columns if c != "text"])
+    return digests(docs, production(spark), [c for c in docs.columns if c != "text"])
