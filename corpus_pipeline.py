@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from docloom.llm import byte_bpe, byte_cnn, mixing, near_dup, secrets
 from docloom.llm.common import materialize, table
 
-STAGES = []
+STAGES = [
+    ("language_id", byte_cnn.stage),
+    ("near_dup", near_dup.stage),
+    ("secrets", secrets.stage),
+    ("mixing", mixing.stage),
+    ("byte_bpe", byte_bpe.stage),
+]
+
+#: Networks, signatures and tokenizers aren't SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -13,5 +22,5 @@ def run(spark, sf_dir):
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{i}")
+            docs = materialize(docs, f"stage-{name}")
     return docs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, byte_cnn, flac, near_dup, pivot_index, secrets, sharding, word_cnn
+from . import byte_bpe, byte_cnn, flac, mixing, near_dup, pivot_index, prefix_free, secrets, sharding, word_cnn
 
 
 def queries():
     return {
+        "op1_prefix_free": prefix_free.query,
         "op2_toxicity": word_cnn.query,
         "op3_flac": flac.query,
         "op4_sharding": sharding.query,
@@ -14,6 +15,7 @@ def queries():
         "op6_near_dup": near_dup.query,
         "op7_pivot_index": pivot_index.query,
         "op8_secrets": secrets.query,
+        "op9_mixing": mixing.query,
         "op10_language_id": byte_cnn.query,
     }
 
