@@ -29,7 +29,7 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix(whole)
 
 
-TILE = 1 << 20
+TILE = 1 << 18
 
 
 def triggers(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -86,7 +86,10 @@ class Parse:
         keep = np.zeros(len(h), bool)
         keep[order] = wanted(self.distinct)[np.cumsum(new) - 1] if len(h) else False
         self.hash, self.place, self.first, self.last, self.rank = (x[keep] for x in (self.hash, self.place, self.first, self.last, self.rank))
-        content = hashes(raw, self.first, self.last + SPAN)
+        content = np.empty(len(self.first), np.uint64)
+        for i in range(0, len(content), 8192):  # over a part of the bytes at a time
+            a, z = self.first[i : i + 8192], self.last[i : i + 8192] + SPAN
+            content[i : i + 8192] = hashes(raw[a[0] : z.max()], a - a[0], z - a[0])
         order = np.lexsort((self.rank, content, self.hash))
         h, c = self.hash[order], content[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
@@ -152,4 +155,4 @@ def earlier(gram: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.n
 
 
 #: Phrases whose strings are sorted at a time, but for those of one gram.
-BATCH = 20_000
+BATCH = 8_000

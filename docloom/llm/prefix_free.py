@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, utf8
 from .parsing import SPAN, Parse, around, earlier
 
-CHUNK, LAST = 4 << 20, np.iinfo(np.int64).max
-PER_BUCKET = 1_000_000  # triggers
+CHUNK, LAST = 2 << 20, np.iinfo(np.int64).max
+PER_BUCKET = 500_000  # triggers
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -200,14 +200,14 @@ def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             later = np.repeat(p.rank > p.least[p.phrase], count)  # the phrase is in a smaller text of this chunk
             gone = later | (np.repeat(mask[p.phrase], count) >> nth.astype(np.uint32) & 1).astype(bool)
             start = (np.repeat(p.first, count) + nth)[gone]
-            edge = np.zeros(len(chunk.raw) + 1, np.int64)
+            edge = np.zeros(len(chunk.raw) + 1, np.int32)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + SPAN, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            n = np.concatenate([[0], np.cumsum(covered)])
+            covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            n = np.concatenate([np.zeros(1, np.int32), np.cumsum(covered, dtype=np.int32)])
             opens = covered & ~np.concatenate([[False], covered[:-1]])[: len(covered)]
             opens[chunk.offsets[:-1][chunk.offsets[:-1] < len(covered)]] |= covered[chunk.offsets[:-1][chunk.offsets[:-1] < len(covered)]]
-            spans = np.concatenate([[0], np.cumsum(opens)])
+            spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(opens, dtype=np.int32)])
             for i, (a, z) in enumerate(zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)):
                 values = (None if chunk.nulls[i] else int(chunk.ids[i]), int(z - a), int(n[z] - n[a]), int(spans[z] - spans[a]), chunk.raw[a:z][~covered[a:z]].tobytes())
                 for k, v in zip(out, values, strict=True):
