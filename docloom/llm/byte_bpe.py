@@ -242,5 +242,5 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """The last stage: each document's token count and digests beside its own columns."""
-    return digests(docs, production(spark), [c for c in docs.columns if c != "text"])
+    """The last stage: each document's token count and digests beside its own columns but text and any of the same names."""
+    return digests(docs, production(spark), [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_order, slices, table, utf8
+from .common import held_out, restored, sample_order, shielded, slices, table, utf8
 
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 16
 TILE = 16  # windows at a time, so that their responses stay in cache
@@ -204,5 +204,6 @@ LEAST_SCORE = 0.4
 def stage(spark, docs, sf_dir):
     """Documents in a language that the network knows; the columns of documents."""
     langs, model = train(docs)
-    out = identify(docs, langs, model, docs.columns)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, names = shielded(docs)
+    out = identify(rows, langs, model, names)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*restored(docs, names))

@@ -37,6 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns under names that clash with nothing, beside text; and those names."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text")), names
+
+
+def restored(docs: DataFrame, names: list[str]) -> list[Column]:
+    """The columns of ``docs`` out of a shielded frame."""
+    return [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 4, is 2.  A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

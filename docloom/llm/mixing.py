@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, sample_order, slices, table, utf8
+from .common import held_out, materialize, restored, sample_order, shielded, slices, table, utf8
 from .superminhash import _INSIDE
 from .words import runs
 
@@ -228,11 +228,10 @@ def query(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """Documents as often as their rates say, none more than once; the columns of documents."""
     names, w, bias = train(docs, domains_of(table(spark, sf_dir, "labels")))
-    extra = [f"__{c}" for c in docs.columns]
-    renamed = docs.select(*[F.col(c).alias(e) for c, e in zip(docs.columns, extra, strict=True)], F.col("text"))
-    weighed = posteriors(renamed, w, bias, extra)
+    rows, own = shielded(docs)
+    weighed = posteriors(rows, w, bias, own)
     members = materialize(posteriors(docs, w, bias, ["doc_id"]), "members")
     steps, _ = solve(members, names, WEIGHTS, 1.0)
-    out = rated(weighed, steps).withColumn("n", copies(F.col("rate"), F.col("__doc_id"))).where("n > 0")
-    out = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return out.select(*[F.col(e).alias(c) for c, e in zip(docs.columns, extra, strict=True)])
+    doc_id = F.col(own[docs.columns.index("doc_id")])
+    out = rated(weighed, steps).withColumn("copies", copies(F.col("rate"), doc_id)).where("copies > 0")
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*restored(docs, own))

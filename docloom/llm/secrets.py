@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import shielded, slices, table, utf8
 from .words import runs
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -155,8 +155,11 @@ def query(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Documents with every secret replaced by a mark; n_chars follows."""
-    out = scan(docs, [c for c in docs.columns if c != "text"], redacted=True).withColumnRenamed("redacted", "text")
-    if "n_chars" in docs.columns:
-        n = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-        out = out.withColumn("n_chars", n)
-    return out.select(*docs.columns)
+    rows, names = shielded(docs)
+    out = scan(rows, names, redacted=True)
+    own = dict(zip(docs.columns, names, strict=True))
+    columns = {c: F.col(n) for c, n in own.items()} | {"text": F.col("redacted")}
+    if "n_chars" in own:
+        n = F.length("redacted").cast(dict(docs.dtypes)["n_chars"])
+        columns["n_chars"] = F.when(F.col("spans") == "", F.col(own["n_chars"])).otherwise(n)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
