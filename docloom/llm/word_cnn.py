@@ -158,18 +158,21 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1800, longest: in
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     if not got:
         return np.zeros(0, np.uint64), None, {}
-    raw = [r["text"].encode() for r in got]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    h, at = words(offsets, np.frombuffer(b"".join(raw), np.uint8))
-    each = [h[at[i] : at[i + 1]] for i in range(len(got))]
-    seen, n = np.unique(np.concatenate([np.unique(x) for x in each]), return_counts=True)
+
+    def features(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return words(np.array([0, len(raw)]), raw)[0]
+
+    # text by text, twice: all features of the sample at once would be the driver's largest table
+    seen, n = np.unique(np.concatenate([np.unique(features(r["text"])) for r in got]), return_counts=True)
     known = seen[(n >= least_docs) & (seen != 0)]
-    ids = Vocabulary(known)
+    vocabulary = Vocabulary(known)
+    ids = [vocabulary.numbers(features(r["text"])) for r in got]
     y = np.array([int(r["toxic"] != 0) for r in got])
     late = np.arange(len(got)) % 4 == 3  # calibrates
-    model = fit([ids.numbers(x) for x, k in zip(each, late, strict=True) if not k], y[~late], len(known))
+    model = fit([x for x, k in zip(ids, late, strict=True) if not k], y[~late], len(known))
     scorer = Scorer(known, model)
-    score = scorer.ids(ids.numbers(h), at)
+    score = np.array([scorer.ids(x, np.array([0, len(x)]))[0] if k else np.nan for x, k in zip(ids, late, strict=True)])
     thresholds = {}
     lang = np.array([r["lang"] or "" for r in got])
     for k in sorted({*lang} - {""}):
