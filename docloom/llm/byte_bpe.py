@@ -3,9 +3,8 @@
 A text is cut by the tokenizer's pattern; each word's bytes are folded: the state is the pieces and the ranks of the
 neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are handled
 as strings of one character a byte (ISO-8859-1).  Ranks are a literal: an array of small maps, indexed by crc32 of the
-piece, as one large map would be searched from end to end.  Its size is the vocabulary's; it is given as a scalar
-subquery, which Spark evaluates once and keeps in its compact binary form.  (Analysis wants subqueries outside of
-higher-order functions, so they are columns at first, each used once, and the optimizer puts them in place.)
+piece, as one large map would be searched from end to end.  Its size is the vocabulary's.  Each literal is bound once in
+an expression, so a task carries one copy.
 
 Frequent words are folded once: the ``hot`` most frequent distinct words of a bounded sample of documents are a second
 map of the same kind, word to ids.  That is a cache only; all other words are folded where they stand, so nothing
@@ -46,12 +45,16 @@ def java_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
-def _bucketed(entries: DataFrame) -> Column:
-    """One array of maps for a small table (key, value): crc32 of the key picks the map."""
+def _bucketed(entries: DataFrame, kind: str) -> Column:
+    """A literal array of maps for a small table (key, value): crc32 of the key picks the map.
+
+    The table is put together as one JSON text by Spark, so the driver's Python holds a string and nothing else."""
     spark = entries.sparkSession
     maps = entries.groupBy((F.crc32(F.col("key").cast("binary")) % BUCKETS).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
     rows = spark.range(BUCKETS).select(F.col("id").alias("b")).join(maps, "b", "left").select(F.struct("b", "m").alias("row"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.map_from_entries(r["m"])).alias("maps")).scalar()
+    one = F.transform(F.array_sort(F.collect_list("row")), lambda r: F.map_from_entries(F.filter(r["m"], lambda x: x["key"].isNotNull())))
+    text = rows.agg(F.to_json(one).alias("json")).first()["json"]
+    return F.from_json(F.lit(text), f"array<map<string,{kind}>>")
 
 
 def _look_up(literal: Column, key: Column) -> Column:
@@ -99,12 +102,12 @@ class Tokenizer:
         self.spark, self.ranks, self.pattern = spark, ranks, pattern
         given = F.from_json(F.lit(json.dumps([[k.decode("latin-1"), str(v)] for k, v in ranks.items()])), "array<array<string>>")
         pairs = spark.range(1).select(F.explode(given).alias("x")).select(F.col("x")[0].alias("key"), F.col("x")[1].cast("int").alias("value"))
-        self.literal = _bucketed(pairs)
+        self.literal = _bucketed(pairs, "int")
         top = max(ranks.values()) + 1
         pieces = [""] * top
         for k, v in ranks.items():
             pieces[v] = k.hex()
-        one = lambda texts: spark.range(1).select(F.split(F.lit(",".join(texts)), ",")).scalar()
+        one = lambda texts: F.split(F.lit(",".join(texts)), ",")
         self.piece_hex, self.id_hex = one(pieces), one([i.to_bytes(4, "little").hex() for i in range(top)])
 
     def words(self, text: Column) -> Column:
@@ -122,7 +125,7 @@ class Tokenizer:
 
     def word_ids(self, words: DataFrame, word: str) -> DataFrame:
         """``words`` with ids; a word that is a piece itself needs no merges."""
-        return words.withColumn("__ranks", self.literal).select(*words.columns, _let(F.col("__ranks"), lambda ranks: self._ids(ranks, F.col(word))).alias("ids"))
+        return words.select(*words.columns, _let(self.literal, lambda ranks: self._ids(ranks, F.col(word))).alias("ids"))
 
     def encode(self, texts: DataFrame, text: str, hot: Column) -> DataFrame:
         """``texts`` with ids, instead of ``text``; texts with a long word are left out.  ``hot``: see hot_words.
@@ -136,14 +139,14 @@ class Tokenizer:
 
                 return _let(self.words(F.col(text)), lambda words: F.when(~_long(words), F.array(F.flatten(F.transform(words, one)))))
 
-            return _let(F.col("__hot"), of)
+            return _let(hot, of)
 
         kept = [c for c in texts.columns if c != text]
-        return texts.withColumns({"__ranks": self.literal, "__hot": hot}).select(*kept, F.explode(_let(F.col("__ranks"), all_ids)).alias("ids"))
+        return texts.select(*kept, F.explode(_let(self.literal, all_ids)).alias("ids"))
 
     def _each(self, texts: DataFrame, ids: str, name: str, pieces: Column) -> DataFrame:
-        each = _let(F.col("__pieces"), lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
-        return texts.withColumn("__pieces", pieces).select(*texts.columns, F.unhex(F.array_join(each, "")).alias(name))
+        each = _let(pieces, lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
+        return texts.select(*texts.columns, F.unhex(F.array_join(each, "")).alias(name))
 
     def decode(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
         """``texts`` with the ids' binary pieces concatenated."""
@@ -159,7 +162,7 @@ class Tokenizer:
         sample = docs.where(sample_order(F.col("doc_id")) < min(1.0, documents / max(n, 1)))
         words = sample.select(F.explode(self.words(F.col("text"))).alias("key")).where(F.octet_length("key") <= LONGEST)
         words = words.groupBy("key").count().orderBy(F.desc("count"), "key").limit(hot).select("key")
-        return _bucketed(self.word_ids(words.repartition(min(64, 1 + hot // 4000)), "key").withColumnRenamed("ids", "value"))
+        return _bucketed(self.word_ids(words.repartition(min(64, 1 + hot // 4000)), "key").withColumnRenamed("ids", "value"), "array<int>")
 
 
 def _long(words: Column) -> Column:
@@ -219,9 +222,9 @@ def _long_texts(docs: DataFrame, tokenizer: Tokenizer, keep: list[str]) -> DataF
     return kept.mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]))
 
 
-def digests(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], sample: int = 16000, hot: int = 300000) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], sample: int = 12000, hot: int = 200000) -> DataFrame:
     """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
-    if taken := {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "__text", "__ranks", "__hot", "__pieces", "__raw", "__decoded"} & set(keep):
+    if taken := {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "__text", "__raw", "__decoded"} & set(keep):
         raise ValueError(f"columns already there: {sorted(taken)}")
     cached = tokenizer.hot_words(docs, sample, hot)
     words = tokenizer.words(F.col("text"))
