@@ -142,6 +142,15 @@ def chunks(md: Column, most: int = MAX_BYTES) -> Column:
     return F.coalesce(_let(trim(md), of), F.array().cast(kind))
 
 
+FIELDS = ("id", "text", "section", "page_start", "page_end", "char_count", "token_estimate")
+
+
+def numbered_rows(all_: Column) -> Column:
+    """A generator of ordinal (from 1) and the fields of chunks.  Inlined structs, as fields taken out of an exploded struct
+    would be pushed below the generator and the chunks made once for each."""
+    return F.inline(F.transform(all_, lambda c, i: F.struct((i + 1).alias("ordinal"), *[c[f].alias(f) for f in FIELDS])))
+
+
 def chunk_rows(docs: DataFrame, key: str, text: str = "text", most: int = MAX_BYTES) -> DataFrame:
     """One row a chunk: key, ordinal from 1 and the chunk's fields."""
-    return docs.select(key, F.posexplode(chunks(F.col(text), most)).alias("ordinal", "c")).select(key, (F.col("ordinal") + 1).alias("ordinal"), "c.*")
+    return docs.select(key, numbered_rows(chunks(F.col(text), most)))

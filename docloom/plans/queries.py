@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import cache, metrics, ocr, pages, quality
-from docloom.operators.chunk import chunk_rows, sections, split_sentences
+from docloom.operators.chunk import chunk_rows, numbered_rows, sections, split_sentences
 from docloom.operators.normalize import normalize_markdown
 from docloom.operators.web import html_title, html_to_markdown
 from docloom.plans import pipelines
@@ -103,8 +103,8 @@ def fragments(spark, d):
 
 
 def section_rows(spark, d):
-    rows = md_conversations(spark, d).select("conv_id", F.explode(F.filter(sections(T.trim(F.col("md"))), lambda s: s["body"] != "")).alias("s"))
-    return rows.select("conv_id", F.col("s.heading").alias("heading"), F.octet_length("s.body").alias("body_bytes"), F.md5(F.col("s.body").cast("binary")).alias("body_md5"))
+    rows = md_conversations(spark, d).select("conv_id", F.inline(F.filter(sections(T.trim(F.col("md"))), lambda s: s["body"] != "")))
+    return rows.select("conv_id", "heading", F.octet_length("body").alias("body_bytes"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 def titles(spark, d):
@@ -195,7 +195,7 @@ def web_titles(spark, d):
 
 def page_documents(spark, d):
     out = pipelines.pages_pipeline(doc_pages(spark, d), "doc_id")
-    return out.select("doc_id", "title", "metadata.page_count", "metadata.word_count", F.explode("chunks").alias("c")).select("doc_id", "title", "page_count", "word_count", "c.*")
+    return out.select("doc_id", "title", "metadata.page_count", "metadata.word_count", numbered_rows(F.col("chunks")))
 
 
 def event_lines(spark, d):
