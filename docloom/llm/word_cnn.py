@@ -4,25 +4,29 @@ A word (lower-cased run of letters and digits) is the sum of the embeddings of f
 five bytes and its last four, each a 64-bit hash.  Features in at least two documents of the fit have an embedding, found
 by the hash's low bits and confirmed by all 64; the rest share a zero vector.  Filters of widths 1, 2
 and 3, maximum over the whole text, logistic output; trained in numpy with Adam.  Labels, lang, source and doc_id never
-reach the score.  Thresholds are calibrated for each language on a part of the sample that the fit didn't see: the
-lowest at which at most ``false_share`` of that language's clean documents are flagged, between 0.1 and 0.9.
-
-The fit sees at most ``per_label`` documents (expected) of each label, of up to ``longest`` bytes each, and none that is
-held out; every whole text is scored, in blocks of bounded size.  Null and empty texts have no word: their score is the
-output bias's.  Labels that are null are no labels; a document labelled twice counts as toxic if one label says so.
-Without labels the score is 0.  Languages without calibration get 0.3.  Repeated rows get equal results.
+reach the score.  Thresholds are calibrated for each language, after all rows are scored, on every clean row of it that
+is labelled, not held out and not used by the fit: the lowest, 0.1 at least, at which floor(n * ``false_share``) of the n
+are flagged or fewer.  So a language of under 1 / ``false_share`` such rows gets one above all of them.  The quantile is
+exact: counts by the scores' leading bits narrow it down, in five distributed sums of a bounded size a language.
+
+The fit sees three quarters of a sample of at most ``per_label`` documents (expected) of each label, of up to ``longest``
+bytes each, and none that is held out; every whole text is scored, in blocks of bounded size.  Null and empty texts have
+no word: their score is the output bias's.  Labels that are null are no labels; a document labelled twice counts as toxic
+if one label says so.  Without labels the score is 0.  A null language and languages without a row to calibrate on get
+0.3.  Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_order, slices, table, utf8
+from .common import held_out, materialize, sample_order, slices, table, utf8
 from .words import words
 
 WIDTHS, EMBED, FILTERS, PAD, BITS = (1, 2, 3), 12, 8, 2, 20
@@ -143,21 +147,27 @@ class Scorer:
         return self.ids(self.words.numbers(h), at)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1800, longest: int = 1 << 16, false_share: float = 0.005, least_docs: int = 2):
-    """(known words, model, thresholds by language)."""
-    marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled documents that are not held out."""
+    return labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1800, longest: int = 1 << 16, least_docs: int = 2):
+    """(known words, model, doc_ids that the fit used)."""
+    marks = marked(labels)
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if not counts:
-        return np.zeros(0, np.uint64), None, {}
+        return np.zeros(0, np.uint64), None, []
     share = F.lit(0.0)
     for k, n in counts.items():
         share = F.when(F.col("toxic") == k, F.lit(min(1.0, per_label / n))).otherwise(share)
     marks = marks.where(sample_order(F.col("doc_id")) < share)  # 2 * per_label rows, expected
-    pieces = docs.where(F.octet_length("text") <= longest).select("doc_id", "text", "lang")
-    got = pieces.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "lang", "toxic").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    pieces = docs.where(F.octet_length("text") <= longest).select("doc_id", "text")
+    got = pieces.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").collect()
+    late = {k for i, k in enumerate(sorted({r["doc_id"] for r in got})) if i % 4 == 3}  # left to the calibration
+    got = sorted((r for r in got if r["doc_id"] not in late), key=lambda r: (r["doc_id"], r["text"]))
     if not got:
-        return np.zeros(0, np.uint64), None, {}
+        return np.zeros(0, np.uint64), None, []
 
     def features(text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -168,18 +178,35 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1800, longest: in
     known = seen[(n >= least_docs) & (seen != 0)]
     vocabulary = Vocabulary(known)
     ids = [vocabulary.numbers(features(r["text"])) for r in got]
-    y = np.array([int(r["toxic"] != 0) for r in got])
-    late = np.arange(len(got)) % 4 == 3  # calibrates
-    model = fit([x for x, k in zip(ids, late, strict=True) if not k], y[~late], len(known))
-    scorer = Scorer(known, model)
-    score = np.array([scorer.ids(x, np.array([0, len(x)]))[0] if k else np.nan for x, k in zip(ids, late, strict=True)])
-    thresholds = {}
-    lang = np.array([r["lang"] or "" for r in got])
-    for k in sorted({*lang} - {""}):
-        clean = np.sort(score[late & (lang == k) & (y == 0)])
-        if len(clean) >= 20:
-            thresholds[k] = float(np.clip(np.nextafter(clean[int(len(clean) * (1 - false_share)) - 1], 1), 0.1, 0.9))
-    return known, model, thresholds
+    return known, fit(ids, np.array([int(r["toxic"] != 0) for r in got]), len(known)), sorted({r["doc_id"] for r in got})
+
+
+def calibrated(clean: DataFrame, false_share: float = 0.005) -> dict[str, float]:
+    """Thresholds by language from the scores of clean rows (lang, score): the lowest, 0.1 at least, that flags floor(n * false_share) or fewer."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = batch.column(1).to_numpy() + 0.0  # no negative zero: bits order as the numbers do
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.view(np.int64))], names=["lang", "bits"])
+
+    bits = materialize(clean.where("lang IS NOT NULL").select("lang", "score").mapInArrow(apply, "lang string, bits bigint"), "clean")
+    head, above, more = {}, 0, {}  # by language: leading bits of the quantile, rows below it still to pass
+    for shift in (48, 36, 24, 12, 0):
+        rows = bits
+        if head:
+            rows = rows.where(F.create_map(*[F.lit(x) for pair in head.items() for x in pair])[F.col("lang")] == F.shiftright("bits", above))
+        found: dict[str, list[tuple[int, int]]] = {}
+        for r in rows.groupBy("lang", F.shiftright("bits", shift).alias("head")).count().collect():
+            found.setdefault(r["lang"], []).append((r["head"], r["count"]))
+        for lang, counts in found.items():
+            if lang not in head:
+                more[lang] = int(sum(n for _, n in counts) * Fraction(str(false_share)))
+            for head[lang], n in sorted(counts, reverse=True):
+                if more[lang] < n:
+                    break
+                more[lang] -= n
+        above = shift
+    return {lang: max(float(np.nextafter(np.int64(x).view(np.float64), 2)), 0.1) for lang, x in sorted(head.items())}
 
 
 _scorers: dict[int, Scorer] = {}
@@ -209,13 +236,23 @@ def score(docs: DataFrame, known: np.ndarray, model, keep: list[str]) -> DataFra
 PREDICT = 0.3
 
 
+def scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """doc_id, lang and score of every row, and thresholds by language."""
+    known, model, used = train(docs, labels)
+    out = materialize(score(docs, known, model, ["doc_id", "lang"]), "scored")
+    if not model:
+        return out, {}
+    used = docs.sparkSession.createDataFrame([(k,) for k in used], docs.select("doc_id").schema)
+    unseen = marked(labels).where("toxic = 0").join(F.broadcast(used), "doc_id", "left_anti")
+    return out, calibrated(out.join(unseen, "doc_id"))
+
+
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    known, model, thresholds = train(docs, table(spark, sf_dir, "labels"))
-    out = score(docs, known, model, ["doc_id", "lang"])
+    out, thresholds = scored(docs, table(spark, sf_dir, "labels"))
     threshold = F.lit(PREDICT)
-    for lang, t in thresholds.items():
-        threshold = F.when(F.col("lang") == lang, F.lit(t)).otherwise(threshold)
+    if thresholds:
+        threshold = F.coalesce(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])[F.col("lang")], threshold)
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

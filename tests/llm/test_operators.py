@@ -126,6 +126,35 @@ def test_toxicity(spark, small):
     assert np.mean([a == b for a, b in judged]) > 0.9
 
 
+def test_toxicity_thresholds_by_language(spark):
+    """On all clean rows of a language, ties and small languages included: the lowest that keeps the promised share."""
+    rng = np.random.default_rng(2)
+    scores = {"big": rng.random(1999) ** 2, "ties": np.repeat([0.5, 0.25], [4, 596]), "few": np.array([0.95, 0.2]), "low": np.full(10, 0.01)}
+    rows = [(k, float(x)) for k, v in scores.items() for x in v] + [(None, 0.99)]
+    got = word_cnn.calibrated(spark.createDataFrame(rows, "lang string, score double").repartition(3))
+    assert set(got) == set(scores)
+    for k, v in scores.items():
+        most = len(v) * 5 // 1000
+        assert (v >= got[k]).sum() <= most
+        assert got[k] == 0.1 or (v >= np.nextafter(got[k], 0)).sum() > most
+
+
+def test_toxicity_calibrates_on_what_the_fit_left(spark, small, monkeypatch):
+    seen, whole = [], word_cnn.calibrated
+    monkeypatch.setattr(word_cnn, "calibrated", lambda clean: seen.extend(clean.collect()) or whole(clean))
+    docs, labels = (spark.read.parquet(f"{small[0]}/{n}.parquet") for n in ("documents", "labels"))
+    out, thresholds = word_cnn.scored(docs, labels)
+    fitted = set(word_cnn.train(docs, labels)[2])
+    toxic = {}
+    for r in labels.collect():
+        if r["toxic"] is not None and not held_out_py(r["doc_id"]):
+            toxic[r["doc_id"]] = max(r["toxic"], toxic.get(r["doc_id"], 0))
+    want = sorted(d[0] for d in small[1] if toxic.get(d[0]) == 0 and d[0] not in fitted)
+    assert sorted(r["doc_id"] for r in seen) == want and len(want) > 10
+    langs = {d[0]: d[2] for d in small[1]}
+    assert set(thresholds) == {langs[k] for k in want} - {None}
+
+
 def test_flac(spark, small):
     texts = one_each(small)
     media = {r["doc_id"]: bytes(r["media"]) for r in flac.to_media(spark.read.parquet(f"{small[0]}/documents.parquet"), ["doc_id"]).collect()}
