@@ -7,9 +7,11 @@ domains; the rates solve
     minimize  sum over domains (tokens brought - target)**2 / (2 * mass)  +  pull / 2 * sum over documents t * (r - 1)**2
     subject to 0 <= r <= most
 
-by accelerated projected gradient.  A step needs one number for each domain from the whole corpus, the tokens brought so
-far: a distributed sum.  A document's rate depends on its posteriors and on those sums alone, so every pass replays the
-few steps before it from the sums; no table of rates is kept, and a lost executor loses nothing.
+with the pull driven towards zero, until every domain is within ``close`` of its own target (one of weight 0: of the
+total).  At the solution the rates are 1 less the posteriors' product with one price a domain, cut to the bounds, so the
+prices alone are sought, by Newton steps with a line search on the concave dual.  A step needs the tokens brought and a
+domains-by-domains matrix from the whole corpus: distributed sums.  No table of rates is kept, and a lost executor loses
+nothing.  Targets that can't be met end at the least squares, and a warning tells how far each domain is from its own.
 
 Targets are weights of one total: ``tokens``, or else the corpus's own tokens, or what is the most that asks no domain for
 more than ``most`` times its mass.  A domain without mass can't be brought and is left out of the weights.  Copies are floor(rate + u), u from the id.
@@ -21,6 +23,7 @@ two labels counts for the first by name.  Without labels there is one domain, ``
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,20 +130,15 @@ def posteriors(docs: DataFrame, w: np.ndarray, bias: np.ndarray, keep: list[str]
 
 
 class Steps:
-    """The gradient steps so far: for each, the domains' relative excess."""
+    """Where the steps have led: a price for each domain; and whether the targets are met there."""
 
-    def __init__(self, pull: float, most: float):
-        self.pull, self.most, self.excess = pull, most, []
+    def __init__(self, price: np.ndarray, most: float):
+        self.price, self.most, self.reached = price, most, False
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates after all steps, the point that the next gradient is taken at)."""
-        r = ahead = np.minimum(np.ones(len(p)), self.most)
-        t = 1.0
-        for excess in self.excess:
-            new = np.clip(ahead - (p @ excess + self.pull * (ahead - 1)) / (1 + self.pull), 0, self.most)
-            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            r, ahead, t = new, new + (t - 1) / after * (new - r), after
-        return r, ahead
+        """(rates, which of them move with the prices)."""
+        r = 1 - p @ self.price
+        return np.clip(r, 0, self.most), (r > 0) & (r <= self.most)
 
 
 def _p(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -149,26 +147,30 @@ def _p(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def brought(members: DataFrame, steps: Steps, n: int) -> np.ndarray:
-    """(3, domains): mass, tokens brought at the point ahead, and at the rates."""
+    """(3 + domains, domains): mass, tokens brought, the dual's part that is a sum over documents (in its first column), and how tokens fall with prices."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, n))
+        total = np.zeros((3 + n, n))
         for batch in batches:
             p, t = _p(batch)
-            r, ahead = steps.rates(p)
-            total += np.stack([t @ p, (ahead * t) @ p, (r * t) @ p])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3), n)), pa.array(np.tile(np.arange(n), 3)), pa.array(total.ravel())], names=["what", "domain", "tokens"])
+            r, free = steps.rates(p)
+            total[0] += t @ p
+            total[1] += (r * t) @ p
+            total[2, 0] += t @ ((r - 1) ** 2 / 2 + r * (p @ steps.price))
+            total[3:] += p.T @ (p * (t * free)[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3 + n), n)), pa.array(np.tile(np.arange(n), 3 + n)), pa.array(total.ravel())], names=["what", "domain", "tokens"])
 
     sums = members.select("n_tokens", "p").mapInArrow(apply, "what bigint, domain bigint, tokens double").groupBy("what", "domain").agg(F.sum("tokens").alias("tokens")).collect()
-    out = np.zeros((3, n))
+    out = np.zeros((3 + n, n))
     for r in sums:
         out[r["what"], r["domain"]] = r["tokens"]
     return out
 
 
 def solve(members: DataFrame, domains: list[str], weights: dict[str, float], most: float, tokens: float | None = None, pull: float = 1e-3, rounds: int = 60, close: float = 1e-3) -> tuple[Steps, np.ndarray]:
-    """The steps that lead to the rates, and the targets."""
-    steps, n = Steps(pull, most), len(domains)
+    """The steps that lead to the rates, and the targets; ``pull`` is the first, ``rounds`` the most sums over the corpus."""
+    n = len(domains)
+    steps = Steps(np.zeros(n), most)
     sums = brought(members, steps, n)
     mass = sums[0]
     w = np.array([weights.get(k, 0.0) for k in domains]) * (mass > 0)
@@ -178,11 +180,30 @@ def solve(members: DataFrame, domains: list[str], weights: dict[str, float], mos
     some = w > 0
     total = tokens if tokens is not None else float(min(mass.sum(), (most * mass[some] / w[some]).min()))
     target = total * w
-    for _ in range(rounds):
-        steps.excess.append(np.where(mass > 0, (sums[1] - target) / np.maximum(mass, 1e-9), 0.0))
-        sums = brought(members, steps, n)
-        if np.abs(sums[2] - target).max() <= close * total:
-            break
+    near = close * np.where(some, target, total)
+    dual = lambda at, sums: sums[2, 0] - target @ at.price - pull / 2 * mass @ at.price**2
+    gap, left = np.inf, rounds
+    while not (reached := bool((np.abs(sums[1] - target) <= near).all())) and left:
+        slope = sums[1] - target - pull * mass * steps.price
+        if (np.abs(slope) <= near / 10).all():  # solved with this pull
+            before, gap = gap, np.sqrt(((sums[1] - target)[mass > 0] ** 2 / mass[mass > 0]).sum())
+            if gap > 0.9 * before:  # less pull doesn't help: the targets can't be met
+                break
+            pull /= 100
+            continue
+        step = np.linalg.solve(sums[3:] + np.diag(np.where(mass > 0, pull * mass, 1.0)), slope)
+        share = 1.0
+        while left:
+            trial = Steps(steps.price + share * step, most)
+            at, left = brought(members, trial, n), left - 1
+            if dual(trial, at) >= dual(steps, sums) + 1e-4 * share * (slope @ step):
+                steps, sums = trial, at
+                break
+            share /= 2
+    steps.reached = reached
+    if not steps.reached:
+        far = ", ".join(f"{k} {got:.0f} of {want:.0f}" for k, got, want in zip(domains, sums[1], target, strict=True))
+        warnings.warn(f"mixing: targets missed after {rounds - left} rounds; tokens brought: {far}", RuntimeWarning, stacklevel=2)
     return steps, target
 
 

@@ -410,6 +410,18 @@ def test_mixing(spark, small):
     assert np.abs((steps.rates(p)[0] * t) @ p - target).max() < 0.01 * target.sum()
 
 
+def test_mixing_meets_small_targets(spark):
+    """Each domain within a share of its own target; what can't be met is reported."""
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([2, 0.3, 0.15], 800), rng.integers(1, 90, 800).astype(float)
+    members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "n_tokens bigint, p array<double>")
+    steps, target = mixing.solve(members, ["a", "b", "c"], {"a": 0.94, "b": 0.05, "c": 0.01}, np.inf)
+    assert steps.reached and (np.abs((steps.rates(p)[0] * t) @ p / target - 1) <= 1e-3).all()
+    with pytest.warns(RuntimeWarning, match="targets missed"):
+        steps, target = mixing.solve(members, ["a", "b", "c"], {"a": 0.3, "b": 0.01, "c": 0.69}, 1.0, tokens=t.sum())
+    assert not steps.reached
+
+
 def test_language_id(spark, small):
     texts, langs = one_each(small), {d[0]: d[2] for d in small[1]}
     out = {r["doc_id"]: r for r in rows(spark, small, "op10_language_id")}
