@@ -2,8 +2,8 @@
 
 Patterns (code points, leftmost non-overlapping for each kind, failing matches dropped afterwards): ``assign``,
 ``access`` and ``hex``.  Novelty (kind ``novel``): a candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_-]``
-that holds a digit, and a letter, lies outside the patterns' spans, and has a sensitive word in the 64 characters before
-it.  Its marginal size is the compressed size of (surroundings + candidate) less that of the surroundings alone, with a
+that holds a letter, lies outside the patterns' spans, and has a sensitive word in the 64 characters before or after it; a
+run that holds such a word is measured before and after the word.  Its marginal size is the compressed size of (surroundings + candidate) less that of the surroundings alone, with a
 dictionary of code identifiers, sensitive names and ordinary assignments as history; at ``LEAST_RATIO`` bytes a character
 or more it is reported.  Identifiers, paths and words repeated nearby cost little and are not.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,19 +58,27 @@ class Novelty:
         return size(around + candidate) - size(around)
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        found, last = [], 0
-        for word in CONTEXT.finditer(text):  # only what follows a sensitive word is looked at, each place once
-            at = max(word.end(), last)
-            while (m := CANDIDATE.search(text, at, word.end() + AROUND + 16)) and m.start() <= word.end() + AROUND:
-                a = m.start()
-                at = last = CANDIDATE.match(text, a).end()
-                s = text[a:at]
-                if not (re.search(r"\d", s, re.A) and re.search(r"[A-Za-z]", s)) or any(x < at and a < y for x, y in taken):
-                    continue
-                around = text[max(0, a - AROUND) : a] + text[at : at + AROUND]
-                if self.marginal(around, s) >= LEAST_RATIO * len(s):
-                    found.append((a, at))
-        return found
+        words, looked, last = [m.span() for m in CONTEXT.finditer(text)], [], 0
+        for _, end in words:  # what follows a sensitive word, each place once
+            at = max(end, last)
+            while (m := CANDIDATE.search(text, at, end + AROUND + 16)) and m.start() <= end + AROUND:
+                at = last = CANDIDATE.match(text, m.start()).end()
+                looked.append((m.start(), at))
+        starts, after = [a for a, _ in words], [a for a, _ in looked]
+        for m in CANDIDATE.finditer(text) if words else ():  # what stands before one
+            a, b = m.span()
+            k = bisect_left(starts, a + 16)
+            if k < len(starts) and starts[k] <= b + AROUND:
+                b = min(b, starts[k])
+                i = bisect_left(after, b)
+                if not i or looked[i - 1][1] <= a:
+                    looked.append((a, b))
+        return sorted(x for x in looked if self.novel(text, *x, taken))
+
+    def novel(self, text: str, a: int, b: int, taken: list[tuple[int, int]]) -> bool:
+        if not re.search(r"[A-Za-z]", text[a:b]) or any(x < b and a < y for x, y in taken):
+            return False
+        return self.marginal(text[max(0, a - AROUND) : a] + text[b : b + AROUND], text[a:b]) >= LEAST_RATIO * (b - a)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -395,6 +395,16 @@ def test_novelty():
     assert key not in secrets.redact(text, spans) and secrets.redact("abcd", [(0, 2, "hex"), (1, 3, "assign")]) == "[secret]d"
 
 
+def test_novelty_of_letters_and_on_both_sides():
+    key, other = "QwvZkTnRbXyLpGhJdM", "p7Kd93Zx+Lq0WmVt/8sRyB"
+    for text in (f"Authorization: Bearer {key}\n", f"Bearer {other}\n", f"{key} # client secret\n", f"{other} is the token"):
+        spans = secrets.all_spans(text, secrets.base_spans(text), secrets.Novelty())
+        assert [text[a:b] for a, b, kind in spans if kind == "novel"] == [key if key in text else other]
+        assert key not in secrets.redact(text, spans) and other not in secrets.redact(text, spans)
+    for text in ("secret " + "x" * 3000, "x" * 3000 + " secret", f"{key} stands alone", key + " " * 65 + "secret", "token 12345678901234567890"):
+        assert secrets.all_spans(text, [], secrets.Novelty()) == []
+
+
 def test_mixing(spark, small):
     out = rows(spark, small, "op9_mixing")
     assert len(out) == len(small[1]) and all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in out)
