@@ -11,7 +11,8 @@
    that can reach the threshold (sizes, signatures and cut sets permitting) is confirmed; others never leave their task.  Pairs inside a component need no check.
    A round like the first goes before it, for rows still outside their bucket's largest component.
 
-A pair at similarity s shares no band with probability (1 - s**4)**16: 7e-6 at 0.85.  Signatures are compared with a
+A pair at similarity s shares no band with probability (1 - s**rows)**(64 // rows): with 4 rows 7e-6 at 0.85; below a
+threshold of 0.85 bands have 3 rows: 3e-7 at 0.80.  Signatures are compared with a
 margin of 4.5 standard deviations before a pair is left out.
 
 Null and empty texts and texts without words have no set and are linked with nothing.  Rows that repeat a doc_id count
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,16 @@ from .common import materialize, slices, table, utf8
 from .components import connected_components
 from .superminhash import bands, set_hashes, shingles, signatures
 
-SLOTS, ROWS, BLOCK, COMMON, NEAREST, NARROW = 64, 4, 1024, 16, 4, 1024
+SLOTS, BLOCK, COMMON, NEAREST, NARROW = 64, 1024, 16, 4, 1024
 STEP = 1 << 20
 
 
-def signed(docs: DataFrame, key: str, size: int) -> DataFrame:
+def rows_of(percent: int) -> int:
+    """Slots a band."""
+    return 4 if percent >= 85 else 3
+
+
+def signed(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
     """key, n_shingles, h1, h2, sig (16 bits a slot), bands (keys)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +51,7 @@ def signed(docs: DataFrame, key: str, size: int) -> DataFrame:
             for i, j in slices(offsets, STEP):
                 e, at = shingles(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], size)
                 sig = signatures(e, at, SLOTS)
-                keys = bands(sig, ROWS)
+                keys = bands(sig, rows_of(percent))
                 h1, h2 = (h.view(np.int64) for h in set_hashes(e, at))
                 low = (sig ^ (sig >> np.uint64(32))).astype(np.uint16)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
@@ -156,9 +163,13 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bands(t: pa.Table) -> np.ndarray:
+    return pc.list_flatten(t.column("bands")).to_numpy().reshape(t.num_rows, -1)
+
+
 def _earlier(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
-    """Whether rows i of a and b meet in a band before this one, too."""
-    return (a == b).reshape(len(a), SLOTS // ROWS, ROWS).all(2)[:, :band].any(1) if band else np.zeros(len(a), bool)
+    """Whether rows i of a and b, band keys, meet in a band before this one, too."""
+    return (a[:, :band] == b[:, :band]).any(1)
 
 
 def nearest_links(percent: int) -> callable:
@@ -169,6 +180,7 @@ def nearest_links(percent: int) -> callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
             band, node, size, sig = t.column("band").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
+            keys = _bands(t)
             comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
             name = comp if comp is not None else node
             briefs = Briefs(t)
@@ -183,7 +195,7 @@ def nearest_links(percent: int) -> callable:
             ok = fits(two, two + 1, (sig[two] == sig[two + 1]).sum(1))
             for b in np.unique(band[two]):
                 pick = two[ok & (band[two] == b)]
-                pick = pick[~_earlier(sig[pick], sig[pick + 1], int(b))]
+                pick = pick[~_earlier(keys[pick], keys[pick + 1], int(b))]
                 pick = pick[[bool(briefs.reach(int(x), np.array([x + 1]), percent)[0]) for x in pick]] if len(pick) else pick
                 left.append(pick)
                 right.append(pick + 1)
@@ -222,6 +234,7 @@ def all_links(percent: int) -> callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, 3):
             band, node, size, sig = t.column("band").to_numpy(), t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
+            keys = _bands(t)
             comp, guest, stray = t.column("comp").to_numpy(), t.column("guest").to_numpy(zero_copy_only=False), t.column("stray").to_numpy(zero_copy_only=False)
             briefs = Briefs(t)
             for s, z in zip(starts[:-1], starts[1:], strict=True):
@@ -234,7 +247,7 @@ def all_links(percent: int) -> callable:
                     ok &= ~stray[own] | (node[g][:, None] < node[own])  # two strays meet twice
                     i, j = np.nonzero(ok)
                     i, j = g[i], own[j]
-                    new = ~_earlier(sig[i], sig[j], int(band[s]))
+                    new = ~_earlier(keys[i], keys[j], int(band[s]))
                     i, j = i[new], j[new]
                     may = [briefs.reach(int(x), j[i == x], percent) for x in np.unique(i)]
                     may = np.concatenate([np.zeros(0, bool), *may])
@@ -289,21 +302,21 @@ def dealt(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id, kept for each row of ``docs`` (key: an integer)."""
     docs = docs.select(F.col(key).cast("bigint").alias("node"), "text")
-    table_ = materialize(signed(docs, "node", size), "signed")
+    table_ = materialize(signed(docs, "node", size, percent), "signed")
     linked = table_.where("n_shingles > 0 AND node IS NOT NULL")
     classes = materialize(linked.groupBy("n_shingles", "h1", "h2").agg(F.min("node").alias("rep")), "classes")
     reps = linked.join(classes.select(F.col("rep").alias("node"), "n_shingles", "h1", "h2"), ["node", "n_shingles", "h1", "h2"], "left_semi").dropDuplicates(["node"])
     reps = materialize(reps.select("node", "n_shingles", "sig", "bands"), "reps")
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    buckets = keyed.join(shared, ["band", "key"]).join(reps.select("node", "n_shingles", "sig"), "node")
-    buckets = materialize(buckets.select("band", "key", "cnt", "node", "n_shingles", "sig"), "buckets")
+    buckets = keyed.join(shared, ["band", "key"]).join(reps.select("node", "n_shingles", "sig", "bands"), "node")
+    buckets = materialize(buckets.select("band", "key", "cnt", "node", "n_shingles", "sig", "bands"), "buckets")
     met = buckets.select("node").distinct()
     # a merge join at every size, so that small inputs behave like large ones
     members = materialize(sets(docs.hint("merge").join(met, "node", "left_semi"), size).dropDuplicates(["node"]), "sets")
     briefs = members.select("node", "brief")
 
-    columns = ["band", "key", "block", "node", "n_shingles", "sig"]
+    columns = ["band", "key", "block", "node", "n_shingles", "sig", "bands"]
     rows = blocks(buckets, True).select(*columns).join(briefs, "node").select(*columns, "brief")
     pairs = dealt(rows).mapInArrow(nearest_links(percent), "a bigint, b bigint").distinct()
     links = materialize(confirm(pairs, members, percent), "links")

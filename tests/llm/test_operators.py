@@ -329,6 +329,16 @@ def test_a_hot_group_of_near_copies(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+def test_bands_suit_the_threshold(spark):
+    """Misses at the threshold are rarer than one in 10**5, and a pair counts as met only where the whole keys agree."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "node bigint, text string")
+    for percent in (85, 80):
+        n = len(near_dup.signed(docs, "node", 3, percent).first()["bands"])
+        assert (1 - (percent / 100) ** (near_dup.SLOTS // n)) ** n < 1e-5
+    a, b = np.array([[1, 2, 3], [1 << 16, 2, 3]]), np.array([[1, 5, 3], [0, 5, 3]])
+    assert near_dup._earlier(a, b, 2).tolist() == [True, False] and not near_dup._earlier(a, b, 0).any()
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(4)
     both = rng.integers(0, 2**63, 300).astype(np.uint64)
