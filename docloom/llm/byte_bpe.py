@@ -1,20 +1,26 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
-
-A text is cut by the tokenizer's pattern; each word's bytes are folded: the state is the pieces and the ranks of the
-neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are handled
-as strings of one character a byte (ISO-8859-1).  Ranks are a literal: an array of small maps, indexed by crc32 of the
-piece, as one large map would be searched from end to end.  Its size is the vocabulary's.  Each literal is bound once in
-an expression, so a task carries one copy.
-
-Frequent words are folded once: the ``hot`` most frequent distinct words of a bounded sample of documents are a second
-map of the same kind, word to ids.  That is a cache only; all other words are folded where they stand, so nothing
-is shuffled and no table that grows with the corpus is broadcast.
-
-The fold takes time with the square of a word's length.  Texts with a word of more than ``LONGEST`` bytes go another way
-with the same result: the same merges, from a heap, in Python.
+"""Byte-level BPE encoding and decoding: distinct words are folded once, by Spark higher-order functions.
+
+1. Texts are cut once, by the tokenizer's pattern, in Arrow batches.  A text becomes the codes of its units (words, see
+   below); about ``CHUNK`` bytes of text share one list of distinct units.  Both are written to the shared folder, in
+   buckets by chunk.
+2. The distinct units of all chunks meet by value and each is folded once: the state is the pieces and the ranks of the
+   neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are
+   handled as strings of one character a byte (ISO-8859-1).  Ranks are a literal: an array of small maps, indexed by crc32
+   of the piece, as one large map would be searched from end to end.  Its size is the vocabulary's.
+3. Ids go back to the chunks, at most one row for a unit of a chunk, and each chunk's texts are put together from them.
+
+So a word costs one fold for the corpus and one row a chunk, however often it occurs; texts aren't shuffled at all.
+Words that are pieces need no fold; neither do the ``hot`` most frequent others of a bounded sample of documents, which
+are folded beforehand and broadcast.  That saves rows and changes no result: every other unit goes the way above.
+
+The fold takes time with the square of a unit's length.  Words of more bytes than the longest piece are first cut
+wherever no piece that occurs there reaches across; no merge can cross such a place, so the parts are units of their
+own.  A part that still has over ``LONGEST`` bytes (a long run of one character, say) is merged from a heap, with the same
+result, and its pieces become the units.
 
 Decoding concatenates the ids' binary pieces.  Null and empty texts have no ids; repeated rows get equal results; an
-empty table gives an empty table.
+empty table gives an empty table; columns of any name and type are carried along, but ValueError says so if one has the
+name of an output.  The texts must come from stored tables (a recomputed partition has its rows in the same order).
 """
 
 from __future__ import annotations
@@ -22,17 +28,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_order, table
+from .common import shared_dir, table
 
-LONGEST = 64
+LONGEST = 256
 BUCKETS = 1 << 16
+CHUNK = 16 << 20
+#: Texts of more characters are cut a block of words at a time.
+BLOCK = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,30 +55,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with Unicode white space, as its own engine has it."""
-    return f"(?U){pattern}"
-
-
-def _bucketed(entries: DataFrame, kind: str) -> Column:
-    """A literal array of maps for a small table (key, value): crc32 of the key picks the map.
-
-    The table is put together as one JSON text by Spark, so the driver's Python holds a string and nothing else."""
-    spark = entries.sparkSession
-    maps = entries.groupBy((F.crc32(F.col("key").cast("binary")) % BUCKETS).alias("b")).agg(F.collect_list(F.struct("key", "value")).alias("m"))
-    rows = spark.range(BUCKETS).select(F.col("id").alias("b")).join(maps, "b", "left").select(F.struct("b", "m").alias("row"))
-    one = F.transform(F.array_sort(F.collect_list("row")), lambda r: F.map_from_entries(F.filter(r["m"], lambda x: x["key"].isNotNull())))
-    text = rows.agg(F.to_json(one).alias("json")).first()["json"]
-    return F.from_json(F.lit(text), f"array<map<string,{kind}>>")
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _look_up(literal: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map: an array of maps, of which crc32 of the piece picks one."""
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.decode("latin-1")
+        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def look_up(literal: Column, piece: Column) -> Column:
+    return F.try_element_at(F.get(literal, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
 
 def fold(word: Column, rank) -> Column:
@@ -73,13 +80,14 @@ def fold(word: Column, rank) -> Column:
 
     def merge(state: Column, least: Column) -> Column:
         pieces, ranks = state["pieces"], state["ranks"]
+        rest = F.size(pieces)
 
         def at(i: Column) -> Column:  # from 1: merges pieces i and i + 1
             def joined(both: Column) -> Column:
                 last = F.array(F.when(i + 1 < F.size(pieces), rank(F.concat(both, F.get(pieces, i + 1)))))
-                new = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), both))), last, F.slice(ranks, i + 2, F.lit(LONGEST))))
-                new = new.otherwise(F.concat(last, F.slice(ranks, F.lit(3), F.lit(LONGEST))))
-                return F.struct(F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(both), F.slice(pieces, i + 2, F.lit(LONGEST))).alias("pieces"), new.alias("ranks"))
+                new = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), both))), last, F.slice(ranks, i + 2, rest)))
+                new = new.otherwise(F.concat(last, F.slice(ranks, F.lit(3), rest)))
+                return F.struct(F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(both), F.slice(pieces, i + 2, rest)).alias("pieces"), new.alias("ranks"))
 
             return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), joined)
 
@@ -95,83 +103,11 @@ def fold(word: Column, rank) -> Column:
     return F.transform(done, rank)
 
 
-class Tokenizer:
-    """Column functions for one vocabulary."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.spark, self.ranks, self.pattern = spark, ranks, pattern
-        given = F.from_json(F.lit(json.dumps([[k.decode("latin-1"), str(v)] for k, v in ranks.items()])), "array<array<string>>")
-        pairs = spark.range(1).select(F.explode(given).alias("x")).select(F.col("x")[0].alias("key"), F.col("x")[1].cast("int").alias("value"))
-        self.literal = _bucketed(pairs, "int")
-        top = max(ranks.values()) + 1
-        pieces = [""] * top
-        for k, v in ranks.items():
-            pieces[v] = k.hex()
-        one = lambda texts: F.split(F.lit(",".join(texts)), ",")
-        self.piece_hex, self.id_hex = one(pieces), one([i.to_bytes(4, "little").hex() for i in range(top)])
-
-    def words(self, text: Column) -> Column:
-        """The pattern's matches."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(self.pattern)), F.lit(0))
-
-    def _ids(self, literal: Column, word: Column) -> Column:
-        def rank(piece: Column) -> Column:
-            return _look_up(literal, piece)
-
-        def of(raw: Column) -> Column:
-            return _let(rank(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(raw, rank)))
-
-        return _let(F.decode(word.cast("binary"), "ISO-8859-1"), of)
-
-    def word_ids(self, words: DataFrame, word: str) -> DataFrame:
-        """``words`` with ids; a word that is a piece itself needs no merges."""
-        return words.select(*words.columns, _let(self.literal, lambda ranks: self._ids(ranks, F.col(word))).alias("ids"))
-
-    def encode(self, texts: DataFrame, text: str, hot: Column) -> DataFrame:
-        """``texts`` with ids, instead of ``text``; texts with a long word are left out.  ``hot``: see hot_words.
-
-        An array of one or none is exploded, as a filter would be pushed down and cut the texts into words again."""
-
-        def all_ids(ranks: Column) -> Column:
-            def of(cached: Column) -> Column:
-                def one(w: Column) -> Column:
-                    return F.coalesce(_look_up(cached, w), self._ids(ranks, w))
-
-                return _let(self.words(F.col(text)), lambda words: F.when(~_long(words), F.array(F.flatten(F.transform(words, one)))))
-
-            return _let(hot, of)
+def heap_merge(piece: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """The same merges as ``fold`` for a piece of any length: lowest rank first, leftmost among equals.
 
-        kept = [c for c in texts.columns if c != text]
-        return texts.select(*kept, F.explode(_let(self.literal, all_ids)).alias("ids"))
-
-    def _each(self, texts: DataFrame, ids: str, name: str, pieces: Column) -> DataFrame:
-        each = _let(pieces, lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
-        return texts.select(*texts.columns, F.unhex(F.array_join(each, "")).alias(name))
-
-    def decode(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
-        """``texts`` with the ids' binary pieces concatenated."""
-        return self._each(texts, ids, name, self.piece_hex)
-
-    def id_bytes(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
-        """``texts`` with ids as little-endian unsigned 32-bit integers."""
-        return self._each(texts, ids, name, self.id_hex)
-
-    def hot_words(self, docs: DataFrame, documents: int, hot: int) -> Column:
-        """The most frequent words of about ``documents`` documents with their ids, as a map in buckets."""
-        n = docs.count()
-        sample = docs.where(sample_order(F.col("doc_id")) < min(1.0, documents / max(n, 1)))
-        words = sample.select(F.explode(self.words(F.col("text"))).alias("key")).where(F.octet_length("key") <= LONGEST)
-        words = words.groupBy("key").count().orderBy(F.desc("count"), "key").limit(hot).select("key")
-        return _bucketed(self.word_ids(words.repartition(min(64, 1 + hot // 4000)), "key").withColumnRenamed("ids", "value"), "array<int>")
-
-
-def _long(words: Column) -> Column:
-    return F.exists(words, lambda w: F.octet_length(w) > LONGEST)
-
-
-def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges as ``fold`` for a piece of any length: lowest rank first, leftmost among equals."""
-    if piece in ranks:
+    ``whole``: a piece of the vocabulary is itself, without merges."""
+    if whole and piece in ranks:
         return [ranks[piece]]
     n = len(piece)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -203,35 +139,258 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _long_texts(docs: DataFrame, tokenizer: Tokenizer, keep: list[str]) -> DataFrame:
-    ranks, pattern = tokenizer.ranks, tokenizer.pattern
-    pieces = {v: k for k, v in ranks.items()}
+def parts(word: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
+    """``word`` cut wherever no piece that occurs in it there reaches across: merges never cross such a place."""
+    n, reach, begin, out = len(word), 0, 0, []
+    for i in range(n):
+        if i and reach <= i:
+            out.append(word[begin:i])
+            begin = i
+        for j in range(min(n, i + longest), max(reach, i + 1), -1):
+            if word[i:j] in ranks:
+                reach = j
+                break
+    return [*out, word[begin:]]
+
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Cutter:
+    """Cuts texts into units and numbers them: pieces by rank, hot words next, then a chunk's own units by appearance."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, hot: list[bytes]):
         import regex
 
-        cut = regex.compile(pattern)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids = [i for m in cut.finditer(batch.column(batch.num_columns - 1)[k].as_py()) for i in heap_merge(m[0].encode(), ranks)]
-                raw = b"".join(i.to_bytes(4, "little") for i in ids)
-                row = [pa.array([len(ids)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([hashlib.sha256(b"".join(pieces[i] for i in ids)).hexdigest()])]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in range(len(keep))], *row], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        self.find = regex.compile(pattern)
+        self.ranks, self.longest, self.names = ranks, max(map(len, ranks)), {}
+        self.first = max(ranks.values()) + 1 + len(hot)
+        known = {}
+        for piece, rank in ranks.items():
+            try:
+                known[piece.decode()] = rank
+            except UnicodeDecodeError:
+                pass  # no text holds it as a word
+        known |= {w.decode(): self.first - len(hot) + i for i, w in enumerate(hot)}
+        outer = self
+
+        class Codes(dict):
+            def __missing__(self, word: str) -> int:
+                """A new word's code; of a long one, -1 less its place among the chunk's lists of parts."""
+                raw = word.encode()
+                if len(raw) <= outer.longest:
+                    self[word] = code = outer._unit(raw)
+                else:
+                    outer.lists.append(np.array(outer._long(raw), np.int64))
+                    self[word] = code = -len(outer.lists)
+                return code
+
+        self._fresh = lambda: Codes(known)
+        self.start()
+
+    def start(self) -> None:
+        """A new chunk."""
+        self.units, self.of_unit, self.lists, self.codes = [], {}, [], self._fresh()
+
+    def _unit(self, raw: bytes) -> int:
+        if (rank := self.ranks.get(raw)) is not None:
+            return rank
+        if raw not in self.of_unit:
+            self.of_unit[raw] = self.first + len(self.units)
+            self.units.append(raw)
+        return self.of_unit[raw]
+
+    def _long(self, raw: bytes) -> Iterator[int]:
+        out = []
+        for part in parts(raw, self.ranks, self.longest):
+            if part in self.ranks or len(part) > LONGEST:
+                out += heap_merge(part, self.ranks, whole=False)
+            else:
+                out.append(self._unit(part))
+        return out
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= BLOCK:
+            yield self.find.findall(text)
+            return
+        found = (m[0] for m in self.find.finditer(text))
+        while block := list(itertools.islice(found, BLOCK >> 3)):
+            yield block
+
+    def cut(self, text: str | None) -> np.ndarray:
+        """Codes of a text's units, in order."""
+        out = [np.zeros(0, np.uint32)]
+        for words in self.words(text or ""):
+            codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            if len(codes) and codes.min() < 0:
+                codes = np.concatenate([self.lists[-c - 1] if c < 0 else np.array([c]) for c in codes.tolist()])
+            out.append(codes.astype(np.uint32))
+        return np.concatenate(out)
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    return kept.mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]))
 
+class Tokenizer:
+    """One vocabulary: ranks of byte strings and the pattern that cuts texts into words."""
 
-def digests(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], sample: int = 12000, hot: int = 200000) -> DataFrame:
-    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
-    if taken := {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "__text", "__raw", "__decoded"} & set(keep):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+        self.spark, self.ranks, self.pattern = spark, ranks, pattern
+        self.literal = rank_literal(ranks)
+
+    def unit_ids(self, units: DataFrame, unit: str) -> DataFrame:
+        """``units`` with ids of its binary column ``unit``; a unit that is a piece itself needs no merges."""
+
+        def ids(ranks: Column) -> Column:
+            def rank(piece: Column) -> Column:
+                return look_up(ranks, piece)
+
+            def of(raw: Column) -> Column:
+                return _let(rank(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(raw, rank)))
+
+            return _let(F.decode(F.col(unit), "ISO-8859-1"), of)
+
+        return units.select("*", _let(self.literal, ids).alias("ids"))
+
+    def decode(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
+        """``texts`` with the binary pieces of the array ``ids`` concatenated; null ids give null."""
+        pieces = [""] * (max(self.ranks.values()) + 1)
+        for k, v in self.ranks.items():
+            pieces[v] = k.hex()
+        each = _let(F.split(F.lit(",".join(pieces)), ","), lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
+        return texts.select("*", F.unhex(F.array_join(each, "")).alias(name))
+
+    def hot_words(self, texts: DataFrame, documents: int, hot: int) -> list[tuple[bytes, list[int]]]:
+        """The ``hot`` most frequent units of about ``documents`` of the texts that are no pieces, with their ids."""
+        n = texts.count()
+        if not n:
+            return []
+        ranks, pattern = self.ranks, self.pattern
+
+        def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cutter = Cutter(ranks, pattern, [])
+            for batch in batches:
+                cutter.start()
+                counts: Counter[int] = Counter()
+                for text in batch.column(0):
+                    codes, times = np.unique(cutter.cut(text.as_py()), return_counts=True)
+                    counts.update(dict(zip(codes.tolist(), times.tolist(), strict=True)))
+                found = [(c, k) for c, k in counts.items() if c >= cutter.first]
+                columns = [pa.array([cutter.units[c - cutter.first] for c, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "times"])
+
+        sample = texts.sample(min(1.0, documents / n), seed=1).mapInArrow(apply, "unit binary, times bigint")
+        top = sample.where("length(unit) > 1").groupBy("unit").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "unit").limit(hot)
+        found = self.unit_ids(top.select("unit").repartition(min(64, 1 + hot // 4000)), "unit").toArrow()
+        words, ids = found["unit"].to_pylist(), found["ids"].to_pylist()
+        return [(w, i) for w, i in zip(words, ids, strict=True) if _is_text(w)]
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        return bool(raw.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def _table_of(df: DataFrame, name: str, chunk: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``chunk``, so that rows of a chunk need no exchange to meet."""
+    spark = df.sparkSession
+    name = f"docloom_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, chunk).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+OUTPUTS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iterable[str], sample: int = 12000, hot: int = 1 << 17) -> DataFrame:
+    """Columns ``keep`` with ``outputs`` (of OUTPUTS) of each whole text."""
+    outputs = list(outputs)
+    if taken := {c.lower() for c in keep} & set(outputs):
         raise ValueError(f"columns already there: {sorted(taken)}")
-    cached = tokenizer.hot_words(docs, sample, hot)
-    words = tokenizer.words(F.col("text"))
-    short = tokenizer.encode(docs.select(*keep, F.col("text").alias("__text")), "__text", cached)
-    short = tokenizer.decode(tokenizer.id_bytes(short, "ids", "__raw"), "ids", "__decoded")
-    short = short.select(*keep, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("__raw", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
-    return short.unionByName(_long_texts(docs.where(_long(words)), tokenizer, keep))
+    ranks, pattern = tokenizer.ranks, tokenizer.pattern
+    hot_ids = tokenizer.hot_words(docs.select("text"), sample, hot)
+    shared = tokenizer.spark.sparkContext.broadcast((ranks, hot_ids))
+    names = [f"__c{i}" for i in range(len(keep))]
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("__text"))
+    kept = given.drop("__text")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, hot_ids = shared.value
+        cutter = Cutter(ranks, pattern, [w for w, _ in hot_ids])
+        number = TaskContext.get().partitionId() << 24
+        size, columns = 0, [*names, "chunk", "codes", "units"]
+
+        def units(types: list[pa.DataType]) -> pa.RecordBatch:
+            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), pa.array([cutter.units], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(out, names=columns)
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column(k).type for k in range(len(names))]
+            texts, i = batch.column(len(names)), 0
+            while i < batch.num_rows:
+                codes, begin = [], i
+                while i < batch.num_rows and size < CHUNK:
+                    codes.append(cutter.cut(texts[i].as_py()).tobytes())
+                    size += 5 * len(codes[-1]) // 4 + 1  # about the text's bytes
+                    i += 1
+                out = [*[batch.column(k).slice(begin, i - begin) for k in range(len(names))], pa.array([number] * (i - begin), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(codes, pa.binary()), pa.nulls(i - begin, pa.list_(pa.binary()))], names=columns)
+                if size >= CHUNK:
+                    yield units(types)
+                    cutter.start()
+                    number, size = number + 1, 0
+        if size:
+            yield units(types)
+
+    fields = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [""])
+    chunks = _table_of(given.mapInArrow(cut, fields + "chunk bigint, codes binary, units array<binary>"), "bpe", "chunk")
+    entries = chunks.where("units IS NOT NULL").select(F.col("chunk").alias("home"), F.posexplode("units").alias("place", "unit")).repartition("unit")
+    folded = tokenizer.unit_ids(entries.select("unit").distinct(), "unit")
+    found = entries.join(folded, "unit").select("home", "place", "ids")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        ranks, hot_ids = shared.value
+        first = max(ranks.values()) + 1
+        pieces = [b""] * first
+        for k, v in ranks.items():
+            pieces[v] = k
+        as_ids = [i.to_bytes(4, "little") for i in range(first)]
+        whole = pieces[:first]
+
+        def add(ids: list[int]) -> tuple[bytes, bytes]:
+            return b"".join([as_ids[i] for i in ids]), b"".join([pieces[i] for i in ids])
+
+        out_ids, out_text = list(as_ids), whole
+        for x, y in (add(ids) for _, ids in hot_ids):
+            out_ids.append(x)
+            out_text.append(y)
+        order = np.argsort(right["place"].to_numpy()).tolist()
+        each = right["ids"].to_pylist()
+        for k in order:
+            x, y = add(each[k])
+            out_ids.append(x)
+            out_text.append(y)
+        got: dict[str, list] = {k: [] for k in outputs}
+        for codes in left["codes"]:
+            codes = np.frombuffer(codes.as_buffer(), np.uint32).tolist()
+            ids = b"".join([out_ids[c] for c in codes])
+            text = b"".join([out_text[c] for c in codes]) if "decoded_sha256" in got else b""
+            for k, make in (
+                ("n_tokens", lambda: len(ids) // 4),  # noqa: B023
+                ("ids_sha256", lambda: hashlib.sha256(ids).hexdigest()),  # noqa: B023
+                ("decoded_sha256", lambda: hashlib.sha256(text).hexdigest()),  # noqa: B023
+                ("ids", lambda: np.frombuffer(ids, "<i4")),  # noqa: B023
+            ):
+                if k in got:
+                    got[k].append(make())
+        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        more = [pa.array(got[k], kinds.get(k, pa.string())) for k in outputs]
+        return pa.Table.from_arrays([*[left[n] for n in names], *more], names=[*names, *outputs])
+
+    rows = chunks.where("codes IS NOT NULL").select(*names, "chunk", "codes")
+    done = rows.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(assemble, fields + ", ".join(f"{k} {OUTPUTS[k]}" for k in outputs))
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *outputs)
+
+
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def production(spark: SparkSession) -> Tokenizer:
@@ -241,9 +400,9 @@ def production(spark: SparkSession) -> Tokenizer:
 
 
 def query(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), production(spark), ["doc_id"])
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), production(spark), ["doc_id"], DIGESTS)
 
 
 def stage(spark, docs, sf_dir):
     """The last stage: each document's token count and digests beside its own columns but text and any of the same names."""
-    return digests(docs, production(spark), [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")])
+    return encode(docs, production(spark), [c for c in docs.columns if c.lower() not in ("text", *DIGESTS)], DIGESTS)

@@ -284,6 +284,41 @@ def test_byte_bpe(spark, small):
         assert byte_bpe.heap_merge(piece, ranks) == model.encode_ordinary(piece.decode())
 
 
+def test_byte_bpe_of_long_words(spark):
+    """Words of 100 bytes and more, without spaces: cut into independent parts, folded, or merged from a heap."""
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    tokenizer = byte_bpe.production(spark)
+    model = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=tokenizer.ranks, special_tokens={})
+    rng = random.Random(4)
+    kana = ["".join(chr(rng.randrange(0x3041, 0x3097)) for _ in range(n)) for n in (34, 60, 200)]
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(400))
+    texts = [*kana, "。".join(kana), thai, base64.b64encode(rng.randbytes(3000)).decode(), "-" * 5000, "ab" * 400, "Donaudampfschifffahrtsgesellschaftskapitänsmütze " * 3, "x" * 257, " " * 999]
+    for t in texts:
+        raw = t.encode()
+        cut = byte_bpe.parts(raw, tokenizer.ranks, 33)
+        assert b"".join(cut) == raw
+        whole = byte_bpe.heap_merge(raw, tokenizer.ranks, whole=False)
+        assert [i for p in cut for i in byte_bpe.heap_merge(p, tokenizer.ranks, whole=False)] == whole
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "`a.b` int, text string")
+    out = byte_bpe.encode(docs, tokenizer, ["a.b"], ["ids"], hot=4)
+    found = {r["a.b"]: r["ids"] for r in out.collect()}
+    assert found == {i: model.encode_ordinary(t) for i, t in enumerate(texts)}
+    back = tokenizer.decode(out, "ids", "raw").collect()
+    assert all(bytes(r["raw"]).decode() == texts[r["a.b"]] for r in back)
+
+
+def test_byte_bpe_carries_columns(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(1, "a b", [1, 2], {"k": 1.5}, 7, "x"), (None, None, None, None, None, None)], "doc_id bigint, text string, codes array<int>, units map<string,double>, N_Tokens int, `a.b` string")
+    out = byte_bpe.stage(spark, docs, None)
+    assert out.columns == ["doc_id", "codes", "units", "a.b", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = sorted(out.collect(), key=lambda r: r["n_tokens"])
+    assert [r["n_tokens"] for r in got] == [0, 2] and got[1]["codes"] == [1, 2] and got[1]["a.b"] == "x"
+    with pytest.raises(ValueError, match="n_tokens"):
+        byte_bpe.encode(docs, byte_bpe.production(spark), ["N_Tokens"], byte_bpe.DIGESTS)
+
+
 def sets_of(text, size):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return frozenset(zip(*[words[i:] for i in range(size)], strict=False)) if len(words) >= size else frozenset([tuple(words)] if words else [])
