@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Recognition and detection sizes, thresholds of probability maps.
-MAX_WIDTH, LONGEST_SIDE, STRIDE, THRESHOLD, LEAST_SIDE = 320, 960, 32, 0.3, 3
+MAX_WIDTH, LONGEST_SIDE, STRIDE, THRESHOLD, LEAST_SIDE, PADDING = 320, 960, 32, 0.3, 3, 0.1
 
 
 def softmax(scores: Column) -> Column:
@@ -73,94 +74,160 @@ def region_confidence(box: Column, text: Column) -> Column:
     return F.least(F.greatest(box * text, F.lit(0.0)), F.lit(1.0))
 
 
-def bands(boxes: Column) -> Column:
-    """array of bands (top, bottom, items) of boxes in the order given: a box joins the last band if its centre or its
-    overlap fits, and moves the band's centre and height half way to its own.  Each decision depends on the one before, so
-    this is a fold over one image's boxes."""
-    start = F.struct(*[F.lit(0.0).alias(k) for k in ("top", "bottom", "centre", "height")], F.filter(boxes, lambda b: F.lit(False)).alias("items"), F.filter(F.transform(boxes, lambda b: F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), boxes.alias("items"))), lambda b: F.lit(False)).alias("done"))
-
-    def step(s: Column, b: Column) -> Column:
-        y, h = b["y"].cast("double"), b["height"].cast("double")
-        centre, bottom = y + h / 2, y + h
-        overlap = F.greatest(F.least(bottom, s["bottom"]) - F.greatest(y, s["top"]), F.lit(0.0))
-        share = F.coalesce(F.try_divide(overlap, F.least(h, s["bottom"] - s["top"])), F.lit(0.0))
-        joins = (F.size(s["items"]) > 0) & ((F.abs(centre - s["centre"]) <= F.greatest(F.greatest(s["height"], h) * 0.6, F.lit(12.0))) | (share >= 0.35))
-        finished = F.when(joins | (F.size(s["items"]) == 0), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["top"], s["bottom"], s["items"]))))
-        return F.struct(
-            F.when(joins, F.least(s["top"], y)).otherwise(y).alias("top"),
-            F.when(joins, F.greatest(s["bottom"], bottom)).otherwise(bottom).alias("bottom"),
-            F.when(joins, (s["centre"] + centre) / 2).otherwise(centre).alias("centre"),
-            F.when(joins, (s["height"] + h) / 2).otherwise(h).alias("height"),
-            F.when(joins, F.concat(s["items"], F.array(b))).otherwise(F.array(b)).alias("items"),
-            finished.alias("done"),
-        )
-
-    last = lambda s: F.when(F.size(s["items"]) > 0, F.concat(s["done"], F.array(F.struct(s["top"], s["bottom"], s["items"])))).otherwise(s["done"])
-    return F.aggregate(boxes, start, step, last)
-
-
-def reading_order(boxes: Column) -> Column:
-    """Boxes (y, x, ...) by bands from the top, in each from the left."""
-    by_y = F.array_sort(boxes)
-    from_left = lambda b: F.transform(F.array_sort(F.transform(b["items"], lambda i: F.struct(i["x"].alias("a"), i["y"].alias("b"), i.alias("i")))), lambda s: s["i"])
-    return F.flatten(F.transform(bands(by_y), from_left))
+def band_numbers(at: np.ndarray, y: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band of each box, counted from 0 in its image, and the band's top and bottom as it stands after the box.
+
+    ``at``: where each image's boxes begin, with the end; boxes in the order they count in.  A box joins the band before it
+    if its centre or its overlap fits, and moves the band's centre and height half way to its own.  Each decision depends on
+    the one before, so all images take their first box together, then their second, and so on."""
+    n = np.diff(at)
+    most_first = np.argsort(-n, kind="stable")
+    sizes = -n[most_first]
+    number, top_of, bottom_of = np.zeros(len(y), np.int64), np.zeros(len(y)), np.zeros(len(y))
+    top, bottom, centre, tall = (np.zeros(len(n)) for _ in range(4))
+    band = np.full(len(n), -1, np.int64)
+    for k in range(int(n.max(initial=0))):
+        i = most_first[: np.searchsorted(sizes, -k)]  # images with more than k boxes
+        box = at[i] + k
+        y0, h = y[box].astype(float), height[box].astype(float)
+        y1, c = y0 + h, y0 + h / 2
+        low = np.minimum(h, bottom[i] - top[i])
+        share = np.maximum(np.minimum(y1, bottom[i]) - np.maximum(y0, top[i]), 0) / np.where(low == 0, np.inf, low)
+        joins = (band[i] >= 0) & ((np.abs(c - centre[i]) <= np.maximum(np.maximum(tall[i], h) * 0.6, 12.0)) | (share >= 0.35))
+        top[i] = np.where(joins, np.minimum(top[i], y0), y0)
+        bottom[i] = np.where(joins, np.maximum(bottom[i], y1), y1)
+        centre[i] = np.where(joins, (centre[i] + c) / 2, c)
+        tall[i] = np.where(joins, (tall[i] + h) / 2, h)
+        band[i] += ~joins
+        number[box], top_of[box], bottom_of[box] = band[i], top[i], bottom[i]
+    return number, top_of, bottom_of
+
+
+def reading_places(at: np.ndarray, x: np.ndarray, y: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """Positions of the boxes of all images in reading order: bands from the top, in each from the left."""
+    image = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    down = np.lexsort((x, y, image))
+    band = band_numbers(at, y[down], height[down])[0]
+    return down[np.lexsort((y[down], x[down], band, image))]
+
+
+def merged_texts(at: np.ndarray, y: np.ndarray, height: np.ndarray, texts: list[str | None]) -> list[str]:
+    """The text of each image's regions, in the order given: bands are lines, wide gaps blank lines."""
+    band, top, bottom = band_numbers(at, y, height)
+    out = []
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        text, before = "", None
+        while begin < end:
+            after = begin + int(np.searchsorted(band[begin:end], band[begin], side="right"))
+            words = [t for r in texts[begin:after] if (t := (r or "").strip(WHITE))]
+            if words:
+                line = (top[after - 1], bottom[after - 1])
+                if before:
+                    text += "\n\n" if max(line[0] - before[1], 0) > max(before[1] - before[0], line[1] - line[0]) * 1.2 else "\n"
+                text, before = text + " ".join(words), line
+            begin = after
+        out.append(text)
+    return out
 
 
-def merge_regions(regions: Column) -> Column:
-    """Text of regions (y, x, width, height, text) in reading order: bands are lines, wide gaps blank lines."""
-    from docloom.functions.text import trim
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    rows = F.transform(bands(regions), lambda b: F.struct(b["top"], b["bottom"], F.array_join(F.filter(F.transform(b["items"], lambda r: trim(r["text"])), lambda t: t != ""), " ").alias("text")))
-    rows = F.filter(rows, lambda r: r["text"] != "")
 
-    def line(r: Column, i: Column) -> Column:
-        p = F.get(rows, i - 1)
-        gap = F.greatest(r["top"] - p["bottom"], F.lit(0.0))
-        wide = gap > F.greatest(p["bottom"] - p["top"], r["bottom"] - r["top"]) * 1.2
-        return F.concat(F.when(i == 0, F.lit("")).when(wide, F.lit("\n\n")).otherwise(F.lit("\n")), r["text"])
+def read_regions(images: DataFrame, boxes: str, merged: str | None = None) -> DataFrame:
+    """``images`` with the array ``boxes`` (structs with x, y, height) in reading order and, if asked for, ``merged``: the
+    regions' texts as Markdown.  Null arrays stay null, null texts are empty."""
+    place = images.columns.index(boxes)
 
-    return F.array_join(F.transform(rows, line), "")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(place)
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+            flat = lists.flatten()
+            x, y, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y", "height"))
+            order = reading_places(at, x, y, h)
+            flat = flat.take(pa.array(order))
+            new = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat, mask=lists.is_null())
+            columns = [new.cast(lists.type) if k == place else batch.column(k) for k in range(batch.num_columns)]
+            if merged:
+                columns.append(pa.array(merged_texts(at, y[order], h[order], flat.field("text").to_pylist()), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[merged] * bool(merged)])
+
+    schema = T.StructType([*images.schema.fields, *([T.StructField(merged, T.StringType())] if merged else [])])
+    return images.mapInArrow(apply, schema)
 
 
 def components(p: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, int, float]]:
-    """(x0, y0, x1, y1, pixels, sum) of the 8-connected regions above the threshold, by least label propagation."""
-    inside = p > threshold
-    label = np.where(inside, np.arange(1, p.size + 1).reshape(p.shape), 0)
-    while True:
-        wide = np.pad(np.where(inside, label, p.size + 1), 1, constant_values=p.size + 1)
-        least = np.min([wide[dy : dy + p.shape[0], dx : dx + p.shape[1]] for dy in range(3) for dx in range(3)], axis=0)
-        new = np.where(inside, least, 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[inside]):
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max()), int(y.max()), len(x), float(p[y, x].sum())))
-    return out
+    """(x0, y0, x1, y1, pixels, sum) of the 8-connected regions at the threshold or above it, by their first pixels: runs of
+    a row joined with the runs of the row before that they touch."""
+    inside = np.zeros((p.shape[0], p.shape[1] + 2), np.int8)
+    inside[:, 1:-1] = p >= threshold
+    change = np.diff(inside, axis=1)
+    (row, begin), (_, end) = np.nonzero(change == 1), np.nonzero(change == -1)
+    parent = np.arange(len(row))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first = np.searchsorted(row, np.arange(p.shape[0] + 1))
+    for r in range(1, p.shape[0]):
+        above, own = slice(first[r - 1], first[r]), slice(first[r], first[r + 1])
+        lo = np.searchsorted(end[above], begin[own], side="left") + first[r - 1]  # ends are exclusive, so corners touch
+        hi = np.searchsorted(begin[above], end[own], side="right") + first[r - 1]
+        for i, (j, k) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True), int(first[r])):
+            for m in range(j, k):
+                a, b = sorted((root(i), root(m)))
+                parent[b] = a
+    label = np.array([root(i) for i in range(len(row))], np.int64)
+    names, label = np.unique(label, return_inverse=True)
+    total = np.concatenate([np.zeros((p.shape[0], 1)), np.cumsum(p, axis=1)], axis=1)
+    out = [np.full(len(names), p.size), np.full(len(names), p.size), np.full(len(names), -1), np.full(len(names), -1)]
+    for ufunc, target, value in ((np.minimum, out[0], begin), (np.minimum, out[1], row), (np.maximum, out[2], end - 1), (np.maximum, out[3], row)):
+        ufunc.at(target, label, value)
+    pixels, sums = np.bincount(label, end - begin, len(names)), np.bincount(label, total[row, end] - total[row, begin], len(names))
+    return list(zip(*[x.tolist() for x in out], pixels.astype(int).tolist(), sums.tolist(), strict=True))
+
+
+def probability_map(values: np.ndarray) -> np.ndarray:
+    """[H, W] of a detector's output: [H, W], [1, H, W], [H, W, 1], [1, 1, H, W] or [1, H, W, 1]; logits become probabilities."""
+    p = np.asarray(values, np.float64)
+    if ((p < 0) | (p > 1)).any():
+        p = 1 / (1 + np.exp(-p))
+    shape = p.shape
+    if p.ndim == 4 and shape[0] == 1:
+        p = p[0]
+    if p.ndim == 3 and p.shape[0] == 1:
+        p = p[0]
+    elif p.ndim == 3 and p.shape[2] == 1:
+        p = p[:, :, 0]
+    if p.ndim != 2:
+        raise ValueError(f"unsupported detector output shape: {list(shape)}")
+    return p
 
 
 def map_boxes(p: np.ndarray, width: int, height: int) -> list[dict]:
-    """Boxes of a probability map (or logits) scaled to an image: padded a tenth, sides of 3 or more, by (y, x)."""
-    p = np.asarray(p, np.float64)
-    p = p.reshape([n for n in p.shape if n != 1][-2:] if p.ndim > 2 else p.shape)
-    if ((p < 0) | (p > 1)).any():
-        p = 1 / (1 + np.exp(-p))
+    """Boxes of a probability map (or logits) scaled to an image: padded a tenth, sides of 3 or more, in reading order."""
+    p = probability_map(p)
     h, w = p.shape
+    if not (h and w and width and height):
+        return []
     out = []
     for x0, y0, x1, y1, n, total in components(p):
         if n < max(4, w * h // 100_000):
             continue
         bw, bh = x1 - x0 + 1, y1 - y0 + 1
         confidence = min(max(total / n * (n / (bw * bh)) ** 0.5, 0.0), 1.0)
-        px, py = max(1, round(bw * 0.1)), max(1, round(bh * 0.1))
+        px, py = (max(1, int(side * PADDING + 0.5)) for side in (bw, bh))
         a, b = max(0, x0 - px), max(0, y0 - py)
         c, d = min(w, x1 + 1 + px), min(h, y1 + 1 + py)
-        left, top = int(a * width / w), int(b * height / h)
-        right, bottom = int(np.ceil(c * width / w)), int(np.ceil(d * height / h))
+        left, top = a * width // w, b * height // h
+        right, bottom = min(-(-c * width // w), width), min(-(-d * height // h), height)
         if right - left >= LEAST_SIDE and bottom - top >= LEAST_SIDE:
             out.append({"x": left, "y": top, "width": right - left, "height": bottom - top, "confidence": confidence})
-    return sorted(out, key=lambda r: (r["y"], r["x"]))
+    x, y, tall = (np.array([b[k] for b in out], np.int64) for k in ("x", "y", "height"))
+    return [out[i] for i in reading_places(np.array([0, len(out)]), x, y, tall)]
 
 
 def detect(maps: DataFrame, key: str) -> DataFrame:

@@ -270,8 +270,8 @@ def largest(spark, d):
 
 def ordered(spark, d):
     b = boxes(spark, d).groupBy("image").agg(F.collect_list(F.struct("y", "x", "width", "height", F.col("ordinal").cast("string").alias("text"))).alias("b"))
-    b = b.withColumn("b", ocr.reading_order(F.col("b")))
-    return b.select("image", F.array_join(F.transform("b", lambda x: x["text"]), ",").alias("reading_order"), ocr.merge_regions(F.col("b")).alias("merged"))
+    b = ocr.read_regions(b, "b", "merged")
+    return b.select("image", F.array_join(F.transform("b", lambda x: x["text"]), ",").alias("reading_order"), "merged")
 
 
 def detected(spark, d):
