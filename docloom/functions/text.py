@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 # Tags that become line breaks, tags that vanish, spaces that become U+0020.
 BLOCK_TAGS = (
-    "<br> <br/> <br_/> <hr> <hr/> <hr_/> <p> </p> <div> </div> <section> </section> <article> </article> <header> </header> "
-    "<footer> </footer> <nav> </nav> <main> </main> <aside> </aside> <BR> <BR/> <BR_/> <HR> <HR/> <HR_/> <P> </P> <DIV> </DIV>"
-).split()
+    "<br>", "<br/>", "<br />", "<hr>", "<hr/>", "<hr />", "<p>", "</p>", "<div>", "</div>", "<section>", "</section>", "<article>", "</article>",
+    "<header>", "</header>", "<footer>", "</footer>", "<nav>", "</nav>", "<main>", "</main>", "<aside>", "</aside>", "<BR>", "<BR/>", "<BR />",
+    "<HR>", "<HR/>", "<HR />", "<P>", "</P>", "<DIV>", "</DIV>",
+)
 INLINE_TAGS = (
-    "<span> </span> <b> </b> <i> </i> <em> </em> <strong> </strong> <u> </u> <s> </s> <del> </del> <ins> </ins> "
-    "<SPAN> </SPAN> <B> </B> <I> </I> <EM> </EM> <STRONG> </STRONG>"
-).split()
+    "<span>", "</span>", "<b>", "</b>", "<i>", "</i>", "<em>", "</em>", "<strong>", "</strong>", "<u>", "</u>", "<s>", "</s>", "<del>", "</del>",
+    "<ins>", "</ins>", "<SPAN>", "</SPAN>", "<B>", "</B>", "<I>", "</I>", "<EM>", "</EM>", "<STRONG>", "</STRONG>",
+)
 SPACES = "              　"
 
 # How extracted page text is folded to ASCII.
@@ -30,6 +31,9 @@ FOLD_ONE = {
 }
 FOLD_DROP = "­​‌‍﻿´`ˊˋ¨ˆ˜"
 
+# Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
@@ -42,7 +46,7 @@ def rtrim(c: Column) -> Column:
 
 def strip_html_tags(c: Column) -> Column:
     """Exact block tags become line breaks, then exact inline tags vanish; most lines have none and are left alone."""
-    block = reduce(lambda x, t: F.replace(x, F.lit(t.replace("_", " ")), F.lit("\n")), BLOCK_TAGS, c)
+    block = reduce(lambda x, t: F.replace(x, F.lit(t), F.lit("\n")), BLOCK_TAGS, c)
     return F.when(c.contains("<"), reduce(lambda x, t: F.replace(x, F.lit(t), F.lit("")), INLINE_TAGS, block)).otherwise(c)
 
 

@@ -1,13 +1,23 @@
-"""Heading- and page-aware chunks of Markdown, as one array expression a document: no shuffle."""
+"""Heading- and page-aware chunks of Markdown, over Arrow batches: a document's sections and paragraphs are packed one after
+the other, so a fold is what they need, and no shuffle.  Lengths are UTF-8 bytes; no character is ever cut."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.functions.text import has_page_markers, lines, opens_section, token_estimate, trim
+from docloom.functions.text import WHITE
 
 MAX_BYTES, OVERLAP = 2200, 150
+_OPENS = re.compile(r"#+ ")
+_MARKER = re.compile(rb"\f|<!-- page ")
 
 
 def as_bytes(c: Column) -> Column:
@@ -25,124 +35,140 @@ def split_sentences(c: Column, most: int = MAX_BYTES) -> Column:
     return F.transform(F.regexp_extract_all(as_bytes(c), F.lit(rule), F.lit(0)), as_text)
 
 
-def pack_paragraphs(c: Column, most: int = MAX_BYTES) -> Column:
-    """Paragraphs packed greedily, larger ones cut at sentences."""
-
-    def step(s: Column, p: Column) -> Column:
-        full = (s["cur"] != "") & (F.octet_length(s["cur"]) + 2 + F.octet_length(p) > most)
-        cur = F.when(full | (s["cur"] == ""), p).otherwise(F.concat(s["cur"], F.lit("\n\n"), p))
-        return F.struct(F.when(full, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]).alias("done"), cur.alias("cur"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    packed = F.aggregate(F.split(c, "\n\n"), start, step, lambda s: F.when(s["cur"] != "", F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))
-    cut = F.flatten(F.transform(packed, lambda f: F.when(F.octet_length(f) > most, split_sentences(f, most)).otherwise(F.array(f))))
-    return F.when(F.octet_length(c) <= most, F.array(c)).otherwise(cut)
-
-
-def _let(value: Column, use) -> Column:
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def sections(md: Column) -> Column:
-    """array of (heading, body, page_start, page_end), blank bodies included; ``md`` trimmed."""
-
-    def of(rows: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: opens_section(trim(F.get(rows, i))))
-
-        def cut(starts: Column) -> Column:
-            def section(start: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(starts, k + 1), F.size(rows))
-                head = trim(F.get(rows, start))
-                heading = F.when(start >= 0, trim(F.regexp_replace(head, r"\A#+ ", "")))
-                raw = F.array_join(F.slice(rows, start + 2, end - start - 1), "\n")
-                size = F.octet_length(raw) + F.when(end - start > 1, F.lit(1)).otherwise(F.lit(0))
-                return F.struct(heading.alias("heading"), trim(raw).alias("body"), head.alias("line"), size.alias("size"))
+def size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
 
-            return F.transform(starts, section)
 
-        return _let(F.concat(F.array(F.lit(-1)), heads), cut)
+def sentence_pieces(text: str, most: int) -> Iterator[str]:
+    """``split_sentences`` of one text."""
+    raw, at = text.encode(), 0
+    while len(raw) - at > most:
+        end = max(raw.rfind(mark, at, at + most) for mark in (b". ", b"? ", b"! ")) + 2
+        if end < at + 2:
+            end = at + most
+            while raw[end] & 0xC0 == 0x80:
+                end -= 1
+        yield raw[at:end].decode()
+        at = end
+    if at < len(raw):
+        yield raw[at:].decode()
 
-    def paged(parts: Column) -> Column:
-        return F.when(has_page_markers(md), _with_pages(md, parts)).otherwise(
-            F.transform(parts, lambda s: F.struct(s["heading"], s["body"], F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end")))
-        )
 
-    return _let(_let(lines(md), of), paged)
-
-
-def page_at(raw: Column, offset: Column) -> Column:
-    """1 and one more for each marker that begins in the first ``offset`` bytes."""
-    return (F.regexp_count(F.substring(raw, F.lit(1), offset), F.lit(r"\f|<!-- page ")) + 1).cast("int")
-
-
-def _with_pages(md: Column, parts: Column) -> Column:
-    """Pages of sections: a section's place is where its heading line is next found in the text."""
-
-    def of(raw: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            found = F.position(as_bytes(x["line"]), raw, s["at"] + 1)
-            at = F.when(x["heading"].isNotNull() & (found > 0), found - 1).otherwise(s["at"])
-            return F.struct(at.alias("at"), F.concat(s["all"], F.array(at)).alias("all"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-
-        def numbered(places: Column) -> Column:
-            def section(s: Column, k: Column) -> Column:
-                at = F.get(places, k)
-                end = F.when(k + 1 == F.size(parts), F.length(raw)).otherwise(at + s["size"])
-                return F.struct(s["heading"], s["body"], page_at(raw, at).alias("page_start"), page_at(raw, end).alias("page_end"))
+def packed(body: str, most: int) -> Iterator[str]:
+    """Paragraphs packed greedily, larger ones cut at sentences."""
+    if size(body) <= most:
+        yield body
+        return
+    held, length = "", 0
+    for paragraph in [*body.split("\n\n"), None]:
+        n = size(paragraph) if paragraph is not None else 0
+        if held and (paragraph is None or length + 2 + n > most):
+            yield from sentence_pieces(held, most) if length > most else (held,)
+            held, length = "", 0
+        if paragraph is not None:
+            held, length = (held + "\n\n" + paragraph, length + 2 + n) if held else (paragraph, n)
+
+
+def page_at(markers: list[int], offset: int) -> int:
+    """1 and one more for each page marker that ends in the first ``offset`` bytes."""
+    return 1 + sum(end <= offset for end in markers)
+
+
+def text_sections(text: str) -> list[tuple[str | None, str, int | None, int | None]]:
+    """(heading, body, first page, last page) of a trimmed text, blank bodies included.
+
+    A section's place is where its heading line is next found; pages are null without page markers."""
+    parts: list[list] = [[None, "", []]]  # heading, its line, the lines below
+    for line in text.removesuffix("\n").split("\n"):
+        line = line.removesuffix("\r")
+        bare = line.strip(WHITE) if "#" in line else ""
+        if bare and (opens := _OPENS.match(bare)):
+            parts.append([bare[opens.end() :].strip(WHITE), bare, []])
+        else:
+            parts[-1][2].append(line)
+    below = ["\n".join(lines) for _, _, lines in parts]
+    if "\f" not in text and "<!-- page " not in text:
+        return [(head, b.strip(WHITE), None, None) for (head, _, _), b in zip(parts, below, strict=True)]
+    raw = text.encode()
+    ends = [m.end() for m in _MARKER.finditer(raw)]
+    places = [0]
+    for _, line, _ in parts[1:]:
+        found = raw.find(line.encode(), places[-1])
+        places.append(found if found >= 0 else places[-1])
+    out = []
+    for k, ((head, _, lines), b) in enumerate(zip(parts, below, strict=True)):
+        last = len(raw) if k + 1 == len(parts) else places[k] + size(b) + bool(lines)
+        out.append((head, b.strip(WHITE), page_at(ends, places[k]), page_at(ends, last)))
+    return out
+
+
+def tail(text: str, least: int) -> str:
+    """The last ``least`` bytes, or up to three more so that no character is cut."""
+    if text.isascii():
+        return text[-least:] if least else ""
+    raw = text.encode()
+    at = max(len(raw) - least, 0)
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return raw[at:].decode()
 
-            return F.transform(parts, section)
 
-        return _let(F.aggregate(parts, start, step, lambda s: s["all"]), numbered)
+def text_chunks(md: str, most: int = MAX_BYTES, least: int = OVERLAP) -> list[tuple]:
+    """(id, text, section, page_start, page_end, char_count, token_estimate) in order."""
+    text = md.strip(WHITE)
+    fragments = [
+        (f, head if k == 0 or head is None else head + " (cont.)", first, last)
+        for head, body, first, last in text_sections(text)
+        if body
+        for k, piece in enumerate(packed(body, most))
+        if (f := piece.strip(WHITE))
+    ]
+    out = []
+    for k, (f, section, first, last) in enumerate(fragments):
+        whole = tail(fragments[k - 1][0], least) + "\n\n" + f if k else f
+        out.append((f"c{k + 1:02d}" if first is None else f"p{first:02d}-c{k + 1:02d}", whole, section, first, last, size(f), size(whole) // 4))
+    return out
 
-    return _let(as_bytes(md), of)
 
+FIELDS = {"id": pa.string(), "text": pa.string(), "section": pa.string(), "page_start": pa.int32(), "page_end": pa.int32(), "char_count": pa.int32(), "token_estimate": pa.int32()}
+SECTION = {"heading": pa.string(), "body": pa.string(), "page_start": pa.int32(), "page_end": pa.int32()}
 
-def overlap(c: Column, least: int = OVERLAP) -> Column:
-    """The last ``least`` bytes, or up to three more so that no character is cut."""
 
-    def of(b: Column) -> Column:
-        back = F.length(F.regexp_extract(F.substring(b, F.length(b) - least - 2, F.lit(4)), r"(?s)(.[\x80-\xBF]{0,3})\z", 1))
-        first = F.length(b) - least + 1
-        cont = F.substring(b, first, F.lit(1)).rlike(r"[\x80-\xBF]")
-        start = F.when(cont, first - back + 1).otherwise(first)
-        return F.when(F.length(b) <= least, c).otherwise(as_text(F.substring(b, start, F.length(b))))
+def _lists(found: list[list[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
+    """A list array of structs, column by column."""
+    flat = list(zip(*(row for rows in found for row in rows or ()), strict=True)) or [()] * len(fields)
+    at = pa.array(accumulate((len(rows or ()) for rows in found), initial=0), pa.int32())
+    structs = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(flat, fields.values(), strict=True)], names=list(fields))
+    return pa.ListArray.from_arrays(at, structs)
 
-    return _let(as_bytes(c), of)
 
+def _type(fields: dict[str, pa.DataType]) -> T.ArrayType:
+    kinds = {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
+    return T.ArrayType(T.StructType([T.StructField(k, kinds[t]) for k, t in fields.items()]))
 
-def chunks(md: Column, most: int = MAX_BYTES) -> Column:
-    """array of (id, text, section, page_start, page_end, char_count, token_estimate) in order."""
 
-    def fragments(s: Column) -> Column:
-        def labelled(f: Column, i: Column) -> Column:
-            label = F.when(i == 0, s["heading"]).otherwise(F.concat(s["heading"], F.lit(" (cont.)")))
-            return F.struct(trim(f).alias("text"), label.alias("section"), s["page_start"], s["page_end"])
+@F.arrow_udf(_type(SECTION))
+def _sections(texts: pa.Array) -> pa.Array:
+    return _lists([text_sections(t or "") for t in texts.to_pylist()], SECTION)
 
-        return F.when(s["body"] == "", F.array().cast("array<struct<text:string,section:string,page_start:int,page_end:int>>")).otherwise(
-            F.filter(F.transform(pack_paragraphs(s["body"], most), labelled), lambda f: f["text"] != "")
-        )
 
-    def numbered(all_: Column) -> Column:
-        def chunk(f: Column, i: Column) -> Column:
-            text = F.when(i > 0, F.concat(overlap(F.get(all_, i - 1)["text"]), F.lit("\n\n"), f["text"])).otherwise(f["text"])
-            name = F.format_string("c%02d", i + 1)
-            name = F.when(f["page_start"].isNotNull(), F.concat(F.format_string("p%02d-", f["page_start"]), name)).otherwise(name)
-            return F.struct(
-                name.alias("id"), text.alias("text"), f["section"], f["page_start"], f["page_end"], F.octet_length(f["text"]).alias("char_count"), token_estimate(text).alias("token_estimate")
-            )
+@cache
+def _chunker(most: int, least: int):
+    @F.arrow_udf(_type(FIELDS))
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists([text_chunks(t or "", most, least) for t in texts.to_pylist()], FIELDS)
 
-        return F.transform(all_, chunk)
+    return run
 
-    def of(text: Column) -> Column:
-        return F.when(text == "", F.lit(None)).otherwise(_let(F.flatten(F.transform(sections(text), fragments)), numbered))
 
-    kind = "array<struct<id:string,text:string,section:string,page_start:int,page_end:int,char_count:int,token_estimate:int>>"
-    return F.coalesce(_let(trim(md), of), F.array().cast(kind))
+def sections(md: Column) -> Column:
+    """array of (heading, body, page_start, page_end), blank bodies included; ``md`` trimmed."""
+    return _sections(md)
 
 
-FIELDS = ("id", "text", "section", "page_start", "page_end", "char_count", "token_estimate")
+def chunks(md: Column, most: int = MAX_BYTES, least: int = OVERLAP) -> Column:
+    """array of (id, text, section, page_start, page_end, char_count, token_estimate) in order; none for null."""
+    return _chunker(most, least)(md)
 
 
 def numbered_rows(all_: Column) -> Column:
@@ -153,4 +179,5 @@ def numbered_rows(all_: Column) -> Column:
 
 def chunk_rows(docs: DataFrame, key: str, text: str = "text", most: int = MAX_BYTES) -> DataFrame:
     """One row a chunk: key, ordinal from 1 and the chunk's fields."""
-    return docs.select(key, numbered_rows(chunks(F.col(text), most)))
+    made = docs.select(key, chunks(F.col(text), most).alias("__chunks"))
+    return made.select(key, numbered_rows(F.col("__chunks")))

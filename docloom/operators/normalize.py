@@ -1,49 +1,68 @@
-"""Markdown normalization as one fold over a text's lines: no shuffle, one row in, one row out."""
+"""Markdown normalization: one text in, one text out, over Arrow batches.
+
+Each line depends on the state that the lines before it leave, and as an interpreted expression over an array of lines that
+costs milliseconds a document; here it is microseconds.  No shuffle, no state between documents."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.functions.text import is_heading, process_line, rtrim, trim
+from docloom.functions.text import BLOCK_TAGS, INLINE_TAGS, SPACES, WHITE
 
-FLUSH = 8192  # bytes after which finished text is set aside, so that long texts aren't copied line by line
+_TO_SPACE = dict.fromkeys(map(ord, SPACES), " ")
+_HEADING = re.compile(r"#{1,6}(?: |\Z)")
+_MANY = re.compile(r"\n{4,}")
 
 
-def normalize_markdown(c: Column) -> Column:
+def clean_line(line: str) -> str:
+    """Exact block tags to line breaks, exact inline tags away, odd spaces to plain ones, none at the end."""
+    if "<" in line:
+        for tag in BLOCK_TAGS:
+            line = line.replace(tag, "\n")
+        for tag in INLINE_TAGS:
+            line = line.replace(tag, "")
+    if not line.isascii():
+        line = line.translate(_TO_SPACE)
+    return line.rstrip(WHITE)
+
+
+def normalize_text(text: str) -> str:
     """Line ends, tags, spaces, at most two blank lines, blank lines around headings and before fences; code is kept."""
-    rows = F.transform(
-        F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n"),
-        lambda x: F.struct(x.alias("raw"), x.rlike(r"(?U)\A\s*```").alias("fence"), process_line(x).alias("text")),
-    )
-    start = F.struct(
-        F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"), F.lit(False).alias("code"), F.lit(0).alias("blanks"), F.lit(False).alias("any"), F.lit(False).alias("gap")
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        blank = x["text"] == ""
-        heading = is_heading(x["text"]) & s["any"]
-        code = s["code"] & ~x["fence"]
-        opening = x["fence"] & ~s["code"] & s["any"] & ~s["gap"]
-        text = (
-            F.when(x["fence"], F.concat(F.when(opening, F.lit("\n")).otherwise(F.lit("")), F.lit("\n"), rtrim(x["raw"])))
-            .when(code, F.concat(F.lit("\n"), x["raw"]))
-            .when(blank, F.when(s["blanks"] < 2, F.lit("\n")).otherwise(F.lit("")))
-            .when(heading, F.concat(F.when(s["blanks"] == 0, F.lit("\n")).otherwise(F.lit("")), F.lit("\n"), x["text"], F.lit("\n")))
-            .otherwise(F.concat(F.lit("\n"), x["text"]))
-        )
-        blanks = F.when(x["fence"] | code, F.lit(0)).when(blank, s["blanks"] + 1).when(heading, F.lit(1)).otherwise(F.lit(0))
-        gap = F.when(x["fence"], F.lit(False)).when(code, x["raw"] == "").otherwise(blank | heading)
-        cur = F.concat(s["cur"], text)
-        full = F.octet_length(s["cur"]) > FLUSH
-        return F.struct(
-            F.when(full, F.concat(s["parts"], F.array(s["cur"]))).otherwise(s["parts"]).alias("parts"),
-            F.when(full, text).otherwise(cur).alias("cur"),
-            F.when(x["fence"], ~s["code"]).otherwise(s["code"]).alias("code"),
-            blanks.alias("blanks"),
-            F.lit(True).alias("any"),
-            gap.alias("gap"),
-        )
-
-    joined = F.aggregate(rows, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), s["cur"]))
-    return F.concat(trim(F.regexp_replace(joined, r"\n{4,}", "\n\n\n")), F.lit("\n"))
+    out: list[str] = []
+    code, blanks = False, 0  # blank lines since the last line that isn't
+    for raw in text.replace("\r\n", "\n").split("\n"):
+        if "```" in raw and raw.lstrip(WHITE).startswith("```"):
+            code = not code
+            if code and out and out[-1] != "":
+                out.append("")
+            out.append(raw.rstrip(WHITE))
+            blanks = 0
+        elif code:
+            out.append(raw)
+            blanks = 0
+        elif (line := clean_line(raw)) == "":
+            blanks += 1
+            if blanks <= 2:
+                out.append("")
+        elif "#" in line and out and _HEADING.match(line.lstrip(WHITE)):
+            out.extend(("", line, "") if blanks == 0 else (line, ""))
+            blanks = 1
+        else:
+            out.append(line)
+            blanks = 0
+    return _MANY.sub("\n\n\n", "\n".join(out)).strip(WHITE) + "\n"
+
+
+@F.arrow_udf(T.StringType())
+def _normalized(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else normalize_text(t) for t in texts.to_pylist()], pa.string())
+
+
+def normalize_markdown(c: Column) -> Column:
+    """The normalized text; null stays null, and an empty text becomes one line end."""
+    return _normalized(c)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.text import WHITE
+
 # Recognition and detection sizes, thresholds of probability maps.
 MAX_WIDTH, LONGEST_SIDE, STRIDE, THRESHOLD, LEAST_SIDE, PADDING = 320, 960, 32, 0.3, 3, 0.1
 
@@ -130,10 +132,6 @@ def merged_texts(at: np.ndarray, y: np.ndarray, height: np.ndarray, texts: list[
     return out
 
 
-#: Unicode white space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def read_regions(images: DataFrame, boxes: str, merged: str | None = None) -> DataFrame:
     """``images`` with the array ``boxes`` (structs with x, y, height) in reading order and, if asked for, ``merged``: the
     regions' texts as Markdown.  Null arrays stay null, null texts are empty."""

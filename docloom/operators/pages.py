@@ -26,11 +26,24 @@ def page_markdown(number: Column, text: Column) -> Column:
     return F.concat(F.lit("<!-- page "), number.cast("string"), F.lit(" -->\n"), trim(text))
 
 
+def page_list(text: Column) -> Column:
+    """An aggregate: a document's pages in order, as structs of page_number and text."""
+    return F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("int").alias("page_number"), text.alias("text"))))
+
+
+def rendered_list(pages: Column) -> Column:
+    return F.array_join(F.transform(pages, lambda p: page_markdown(p["page_number"], p["text"])), "\n\n")
+
+
 def render_pages(pages: DataFrame, key: str) -> DataFrame:
     """key, markdown, page_count: a document's pages in order, each after its marker."""
-    rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("__pages"))
-    text = F.array_join(F.transform("__pages", lambda p: page_markdown(p["page_number"], p["text"])), "\n\n")
-    return rows.select(key, text.alias("markdown"), F.coalesce(F.array_max(F.transform("__pages", lambda p: p["page_number"])), F.lit(0)).alias("page_count"))
+    rows = pages.groupBy(key).agg(page_list(F.col("text")).alias("__pages"))
+    return rows.select(key, rendered_list(F.col("__pages")).alias("markdown"), F.coalesce(F.array_max(F.transform("__pages", lambda p: p["page_number"])), F.lit(0)).alias("page_count"))
+
+
+def same_dimensions(width: Column, height: Column, before_width: Column, before_height: Column, most: float = 0.1) -> Column:
+    """Whether a page may reuse the bitmap of the one before: both sides within ``most`` of it; false for the first page."""
+    return F.coalesce((F.abs(before_width - width) <= most) & (F.abs(before_height - height) <= most), F.lit(False))
 
 
 def largest_image(images: DataFrame, key: list[str], width: str = "width", height: str = "height", order: str = "ordinal") -> DataFrame:
@@ -41,4 +54,4 @@ def largest_image(images: DataFrame, key: list[str], width: str = "width", heigh
 
 
 def image_manifest(label: str, number: Column, width: Column, height: Column) -> Column:
-    return F.struct(number.alias("page"), F.lit(None).cast("string").alias("url"), F.format_string(f"{label} for page %d (%dx%d)", number, width, height).alias("alt"))
+    return F.struct(number.cast("int").alias("page"), F.lit(None).cast("string").alias("url"), F.format_string(f"{label} for page %d (%dx%d)", number, width, height).alias("alt"))

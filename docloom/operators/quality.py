@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def page_quality(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.withColumns({"triggers": names, "needs_ocr": (F.col("score") <= ESCALATE) | none})
 
 
-def document_quality(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row a document, partial sums first: averages, median, ratios, score, triggers, needs_escalation, poor_pages, summary."""
+def document_quality(pages: DataFrame, key: str, text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """One row a document: averages, median, ratios, score, triggers, needs_escalation, poor_pages, summary, ``more`` aggregates."""
     p = page_quality(pages, text)
     d = p.groupBy(key).agg(
         F.count("*").alias("page_count"),
@@ -36,7 +38,8 @@ def document_quality(pages: DataFrame, key: str, text: str = "text") -> DataFram
         F.avg((F.col("char_count") < FEW_CHARS).cast("int")).alias("empty_page_ratio"),
         F.coalesce(F.try_divide(F.sum("bad_chars"), F.sum("raw_chars")), F.lit(0.0)).alias("replacement_ratio"),
         (F.sum("char_count") == 0).alias("missing_text_layer"),
-        F.array_sort(F.collect_set(F.when(F.col("needs_ocr"), F.col("page_number")))).alias("poor_pages"),
+        F.array_sort(F.collect_set(F.when(F.col("needs_ocr"), F.col("page_number")))).cast("array<int>").alias("poor_pages"),
+        *more,
     )
     low, empty, bad, none = F.col("median_chars_per_page") < FEW_CHARS, F.col("empty_page_ratio") > MANY_EMPTY, F.col("replacement_ratio") > MANY_BAD, F.col("missing_text_layer")
     off = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
@@ -58,7 +61,7 @@ def document_quality(pages: DataFrame, key: str, text: str = "text") -> DataFram
 def plan_escalation(quality: DataFrame, rich: Column, rich_reason: Column, ocr: Column, ocr_reason: Column) -> DataFrame:
     """``quality`` with plan, allow_ocr and fallback_reason: only documents that need it leave the fast path."""
     base = F.concat(F.format_string("fast PDF text quality %.2f triggered escalation: ", "score"), F.col("summary"))
-    without = F.concat(base, F.lit("; pdfium unavailable: "), rich_reason)
+    without = F.concat(base, F.lit("; rich extraction unavailable: "), rich_reason)
     plan = F.when(~F.col("needs_escalation"), "fast").when(rich, "pdfium").when(ocr, "embedded_image_ocr").otherwise("fast")
     reason = F.when(F.col("needs_escalation"), F.when(rich, base).when(ocr, without).otherwise(F.concat(without, F.lit("; OCR unavailable: "), ocr_reason)))
     return quality.withColumns({"plan": plan, "allow_ocr": F.col("needs_escalation") & rich & ocr, "fallback_reason": reason})

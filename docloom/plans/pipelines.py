@@ -8,67 +8,52 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators.chunk import chunks
 from docloom.operators.normalize import normalize_markdown
-from docloom.operators.pages import render_pages
-from docloom.operators.quality import document_quality, keeps_repair, plan_escalation
 from docloom.operators.web import html_title, html_to_markdown
 
 
-def documents(rows: DataFrame, markdown: Column, title, pipeline: Column, page_count: Column | None = None) -> DataFrame:
-    """``rows`` with markdown (normalized), title, chunks, metadata and diagnostics."""
-    null = lambda kind: F.lit(None).cast(kind)
-    out = rows.withColumn("markdown", normalize_markdown(markdown)).withColumn("title", title(F.col("markdown")))
-    metadata = F.struct(
-        (page_count if page_count is not None else null("int")).alias("page_count"), T.word_count(F.col("markdown")).alias("word_count"), F.octet_length("markdown").alias("char_count")
-    )
-    diagnostics = F.struct(
+def diagnostics(pipeline: Column, ocr: Column | None = None, render: Column | None = None, fallback: Column | None = None, reason: Column | None = None, score: Column | None = None) -> Column:
+    """How a document was made; what isn't given is false or null."""
+    no = F.lit(False)
+    return F.struct(
         pipeline.alias("pipeline_used"),
-        F.lit(False).alias("ocr_used"),
-        F.lit(False).alias("render_used"),
-        F.lit(False).alias("fallback_used"),
-        null("string").alias("fallback_reason"),
-        null("float").alias("text_quality_score"),
+        (no if ocr is None else ocr).alias("ocr_used"),
+        (no if render is None else render).alias("render_used"),
+        (no if fallback is None else fallback).alias("fallback_used"),
+        (F.lit(None) if reason is None else reason).cast("string").alias("fallback_reason"),
+        (F.lit(None) if score is None else score).cast("float").alias("text_quality_score"),
         F.lit(0).cast("bigint").alias("latency_ms"),
     )
-    return out.withColumns({"chunks": chunks(F.col("markdown")), "metadata": metadata, "diagnostics": diagnostics})
+
+
+def documents(rows: DataFrame, markdown: Column, title, how: Column, page_count: Column | None = None) -> DataFrame:
+    """``rows`` with markdown (normalized), title, chunks, metadata and diagnostics (``how``).
+
+    ``title`` makes the title of the normalized Markdown."""
+    out = rows.withColumn("markdown", normalize_markdown(markdown)).withColumn("title", title(F.col("markdown")))
+    metadata = F.struct(
+        (F.lit(None) if page_count is None else page_count).cast("int").alias("page_count"),
+        T.word_count(F.col("markdown")).alias("word_count"),
+        F.octet_length("markdown").alias("char_count"),
+    )
+    return out.withColumns({"chunks": chunks(F.col("markdown")), "metadata": metadata, "diagnostics": how})
 
 
 def text_pipeline(sources: DataFrame) -> DataFrame:
     """Markdown and plain text: decoded, normalized, chunked."""
-    return documents(sources, T.decode_lossy(F.col("raw_bytes")), T.title, F.col("source_kind"))
+    return documents(sources, T.decode_lossy(F.col("raw_bytes")), T.title, diagnostics(F.col("source_kind")))
 
 
 def web_pipeline(sources: DataFrame) -> DataFrame:
-    html = T.decode_lossy(F.col("raw_bytes"))
-    rows = sources.withColumn("html_title", html_title(html))
-    return documents(rows, html_to_markdown(html), lambda md: T.web_title(F.col("html_title"), md), F.lit("web")).drop("html_title")
-
-
-def pages_pipeline(pages: DataFrame, key: str, pipeline: str = "pdf-fast") -> DataFrame:
-    """Page texts: folded to ASCII, rendered with markers, chunked with page ranges."""
-    folded = pages.withColumn("text", T.fold_page_text(F.col("text")))
-    rows = render_pages(folded, key).withColumnRenamed("markdown", "rendered")
-    return documents(rows, F.col("rendered"), T.document_title, F.lit(pipeline), F.col("page_count")).drop("rendered", "page_count")
+    return dispatch(sources.where(F.col("source_kind") == "web"))
 
 
 def dispatch(sources: DataFrame) -> DataFrame:
-    """Text and web sources through their pipelines; binary kinds go through plugins and pages_pipeline."""
-    text = text_pipeline(sources.where(F.col("source_kind").isin("markdown", "plaintext")))
-    return text.unionByName(web_pipeline(sources.where(F.col("source_kind") == "web")))
-
-
-def escalate(fast: DataFrame, repaired: DataFrame | None, key: str, rich: bool, ocr: bool, rich_reason: str = "", ocr_reason: str = "") -> DataFrame:
-    """The escalation driver over page lists: key, pages' pipeline, fallback_reason, score before and after.
-
-    ``repaired`` holds page texts of the documents that were rendered or recognized; others keep the fast pages."""
-    plan = plan_escalation(document_quality(fast, key), F.lit(rich), F.lit(rich_reason), F.lit(ocr), F.lit(ocr_reason))
-    plan = plan.select(key, "score", "plan", "allow_ocr", "fallback_reason")
-    if repaired is None:
-        return plan.withColumns({"new_score": F.col("score"), "pipeline_used": F.lit("pdf-fast")})
-    after = document_quality(repaired, key).select(key, F.col("score").alias("new_score"))
-    out = plan.join(after, key, "left").withColumn("new_score", F.when(F.col("plan") != "fast", F.col("new_score")))
-    kept = F.coalesce(keeps_repair(F.col("score"), F.col("new_score")), F.lit(False))
-    name = F.when(F.col("plan") == "pdfium", F.when(F.col("allow_ocr"), "pdf-pdfium-ocr").otherwise("pdf-pdfium")).otherwise("pdf-embedded-image-ocr")
-    return out.withColumn("pipeline_used", F.when(kept, name).otherwise("pdf-fast"))
+    """Text and web sources through their pipelines, in one pass; binary kinds go through plugins and page lists."""
+    web = F.col("source_kind") == "web"
+    rows = sources.where(F.col("source_kind").isin("markdown", "plaintext", "web")).withColumn("__text", T.decode_lossy(F.col("raw_bytes")))
+    rows = rows.withColumns({"__title": F.when(web, html_title(F.col("__text"))), "__text": F.when(web, html_to_markdown(F.col("__text"))).otherwise(F.col("__text"))})
+    title = lambda md: T.web_title(F.col("__title"), md)
+    return documents(rows, F.col("__text"), title, diagnostics(F.col("source_kind"))).drop("__title", "__text")
 
 
 def _json(value: Column) -> Column:
@@ -95,7 +80,9 @@ def document_json(docs: DataFrame, key: str) -> DataFrame:
     some = F.to_json(F.struct(*[d[k].alias(k) for k in [*keep, "fallback_reason", "text_quality_score", "latency_ms"]]))
     url = F.col("canonical_url") if "canonical_url" in docs.columns else F.lit(None).cast("string")
     rest = _json(F.struct(F.col("title"), url.alias("canonical_url"), F.col("markdown"), F.col("chunks"), F.col("metadata")))
-    return docs.select(key, F.concat(F.regexp_replace(rest, r"\}\z", ""), F.lit(',"diagnostics":'), some, F.lit(',"image_manifest":null}')).alias("json"))
+    images = F.col("image_manifest") if "image_manifest" in docs.columns else F.lit(None).cast("array<struct<page:int,url:string,alt:string>>")
+    last = F.regexp_replace(_json(F.struct(images.alias("image_manifest"))), r"\A\{", ",")
+    return docs.select(key, F.concat(F.regexp_replace(rest, r"\}\z", ""), F.lit(',"diagnostics":'), some, last).alias("json"))
 
 
 def write_events(events_: DataFrame, path: str) -> None:
@@ -103,10 +90,10 @@ def write_events(events_: DataFrame, path: str) -> None:
     events_.sortWithinPartitions(*events_.columns[:2]).select("line").write.text(path)
 
 
-#: What the service says it can read.
+#: What can be read, and how.
 FORMATS = [
-    ("web", ["text/html"], "Web pages via readability + html2md"),
-    ("pdf", ["application/pdf"], "PDF text extraction via pdf-extract"),
+    ("web", ["text/html"], "Web pages: main content by tags, as Markdown"),
+    ("pdf", ["application/pdf"], "Page texts of a registered PDF engine"),
     ("markdown", ["text/markdown"], "Markdown passthrough with normalization"),
     ("plaintext", ["text/plain"], "Plain text with minimal processing"),
 ]

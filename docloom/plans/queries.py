@@ -10,7 +10,7 @@ from docloom.operators import cache, metrics, ocr, pages, quality
 from docloom.operators.chunk import chunk_rows, numbered_rows, sections, split_sentences
 from docloom.operators.normalize import normalize_markdown
 from docloom.operators.web import html_title, html_to_markdown
-from docloom.plans import pipelines
+from docloom.plans import pdf, pipelines
 from docloom.sources import resolve as R
 
 
@@ -168,12 +168,40 @@ def escalation(spark, d):
     return plan.select("doc_id", "plan", "allow_ocr", F.col("fallback_reason").isNotNull().alias("has_reason"))
 
 
+def page_engines(spark, d) -> dict[str, DataFrame]:
+    """Made-up engines over doc_pages: rich text of two documents in three, some pages of it blank; recognized texts of
+    rendered pages and of embedded images, from benchmark by page number, for some documents."""
+    rich = doc_pages(spark, d).where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("page_number") % 4 == 0, "").otherwise(F.col("text")))
+    texts = table(spark, d, "benchmark").select((F.col("item_id") + 1).alias("page_number"), F.when(F.col("item_id") % 6 == 5, "").otherwise(F.col("text")).alias("text"))
+    sizes = {"width": F.col("page_number") * 10, "height": F.col("page_number") * 20}
+    read = doc_pages(spark, d).select("doc_id", "page_number").join(F.broadcast(texts) if texts.count() < 10_000 else texts, "page_number").withColumns(sizes)
+    return {"rich": rich, "rendered": read.where("doc_id % 5 <> 0"), "embedded": read.where("doc_id % 2 = 0 AND page_number % 3 = 0")}
+
+
 def escalation_driver(spark, d):
-    """Poor pages of documents repaired by the benchmark's text of the same number, scores compared."""
-    fast = doc_pages(spark, d, bad=True)
-    texts = table(spark, d, "benchmark").select((F.col("item_id") + 1).alias("page_number"), "text")
-    poor = quality.page_quality(fast).where("needs_ocr").select("doc_id", "page_number").join(texts, "page_number")
-    return pipelines.escalate(fast, pages.repair_pages(fast, poor, "doc_id"), "doc_id", rich=True, ocr=True)
+    return pdf.decide(doc_pages(spark, d, bad=True), "doc_id", **page_engines(spark, d)).select(
+        "doc_id", "pipeline_used", "ocr_used", "render_used", "fallback_used", "fallback_reason", F.col("text_quality_score").alias("score"), F.size("image_manifest").alias("images"),
+        F.size("pages").alias("page_count"), F.md5(pages.rendered_list(F.col("pages")).cast("binary")).alias("rendered_md5"),
+    )
+
+
+def escalated(spark, d):
+    """Documents of the driver's choice, without recognition and with it."""
+    engines = page_engines(spark, d)
+    out = pdf.pdf_documents(doc_pages(spark, d, bad=True), "doc_id", **engines)
+    return pipelines.document_json(out, "doc_id")
+
+
+def embedded_only(spark, d):
+    """The driver without rich text: embedded images are the only repair."""
+    out = pdf.pdf_documents(doc_pages(spark, d, bad=True), "doc_id", embedded=page_engines(spark, d)["embedded"], rich_reason="none here")
+    how = F.col("diagnostics")
+    return out.select("doc_id", "title", "metadata.page_count", how["pipeline_used"].alias("pipeline_used"), how["fallback_reason"].alias("fallback_reason"), F.size("chunks").alias("chunks"))
+
+
+def page_ocr(spark, d):
+    out = pdf.page_ocr_documents(page_engines(spark, d)["rendered"], "doc_id")
+    return out.select("doc_id", "metadata.page_count", F.round(F.col("diagnostics.text_quality_score").cast("double"), 6).alias("score"), F.element_at("image_manifest", 1)["alt"].alias("first_image"))
 
 
 def repaired(spark, d):
@@ -194,7 +222,7 @@ def web_titles(spark, d):
 
 
 def page_documents(spark, d):
-    out = pipelines.pages_pipeline(doc_pages(spark, d), "doc_id")
+    out = pdf.pdf_documents(doc_pages(spark, d), "doc_id")
     return out.select("doc_id", "title", "metadata.page_count", "metadata.word_count", numbered_rows(F.col("chunks")))
 
 
@@ -294,6 +322,9 @@ QUERIES = {
     "doc_quality": doc_scores,
     "escalation_plan": escalation,
     "escalation_driver": escalation_driver,
+    "escalated_documents": escalated,
+    "embedded_image_ocr": embedded_only,
+    "page_ocr_documents": page_ocr,
     "page_repair": repaired,
     "web_chunks": web,
     "web_extract": web_titles,

@@ -20,31 +20,40 @@ def essence(mime: Column) -> Column:
     return trim(F.substring_index(mime, ";", 1))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once, where it would else be written out for each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def classify_mime(mime: Column) -> Column:
-    m = F.lower(essence(mime))
-    return (
-        F.when(m.isin("text/html", "application/xhtml+xml"), "web")
-        .when(m == "application/pdf", "pdf")
-        .when(m.isin("text/markdown", "text/x-markdown"), "markdown")
-        .when(m.startswith("image/"), "image")
-        .otherwise("plaintext")
-    )
+    def kind(m: Column) -> Column:
+        return (
+            F.when(m.isin("text/html", "application/xhtml+xml"), "web")
+            .when(m == "application/pdf", "pdf")
+            .when(m.isin("text/markdown", "text/x-markdown"), "markdown")
+            .when(m.startswith("image/"), "image")
+            .otherwise("plaintext")
+        )
+
+    return _let(F.lower(essence(mime)), kind)
 
 
 def sniff(raw: Column) -> Column:
     """MIME type by the first bytes, or null."""
-    head = F.hex(F.substring(raw, 1, 12))
     text = F.lower(F.make_valid_utf8(F.substring(raw, 1, 256).cast("string")))
     text = F.regexp_replace(text, r"(?U)\A\s+", "")
-    return F.when(
-        F.octet_length(raw) >= 4,
-        F.when(head.startswith("25504446"), "application/pdf")
-        .when(head.startswith("89504E47"), "image/png")
-        .when(head.startswith("FFD8FF"), "image/jpeg")
-        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
-        .when(text.startswith("<html") | text.startswith("<!doctype"), "text/html")
-        .when(head.startswith("2320") | head.startswith("232320") | head.startswith("23232320"), "text/markdown"),
-    )
+
+    def known(head: Column) -> Column:
+        return (
+            F.when(head.startswith("25504446"), "application/pdf")
+            .when(head.startswith("89504E47"), "image/png")
+            .when(head.startswith("FFD8FF"), "image/jpeg")
+            .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+            .when(text.rlike(r"\A(?:<html|<!doctype)"), "text/html")
+            .when(head.rlike(r"\A(?:23){1,3}20"), "text/markdown")
+        )
+
+    return F.when(F.octet_length(raw) >= 4, _let(F.hex(F.substring(raw, 1, 12)), known))
 
 
 def by_extension(filename: Column) -> Column:
@@ -54,8 +63,8 @@ def by_extension(filename: Column) -> Column:
 
 def determine_mime(content_type: Column, filename: Column, raw: Column) -> Column:
     """Header, then extension, then first bytes."""
-    header = essence(content_type)
-    return F.coalesce(F.when((header != "") & (header != UNKNOWN), header), by_extension(filename), sniff(raw), F.lit(UNKNOWN))
+    header = _let(essence(content_type), lambda h: F.when((h != "") & (h != UNKNOWN), h))
+    return F.coalesce(header, by_extension(filename), sniff(raw), F.lit(UNKNOWN))
 
 
 def percent_decode(c: Column) -> Column:

@@ -2,9 +2,12 @@
 
 import re
 
-from docloom.functions.text import BLOCK_TAGS, INLINE_TAGS, SPACES
-
-WS = "\t\n\x0b\f\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+# Written out on their own, not taken from the code under test.
+BLOCK_TAGS = [f"<{a}{n}{z}>" for n in ("br", "hr", "BR", "HR") for a, z in (("", ""), ("", "/"), ("", " /"))]
+BLOCK_TAGS += [f"<{a}{n}>" for n in "p div section article header footer nav main aside P DIV".split() for a in ("", "/")]
+INLINE_TAGS = [f"<{a}{n}>" for n in "span b i em strong u s del ins SPAN B I EM STRONG".split() for a in ("", "/")]
+SPACES = {0xA0, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B)}
+WS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def heading(s):
@@ -13,10 +16,10 @@ def heading(s):
 
 def clean(s):
     for t in BLOCK_TAGS:
-        s = s.replace(t.replace("_", " "), "\n")
+        s = s.replace(t, "\n")
     for t in INLINE_TAGS:
         s = s.replace(t, "")
-    return "".join(" " if c in SPACES else c for c in s).rstrip(WS)
+    return "".join(" " if ord(c) in SPACES else c for c in s).rstrip(WS)
 
 
 def normalize(text):
