@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by a permutation index (largest inner product).
 
-A vector is represented by its ``PREFIX`` nearest of ``PIVOTS`` pivots, nearest first.  Rows are dealt into blocks; in a
-block, every pivot has an inverted file of the rows that name it, with the place they give it.  A query walks the files
-of its own pivots and adds up, for each row, how little the two orders differ: the footrule distance of the prefixes is
-a constant less twice the sum over shared pivots of (PREFIX - the later of the two places).  The ``SHARE`` of the block
-with the least distance, ties included, is reranked by the inner product in double precision.
-
-The pivots are a bounded sample (PIVOTS rows, by a hash of the id); every row is indexed.  Queries and rows meet block by
-block, so a task holds one block of each; each block returns ``k`` rows a query, and a window takes the best of those.
-
-Null vectors, zero vectors, vectors with null or non-finite components, and those of another length than the pivots'
-take no part.  Rows that repeat a vec_id count once, with the least vector.  Fewer than k candidates: all of them.
-Equal scores go by vec_id.  An empty table gives an empty result.
+1. Pivots are a bounded sample of the rows; every row is represented by its ``PREFIX`` nearest pivots, nearest first.
+2. A pivot's inverted file lists the rows that have it in one of their first ``COPIES`` places; it holds their whole prefixes
+   and their vectors.  Files are cut into slices of about ``SLICE`` rows, dealt out once.
+3. A query goes to the files of its own ``READ`` of all pivots, nearest first, and to no others.  A row that is in several of
+   them counts in the first.  Files stay with their task while queries stream by; nothing is rebuilt for a query.
+4. Rows rank by the footrule distance of the prefixes, which is a constant less twice the sum over shared pivots of (PREFIX -
+   the later of the two places).  Those at least as near as the ``SHARE`` nearest of a bounded sample of the rows would be
+   are reranked by the inner product in double precision.  A task returns ``k`` rows a query at most; a window takes the best.
+
+Pivots: a sixteenth of the rows, 16 to ``PIVOTS``.  The sample that a query's bound comes from has ``SAMPLE`` rows at most;
+the share is ``LEAST * k`` rows at least, and ``LEAST_READ`` files are read at least.
+
+Null vectors, zero vectors, vectors with null or non-finite components, and those of another than the commonest length (the
+shorter of equals) take no part.  Rows that repeat a vec_id count once, with the least vector.  Fewer than k candidates:
+all that the query's files hold.  Equal scores go by vec_id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_order, table
-from .near_dup import whole_groups
+from .common import sample_order, table, utf8
 
-PIVOTS, PREFIX, SHARE, ROWS, QUERIES = 128, 24, 0.45, 8192, 2048
+PIVOTS, PREFIX, COPIES, READ, SHARE = 512, 64, 4, 0.16, 0.1
+SLICE, SAMPLE, HELD, LEAST, LEAST_READ = 1 << 16, 2048, 1 << 20, 24, 48
 
 
 def usable(vector: Column) -> Column:
@@ -35,80 +38,136 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+def order_of(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+    """The nearest pivots of each row, nearest first; ties by number."""
+    return np.argsort(-(x @ pivots.T), 1, kind="stable")[:, :length].astype(np.uint16)
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The nearest pivots of each row, nearest first; ties by number."""
-    return np.argsort(-(x @ pivots.T), 1, kind="stable")[:, :PREFIX]
-
-
-def search_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query, (positions, scores) of the best k of its candidates in the block."""
-    length = min(PREFIX, len(pivots))
-    order = prefixes(x, pivots)
-    post = np.argsort(order.ravel(), kind="stable")
-    row, place = np.divmod(post, length)
-    near = (length - place).astype(np.int32)  # how near the row names the pivot
-    start = np.searchsorted(order.ravel()[post], np.arange(len(pivots) + 1))
-    out = []
-    keep = min(len(x), max(4 * k, int(np.ceil(SHARE * len(x)))))
-    for q, pivot_order, me in zip(queries, prefixes(queries, pivots), own, strict=True):
-        shared = np.zeros(len(x), np.int32)
-        for at, p in enumerate(pivot_order):
-            posts = slice(start[p], start[p + 1])
-            shared[row[posts]] += np.minimum(near[posts], length - at)
-        candidates = np.flatnonzero((shared >= np.partition(shared, len(x) - keep)[len(x) - keep]) & (ids != me))
-        score = x[candidates] @ q
-        if len(candidates) > k:
-            rounded = np.round(score, 12)  # a product may differ in its last bit between equal vectors
-            candidates = candidates[rounded >= np.partition(rounded, len(candidates) - k)[len(candidates) - k]]
-        score = (x[candidates] * q).sum(1)
-        best = np.lexsort((ids[candidates], -score))[:k]
-        out.append((candidates[best], score[best]))
+def nearness(order: np.ndarray, pivots: int) -> np.ndarray:
+    """(pivots, rows): the prefix's length less the place that a row gives a pivot, 0 if none."""
+    rows, length = order.shape
+    out = np.zeros((pivots, rows), np.uint8)
+    out[order, np.arange(rows)[:, None]] = np.arange(length, 0, -1, dtype=np.uint8)
     return out
 
 
+def agreement(order: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """How near each row's order is to one query's: larger for a smaller footrule distance."""
+    total = np.zeros(near.shape[1], np.uint16)
+    for p, left in zip(order.tolist(), range(len(order), 0, -1), strict=True):
+        total += np.minimum(near[p], np.uint8(left))
+    return total
+
+
+def best_of(who: np.ndarray, what: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best, ties to the smaller id."""
+    order = np.lexsort((what, -score, who))
+    first = np.searchsorted(who[order], who[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+class File:
+    """A slice of one pivot's inverted file, and the search in it."""
+
+    def __init__(self, pivot: int, ids: np.ndarray, x: np.ndarray, order: np.ndarray, pivots: int):
+        self.pivot, self.ids, self.x, self.pivots = pivot, ids, x, pivots
+        self.heads, self.near = order[:, :COPIES], nearness(order, pivots)
+
+    def search(self, q: np.ndarray, order: np.ndarray, read: int, me: int, bound: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best rows that this file is the first to show to the query."""
+        place = np.full(self.pivots, read, np.int64)
+        place[order[:read]] = np.arange(read)
+        fresh = place[self.heads].min(1) == place[self.pivot]
+        rows = np.flatnonzero(fresh & (agreement(order[:PREFIX], self.near) >= bound) & (self.ids != me))
+        if len(rows) > k:
+            rounded = np.round(self.x[rows] @ q, 12)  # a product may differ in its last bit between equal vectors
+            rows = rows[rounded >= np.partition(rounded, len(rows) - k)[len(rows) - k]]
+        return self.ids[rows], (self.x[rows] * q).sum(1)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, score: the k best found of each query among the other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & usable(F.col("x")))
     rows = rows.groupBy("id").agg(F.min("x").alias("x"))
-    schema = f"query_id bigint, {key} bigint, score double"
-    sample = [np.array(r["x"]) for r in rows.orderBy(sample_order(F.col("id")), "id").limit(PIVOTS).collect()]
-    if not sample:
+    commonest = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if commonest is None:
         return spark.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
-    pivots = np.stack([p for p in sample if len(p) == len(sample[0])])
-    rows = rows.where(F.size("x") == pivots.shape[1])
+    size, n = commonest
+    rows = rows.where(F.size("x") == size)
+    sample = np.array([r["x"] for r in rows.orderBy(sample_order(F.col("id")), "id").limit(SAMPLE).collect()])
+    pivots = sample[: min(len(sample), max(16, min(PIVOTS, n // 16)))]
+    count, length, read = len(pivots), min(PREFIX, len(pivots)), min(len(pivots), max(LEAST_READ, int(np.ceil(READ * len(pivots)))))
+    share = min(1.0, max(SHARE, LEAST * k / n))
+    wide = max(length, read)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row once for every file it is in, and each query once for every file it reads."""
+        known = nearness(order_of(sample, pivots, length), count)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, size)
+                order, ids, asks = order_of(x, pivots, wide), part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+                ask = np.flatnonzero(asks)
+                bound = np.array([int(np.sort(agreement(order[i, :length], known))[-max(1, int(np.ceil(share * len(sample))))]) for i in ask], np.int32)
+                raw, prefix = ([r.tobytes() for r in a] for a in (x, order))
+                for who, files, bounds in ((np.arange(part.num_rows), order[:, :COPIES], np.full(part.num_rows, -1, np.int32)), (ask, order[ask, :read], bound)):
+                    each = np.repeat(who, files.shape[1])
+                    columns = [pa.array(files.ravel().astype(np.int32)), pa.array(np.repeat(bounds, files.shape[1])), pa.array(ids[each])]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([v[i] for i in each], pa.binary()) for v in (raw, prefix)]], names=["file", "bound", "id", "x", "prefix"])
+
     asks = is_query if isinstance(is_query, Column) else F.expr(is_query)
-    asks = F.coalesce(asks, F.lit(False))
-    n = rows.select(F.col("id").alias(key)).agg(F.count("*"), F.count_if(asks)).first()
-    row_blocks, query_blocks = (max(1, -(-c // size)) for c, size in zip(n, (ROWS, QUERIES), strict=True))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    home = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    index = rows.select(home(row_blocks).alias("rb"), every(query_blocks).alias("qb"), F.lit(False).alias("asks"), "id", "x")
-    queries = rows.withColumnRenamed("id", key).where(asks).withColumnRenamed(key, "id")
-    queries = queries.select(every(row_blocks).alias("rb"), home(query_blocks).alias("qb"), F.lit(True).alias("asks"), "id", "x")
-    met = index.unionByName(queries).repartition(row_blocks * query_blocks, "rb", "qb").sortWithinPartitions("rb", "qb")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, 2):
-            for a, z in zip(starts[:-1], starts[1:], strict=True):
-                part = t.slice(a, z - a).combine_chunks()
-                x, ids, ask = matrix(part.column("x")), part.column("id").to_numpy(), part.column("asks").to_numpy(zero_copy_only=False)
-                if ask.all() or not ask.any():
-                    continue
-                own = ids[ask]
-                found = search_block(x[~ask], ids[~ask], x[ask], own, pivots, k)
-                who = np.repeat(own, [len(p) for p, _ in found])
-                what = np.concatenate([p for p, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[~ask][what]), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", key, "score"])
+    marked = rows.withColumn(key, F.col("id")).select("id", "x", F.coalesce(asks, F.lit(False)).alias("asks"))
+    posts = marked.mapInArrow(posted, "file int, bound int, id bigint, x binary, prefix binary")
+    # slices of a file by its length, known within a few percent from the sample; at most PIVOTS entries
+    lengths = np.bincount(order_of(sample, pivots, COPIES).ravel(), minlength=count) * (n / len(sample))
+    slices = F.get(F.array(*[F.lit(int(np.ceil((v + n / len(sample)) / SLICE))) for v in lengths]), F.col("file"))
+    home = F.array(F.pmod(F.xxhash64("id"), slices).cast("int"))
+    posts = posts.withColumn("slice", F.explode(F.when(F.col("bound") < 0, home).otherwise(F.sequence(F.lit(0), slices - 1))))
+    tasks = max(1, -(-n * COPIES // (SLICE // 4)))
+    met = posts.repartition(tasks, "file", "slice").sortWithinPartitions("file", "slice", "bound")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def best() -> list[np.ndarray]:
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            keep = best_of(*columns, k)
+            return [c[keep] for c in columns]
+
+        now, rows, opened = None, [], None
+        for batch in batches:
+            names = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("file", "slice")], 1)
+            bounds, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            x = np.frombuffer(utf8(batch.column(3))[1].tobytes(), np.float64).reshape(-1, size)
+            order = np.frombuffer(utf8(batch.column(4))[1].tobytes(), np.uint16).reshape(-1, wide)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)] if len(names) else [0]
+            for a, z in zip(edges, edges[1:]):
+                if (name := tuple(names[a].tolist())) != now:
+                    now, rows, opened = name, [], None
+                own = a + int(np.searchsorted(bounds[a:z], 0))  # rows come before queries
+                if own > a:
+                    rows.append((ids[a:own], x[a:own], order[a:own, :length]))
+                if own < z and rows:
+                    opened = opened or File(now[0], *(np.concatenate(c) for c in zip(*rows, strict=True)), count)
+                    for i in range(own, z):
+                        what, score = opened.search(x[i], order[i], read, int(ids[i]), int(bounds[i]), k)
+                        found.append((np.full(len(what), ids[i]), what, score))
+                        held += len(what)
+                        if held >= HELD:
+                            found = [tuple(best())]
+                            held = len(found[0][0])
+                            if held >= HELD // 2:  # nothing to save: on with it
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], names=["query_id", key, "score"])
+                                found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], names=["query_id", key, "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return met.mapInArrow(apply, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    out = met.mapInArrow(search, f"query_id bigint, {key} bigint, score double")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
 def query(spark, sf_dir):

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import byte_bpe, byte_cnn, flac, mixing, near_dup, parsing, pivot_index, prefix_free, secrets, sharding, superminhash, word_cnn
@@ -393,6 +394,37 @@ def test_superminhash_estimates_similarity():
     assert (superminhash.signatures(few, np.array([0, 3]), slots)[0] == want).all()
 
 
+def test_pivot_index_of_odd_lengths(spark):
+    """Vectors of another than the commonest length take no part, wherever they stand."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(200)]
+    odd = [(1000 + i, [1.0] * n) for i, n in enumerate((3, 3, 9, 1))]
+    schema = "vec_id bigint, embedding array<double>, `rank` int"
+    get = lambda extra: sorted(tuple(r) for r in pivot_index.nearest(spark.createDataFrame([(*r, 1) for r in extra + rows], schema), F.col("vec_id") % 10 == 0, 5).collect())
+    assert get(odd) == get([]) and len(get([])) == 100
+
+
+def test_pivot_files_hold_every_row_and_are_read_once(spark):
+    """Ties everywhere, more rows than pivots: all queries get k, no row twice, scores exact and in order."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 8)).round(1)
+    x = {i: base[i % 60] * (1 + i % 2) for i in range(1200)}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in x.items()], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in pivot_index.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(found) == list(range(0, 1200, 20))
+    right = 0
+    for q, got in found.items():
+        got.sort()
+        assert [g[0] for g in got] == list(range(1, 21)) and q not in {g[1] for g in got} and len({g[1] for g in got}) == 20
+        assert [(-g[2], g[1]) for g in got] == sorted((-g[2], g[1]) for g in got)
+        assert all(abs(g[2] - x[q] @ x[g[1]]) < 1e-9 for g in got)
+        best = sorted((-float(round(x[q] @ v, 9)), i) for i, v in x.items() if i != q)[:20]
+        right += len({b[1] for b in best} & {g[1] for g in got})
+    assert right >= 0.9 * 20 * len(found)
+
+
 def test_pivot_index(spark, small):
     rng_rows = {v: np.array([np.float32(x) for x in np.random.default_rng(v % 290).normal(size=16)], np.float64) for v in range(300)}
     out = rows(spark, small, "op7_pivot_index")
