@@ -6,17 +6,22 @@
    with a few rows common to all blocks; no task holds a bucket.
 3. Round one compares each row of a block with the rows whose signatures agree best with its own, and with the block's
    most central row.  Sets cut to 16 or 24 bits an element bound the intersection from above; of the pairs that can be
-   links a spanning forest goes on, at most one link a row, to be confirmed on the full sets.
-4. The last round is what makes the result whole: wherever a bucket still spans two components, every pair across them
-   that can reach the threshold (sizes, signatures and cut sets permitting) is confirmed; others never leave their task.  Pairs inside a component need no check.
-   A round like the first goes before it, for rows still outside their bucket's largest component.
-
-A pair at similarity s shares no band with probability (1 - s**rows)**(64 // rows): with 4 rows 7e-6 at 0.85; below a
-threshold of 0.85 bands have 3 rows: 3e-7 at 0.80.  Signatures are compared with a
-margin of 4.5 standard deviations before a pair is left out.
+   links a spanning forest goes on, at most one link a row, to be confirmed on the full sets.  Round two does the same for
+   rows still outside their bucket's largest component.
+4. The last round is what makes the result whole: wherever a bucket of one block still spans two components, every pair
+   across them that can reach the threshold (sizes, signatures and cut sets permitting) is confirmed; others never leave
+   their task.  Rows of larger buckets that span two components, which may be many rows of little likeness, meet anew by
+   a second, longer signature with more rows a band, and the same is done in those buckets.  Pairs inside a component
+   need no check.
+
+A pair at similarity s shares no band with probability (1 - s**rows)**(slots // rows): with 64 slots and 4 rows 7e-6 at 0.85;
+below a threshold of 0.85 bands have 3 rows: 3e-7 at 0.80.  The second signature's 256 slots have 7 rows a band (9e-7) or 6
+(3e-6).  Signatures are compared with a margin of 4.5 standard deviations before a pair is left out.  ``exact_links`` finds
+the same links without signatures, by a prefix filter, at a higher cost; the tests hold the two together.
 
 Null and empty texts and texts without words have no set and are linked with nothing.  Rows that repeat a doc_id count
-as one document in the grouping; a null doc_id is linked with nothing.  Empty tables give empty tables.
+as one document in the grouping, linked by any of their texts; a null doc_id is linked with nothing.  Empty tables give
+empty tables; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, utf8
-from .components import connected_components
+from .common import discard, materialize, restored, shielded, slices, table, utf8
+from .components import connected_components, more_connected
 from .superminhash import bands, set_hashes, shingles, signatures
+from .words import mix
 
-SLOTS, BLOCK, COMMON, NEAREST, NARROW = 64, 1024, 16, 4, 1024
+SLOTS, BLOCK, COMMON, NEAREST, NARROW, LONGER = 64, 1024, 16, 4, 1024, 256
 STEP = 1 << 20
 
 
@@ -62,7 +68,7 @@ def signed(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, elements (the sorted 64-bit shingles of each text) and brief (their low bits, see ``Briefs``)."""
+    """doc, n_shingles, h1, h2, elements (the sorted 64-bit shingles of each text) and brief (their low bits, see ``Briefs``)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +77,28 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 e, at = shingles(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], size)
                 each = [e[at[k] : at[k + 1]] for k in range(j - i)]
                 brief = [(x & np.uint64(0xFFFF)).astype(np.uint16) if len(x) <= NARROW else (x & np.uint64(0xFFFFFF)).astype(np.uint32) for x in each]
-                columns = [batch.column(0).slice(i, j - i), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (each, brief))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", "brief"])
+                h1, h2 = (pa.array(h.view(np.int64)) for h in set_hashes(e, at))
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), h1, h2, *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (each, brief))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "h1", "h2", "elements", "brief"])
+
+    return docs.select("doc", "text").mapInArrow(apply, "doc bigint, n_shingles bigint, h1 bigint, h2 bigint, elements binary, brief binary")
+
+
+def longer_bands(members: DataFrame, percent: int) -> DataFrame:
+    """node and the band keys of a second signature, from the elements."""
+    rows = 7 if percent >= 85 else 6
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = utf8(batch.column(1))
+            for i, j in slices(at, STEP):
+                e = np.frombuffer(raw[at[i] : at[j]].tobytes(), np.uint64)
+                sig = signatures(mix(e ^ np.uint64(0x5851F42D4C957F2D)), (at[i : j + 1] - at[i]) // 8, LONGER)
+                keys = bands(sig, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["node", "bands"])
 
-    return docs.select("node", "text").mapInArrow(apply, f"node {dict(docs.dtypes)['node']}, elements binary, brief binary")
+    return members.select("node", "elements").mapInArrow(apply, "node bigint, bands array<bigint>")
 
 
 class Briefs:
@@ -299,50 +323,105 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "band", "key", "block").sortWithinPartitions("band", "key", "block")
 
 
+ROWS = ["band", "key", "block", "node", "n_shingles", "sig", "bands"]
+
+
+def spanning(buckets: DataFrame) -> DataFrame:
+    """Rows (with comp) of the buckets that span two components, with main, the largest, and cnt, the bucket's rows."""
+    tally = buckets.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key")
+    tally = tally.agg(F.count("*").alias("comps"), F.sum("n").alias("cnt"), F.max(F.struct("n", F.col("comp").alias("main"))).alias("most"))
+    return buckets.drop("cnt").join(tally.where("comps > 1").select("band", "key", "cnt", F.col("most.main").alias("main")), ["band", "key"])
+
+
+def across(mixed: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across the components of a bucket that can reach the threshold: strays against all blocks."""
+    mixed = blocks(mixed.withColumn("stray", F.col("comp") != F.col("main")), False).join(briefs, "node")
+    rows = [*ROWS, "comp", "brief", "guest", "stray"]
+    own = mixed.withColumn("guest", F.lit(False)).withColumn("block", F.col("home")).select(*rows)
+    strays = mixed.where("stray").withColumn("guest", F.lit(True)).withColumn("block", F.explode("every")).select(*rows)
+    return dealt(own.unionByName(strays)).mapInArrow(all_links(percent), "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id, kept for each row of ``docs`` (key: an integer)."""
-    docs = docs.select(F.col(key).cast("bigint").alias("node"), "text")
-    table_ = materialize(signed(docs, "node", size, percent), "signed")
-    linked = table_.where("n_shingles > 0 AND node IS NOT NULL")
-    classes = materialize(linked.groupBy("n_shingles", "h1", "h2").agg(F.min("node").alias("rep")), "classes")
-    reps = linked.join(classes.select(F.col("rep").alias("node"), "n_shingles", "h1", "h2"), ["node", "n_shingles", "h1", "h2"], "left_semi").dropDuplicates(["node"])
-    reps = materialize(reps.select("node", "n_shingles", "sig", "bands"), "reps")
+    docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), "text")
+    # numbers of rows, fixed by the writing; a class goes by that of one of its rows
+    table_ = materialize(signed(docs, "doc", size, percent).withColumn("row", F.monotonically_increasing_id()), "signed")
+    linked = table_.where("n_shingles > 0 AND doc IS NOT NULL")
+    classes = linked.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("row", "doc")).alias("first"), F.min("doc").alias("least"))
+    classes = materialize(classes.select("n_shingles", "h1", "h2", F.col("first.row").alias("node"), F.col("first.doc").alias("doc"), "least"), "classes")
+    reps = linked.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    reps = materialize(reps.select(F.col("row").alias("node"), "n_shingles", "sig", "bands"), "reps")
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    buckets = keyed.join(shared, ["band", "key"]).join(reps.select("node", "n_shingles", "sig", "bands"), "node")
+    buckets = keyed.join(shared, ["band", "key"]).join(reps, "node")
     buckets = materialize(buckets.select("band", "key", "cnt", "node", "n_shingles", "sig", "bands"), "buckets")
-    met = buckets.select("node").distinct()
+    met = classes.join(buckets.select("node").distinct(), "node").select("node", "doc", "n_shingles", "h1", "h2")
     # a merge join at every size, so that small inputs behave like large ones
-    members = materialize(sets(docs.hint("merge").join(met, "node", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    found = sets(docs.hint("merge").join(met.select("doc").distinct(), "doc", "left_semi"), size).join(met, ["doc", "n_shingles", "h1", "h2"])
+    members = materialize(found.select("node", "elements", "brief").dropDuplicates(["node"]), "sets")  # rows of one node have equal sets
     briefs = members.select("node", "brief")
 
-    columns = ["band", "key", "block", "node", "n_shingles", "sig", "bands"]
-    rows = blocks(buckets, True).select(*columns).join(briefs, "node").select(*columns, "brief")
+    rows = blocks(buckets, True).select(*ROWS).join(briefs, "node").select(*ROWS, "brief")
     pairs = dealt(rows).mapInArrow(nearest_links(percent), "a bigint, b bigint").distinct()
-    links = materialize(confirm(pairs, members, percent), "links")
+    # the texts of one doc_id belong together
+    several = linked.groupBy("doc").agg(F.min(F.struct("n_shingles", "h1", "h2")).alias("a"), F.max(F.struct("n_shingles", "h1", "h2")).alias("b")).where("a <> b").select("doc")
+    several = linked.select("doc", "n_shingles", "h1", "h2").join(several, "doc").join(classes.select("n_shingles", "h1", "h2", "node"), ["n_shingles", "h1", "h2"])
+    same = several.groupBy("doc").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).select("a", F.explode("b").alias("b")).where("a <> b")
+    links = materialize(confirm(pairs, members, percent).unionByName(same), "links")
+    roots, old = materialize(connected_components(links), "roots"), [links]
     for last in (False, True):
-        roots = connected_components(links)
         mixed = buckets.join(roots, "node", "left").select(*buckets.columns, F.coalesce("root", "node").alias("comp"))
-        mixed = materialize(mixed, "mixed")
-        tally = mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key")
-        main = tally.agg(F.count("*").alias("comps"), F.max(F.struct("n", F.col("comp").alias("main"))).alias("most")).where("comps > 1").select("band", "key", F.col("most.main").alias("main"))
-        mixed = mixed.join(main, ["band", "key"])
+        mixed = materialize(spanning(mixed), "mixed")
+        old.append(mixed)
         if not last:
-            rows = blocks(mixed, True).select(*columns, "comp").join(briefs, "node").select(*columns, "comp", "brief")
+            rows = blocks(mixed, True).select(*ROWS, "comp").join(briefs, "node").select(*ROWS, "comp", "brief")
             pairs = dealt(rows).mapInArrow(nearest_links(percent), "a bigint, b bigint")
         else:
-            mixed = blocks(mixed.withColumn("stray", F.col("comp") != F.col("main")), False)
-            rows = [*columns, "comp", "brief", "guest", "stray"]
-            mixed = mixed.join(briefs, "node")
-            own = mixed.withColumn("guest", F.lit(False)).withColumn("block", F.col("home")).select(*rows)
-            strays = mixed.where("stray").withColumn("guest", F.lit(True)).withColumn("block", F.explode("every")).select(*rows)
-            pairs = dealt(own.unionByName(strays)).mapInArrow(all_links(percent), "a bigint, b bigint")
-        links = materialize(links.unionByName(confirm(pairs.distinct(), members, percent)), "links")
-    roots = connected_components(links)
-    placed = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("root", "rep").alias("component"))
-    out = table_.select("node", "n_shingles", "h1", "h2").join(placed, ["n_shingles", "h1", "h2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("node").isNotNull(), F.col("component")).otherwise(F.col("node"))
-    return out.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("node"), F.lit(True)).alias("kept"))
+            small, large = mixed.where(F.col("cnt") <= BLOCK), mixed.where(F.col("cnt") > BLOCK)
+            pairs = across(small, briefs, percent)
+            again = large.select("node", "n_shingles", "sig", "comp").distinct()
+            if not again.isEmpty():
+                again = again.join(longer_bands(members.join(again.select("node"), "node", "left_semi"), percent), "node")
+                again = materialize(again, "again")
+                old.append(again)
+                again = again.select("*", F.posexplode("bands").alias("band", "key"))
+                pairs = pairs.unionByName(across(spanning(again), briefs, percent))
+        links = materialize(confirm(pairs.distinct(), members, percent), "links")
+        roots, before = materialize(more_connected(roots, links), "roots"), roots
+        discard(links, before, *old)
+        old = []
+    discard(reps, buckets, members)
+    placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = placed.groupBy("root").agg(F.min("least").alias("component"))
+    placed = placed.join(names, "root").select("n_shingles", "h1", "h2", "component")
+    out = table_.select("doc", "n_shingles", "h1", "h2").join(placed, ["n_shingles", "h1", "h2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc"))
+    return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+
+
+def exact_links(docs: DataFrame, key: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
+    """All links (a, b), a < b, between documents, without signatures: the exact way that ``groups`` is held against.
+
+    Prefix filter: with elements in one order, rare ones first, sets that reach the threshold share one of the first
+    n - ceil(n * percent / 100) + 1 of each.  Those meet by element and are confirmed on the full sets."""
+    docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), "text").where("doc IS NOT NULL")
+    members = materialize(sets(docs, size).where("n_shingles > 0").select("doc", "n_shingles", "elements"), "exact")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = utf8(batch.column(2))
+            who = np.repeat(np.arange(batch.num_rows), np.diff(at) // 8)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(who)) for k in (0, 1)), pa.array(np.frombuffer(raw.tobytes(), np.int64))], names=["doc", "n", "e"])
+
+    each = members.mapInArrow(listed, "doc bigint, n bigint, e bigint")
+    often = each.groupBy("e").agg(F.count("*").alias("times")).where("times > 1")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("times", F.lit(1)), "e"))
+    first = each.join(often, "e", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("times > 1")
+    x, y = (first.select(F.col("doc").alias(end), "e", F.col("n").alias(f"n_{end}")) for end in "ab")
+    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") < F.col("b"))
+    pairs = x.join(y, "e").where(near).select("a", "b").distinct()
+    return confirm(pairs, members.withColumnRenamed("doc", "node"), percent)
 
 
 def query(spark, sf_dir):
@@ -350,7 +429,15 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """One document of each group; the columns of documents.  Words in fives, similarity 0.8 or more."""
-    out = groups(docs, size=5, percent=80)
-    dropped = out.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group; the columns of documents.  Words in fives, similarity 0.8 or more.
+
+    Of the rows that repeat a kept doc_id the first by text stays; rows without a doc_id all stay."""
+    rows, own = shielded(docs)
+    doc_id = own[[c.lower() for c in docs.columns].index("doc_id")]
+    out = groups(docs.select(F.col("`doc_id`"), F.col("`text`")), size=5, percent=80)
+    dropped = out.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
+    left = rows.join(dropped, doc_id, "left_anti")
+    # rows without an id are spread by their texts
+    first = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64("text"))).orderBy(F.col("text").asc_nulls_last())
+    left = left.withColumn("__place", F.row_number().over(first)).where((F.col("__place") == 1) | F.col(doc_id).isNull())
+    return left.select(*restored(docs, own))

@@ -562,3 +562,50 @@ def test_removed_column_names(spark):
     docs = spark.createDataFrame([(1, "x" * 60), (2, "y" + "x" * 60), (None, "x" * 60)], "key bigint, text string")
     got = {r["key"]: (r["n_removed"], r["n_spans"]) for r in prefix_free.removed(docs, "key").collect()}
     assert got == {1: (0, 0), 2: (60, 1), None: (60, 1)}
+
+
+def near_copies(rng, base, changes):
+    w = list(base)
+    for k in rng.sample(range(len(w)), changes):
+        w[k] = f"x{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_near_dup_of_repeated_ids(spark):
+    """Rows of one doc_id belong together and are linked by any of their texts; rows without one are linked with nothing."""
+    rng = random.Random(9)
+    a, b = ([f"{c}{i}" for i in range(80)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near_copies(rng, a, 1)), (3, near_copies(rng, b, 1)), (None, " ".join(a)), (None, None), (4, " ".join(a)), (4, " ".join(a)), (7, "else where"), (None, " ".join(a))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        got = sorted(tuple(r) for r in near_dup.groups(df).where("doc_id IS NOT NULL").select("doc_id", "component_id").collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (7, 7)]
+        alone = near_dup.groups(df).where("doc_id IS NULL").collect()
+        assert len(alone) == 3 and all(r["component_id"] is None and r["kept"] for r in alone)
+    clash = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id bigint, text string, `a.b` int, node int, __c0 int")
+    out = near_dup.stage(spark, clash, None)
+    assert out.columns == clash.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 0, 0, 1, 7]
+
+
+def test_near_dup_of_a_bucket_of_unlike_rows(spark, monkeypatch):
+    """Many rows of little likeness in buckets of many blocks, and a few pairs among them: no link is lost."""
+    rng = random.Random(10)
+    common = [f"c{i}" for i in range(60)]
+    texts = {}
+    for i in range(150):
+        texts[i] = " ".join(common + [f"u{i}-{k}" for k in range(40)])
+    for i in range(150, 160):
+        texts[i] = near_copies(rng, texts[rng.randrange(150)].split(" "), 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_groups(texts, 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.groups(df).collect()} == want
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_exact_links(spark, small, size, percent):
+    texts = one_each(small)
+    sets = {k: sets_of(t, size) for k, t in texts.items()}
+    want = {(x, y) for x, y in itertools.combinations(sorted(texts), 2) if sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
+    docs = spark.read.parquet(f"{small[0]}/documents.parquet").dropDuplicates(["doc_id"])
+    assert {tuple(r) for r in near_dup.exact_links(docs, size=size, percent=percent).collect()} == want
