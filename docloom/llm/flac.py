@@ -4,8 +4,9 @@ Streams are mono, 8 bits a sample, 192 samples a frame.  A frame is CONSTANT, VE
 4, from the frame's autocorrelation), whichever is smallest, with Rice-coded residuals; STREAMINFO holds the MD5 of the
 samples and a SEEKTABLE has a point for every 64 frames.
 
-Reading back, frames are found by sync code, header CRC-8 and frame number; every frame's CRC-16 and the stream's MD5
-must hold.  All frames of a batch are decoded side by side: step t takes the t-th residual of each frame, whatever its
+Reading back, frames are found by sync code, header CRC-8 and frame number; where chance makes samples look like a header,
+frames are walked in order and the CRC-16 of the one before decides.  Every frame's CRC-16 and the stream's MD5 must hold.
+``samples_at`` decodes a range of samples from the nearest point of the seek table on.  All frames of a batch are decoded side by side: step t takes the t-th residual of each frame, whatever its
 predictor, partition order and Rice parameter.  Frames that aren't in this profile (other block sizes, stereo, wide
 samples) make ``decode`` raise ``ValueError``, and so does any damage.
 
@@ -188,11 +189,9 @@ def _info(stream: bytes) -> tuple[int, int, bytes]:
     return at, body & ((1 << 36) - 1), stream[26:42]
 
 
-def _find(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frame starts, ends and header sizes in raw[begin:end] of each stream."""
+def _headers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, frame numbers, sizes before the CRC-8) of all that looks like a frame header and has a fitting CRC-8."""
     hits = np.flatnonzero((raw[:-3] == START[0]) & (raw[1:-2] == START[1]) & (raw[2:-1] == START[2]) & (raw[3:] == START[3]))
-    stream = np.searchsorted(begin, hits, "right") - 1
-    hits, stream = (a[hits < end[stream]] for a in (hits, stream))
     pad = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.int64)
     lead = pad[hits + 4]
     size = np.where(lead < 128, 1, np.where(lead >> 5 == 6, 2, np.where(lead >> 4 == 14, 3, np.where(lead >> 3 == 30, 4, np.where(lead >> 2 == 62, 5, 6)))))
@@ -205,7 +204,29 @@ def _find(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, samples: np.ndarr
         crc = np.where(j < size, CRC8[crc ^ b], crc)
         number = np.where((0 < j) & (j < size), number << 6 | b & 63, number)
     good = crc == pad[hits + 4 + size]
-    hits, stream, number, size = (a[good] for a in (hits, stream, number, size))
+    return hits[good], number[good], size[good]
+
+
+def _numbered(raw: np.ndarray, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, header sizes) of the ``count`` frames numbered from ``first`` that raw begins with."""
+    hits, number, size = _headers(raw)
+    keep = _walk(raw, hits, number - first, 0)
+    if keep.sum() != count:
+        raise ValueError("frames are missing, damaged or of another profile")
+    return hits[keep], size[keep] + 5
+
+
+def _find(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frame starts, ends and header sizes in raw[begin:end] of each stream."""
+    hits, number, size = _headers(raw)
+    stream = np.searchsorted(begin, hits, "right") - 1
+    inside = (stream >= 0) & (hits < end[stream])
+    hits, number, size, stream = (a[inside] for a in (hits, number, size, stream))
+    keep, first = np.ones(len(hits), bool), np.searchsorted(stream, np.arange(len(begin) + 1))
+    for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if (z - a) * BLOCK != samples[k] or (number[a:z] != np.arange(z - a)).any():
+            keep[a:z] = _walk(raw, hits[a:z], number[a:z], int(begin[k]))
+    hits, stream, number, size = (a[keep] for a in (hits, stream, number, size))
     count = np.bincount(stream, minlength=len(begin))
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
     if (count * BLOCK != samples).any() or (number != np.arange(len(hits)) - first[stream]).any() or (hits[first] != begin).any():
@@ -214,6 +235,20 @@ def _find(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, samples: np.ndarr
     return hits, np.where(last, end[stream], np.concatenate([hits[1:], [0]])), size + 5
 
 
+def _walk(raw: np.ndarray, hits: np.ndarray, number: np.ndarray, begin: int) -> np.ndarray:
+    """Which of one stream's likely headers are headers: each carries the next number where the frame before it ends well."""
+    keep, at, due = np.zeros(len(hits), bool), -1, 0
+    for k in range(len(hits)):
+        if number[k] != due or (due == 0 and hits[k] != begin):
+            continue
+        if at >= 0:
+            stored = int(raw[hits[k] - 2]) << 8 | int(raw[hits[k] - 1])
+            if crc16(raw, np.array([at]), np.array([hits[k] - 2]))[0] != stored:
+                continue
+        keep[k], at, due = True, int(hits[k]), due + 1
+    return keep
+
+
 def _samples(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Signed samples of all frames, decoded side by side."""
     pad = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.uint64)
@@ -359,6 +394,29 @@ def decode(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     return payloads, places
 
 
+def samples_at(stream: bytes, first: int, count: int) -> bytes:
+    """``count`` unsigned samples from the ``first`` on, decoded from the seek point before them to the one after."""
+    begin, samples, _ = _info(stream)
+    first, last = min(max(first, 0), samples), min(max(first, 0) + max(count, 0), samples)
+    if first >= last:
+        return b""
+    at = 42
+    while stream[at] & 127 != 3:
+        if stream[at] >> 7:
+            raise ValueError("no seek table")
+        at += 4 + int.from_bytes(stream[at + 1 : at + 4], "big")
+    points = list(struct.iter_unpack(">QQH", stream[at + 4 : at + 4 + int.from_bytes(stream[at + 1 : at + 4], "big")]))
+    from_ = max(p for p in points if p[0] <= first)
+    to = min((p for p in points if p[0] >= last), default=(samples, len(stream) - begin, 0))
+    raw = np.frombuffer(stream[begin + from_[1] : begin + to[1]], np.uint8)
+    start = _numbered(raw, from_[0] // BLOCK, (to[0] - from_[0]) // BLOCK)
+    end = np.concatenate([start[0][1:], [len(raw)]])
+    if (crc16(raw, start[0], end - 2) != raw[end - 2].astype(np.int64) * 256 + raw[end - 1]).any():
+        raise ValueError("CRC-16 of a frame is wrong")
+    out = (_samples(raw, *start) + 128).astype(np.uint8).tobytes()
+    return out[first - from_[0] : last - from_[0]]
+
+
 def pad(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // BLOCK)) * BLOCK, b" ")
 
