@@ -4,12 +4,14 @@ Each record scores every shard by ``-weight / ln(u)``, u in (0, 1) from md5("key
 the highest score (ties: the lowest number).  A shard that is added can only win records, never move them between the
 old ones; a shard whose weight falls can only lose records.
 
-Slots number the rows of a shard from 0 without gaps, by md5 of the key.  No shard is ever held by one task: rows are
-ranked inside (shard, first three hex digits of that md5), 4,096 parts a shard, and shifted by the sizes of the parts
-before, a table of at most 4,096 rows a shard.
+Slots number the rows of a shard from 0 without gaps, by md5 of key and text's crc32.  No shard is ever held by one task:
+rows are ranked inside (shard, first three hex digits of that md5), 4,096 parts a shard, and shifted by the sizes of the
+parts before, a table of at most 4,096 rows a shard, broadcast for up to ``FEW`` shards.  Rows of one key (null, say) lie in
+one shard, but by their texts in many parts.
 
 Null keys hash as the empty key; null texts have no bytes and the crc32 of none; repeated rows get slots of their own;
-an empty table gives an empty table; other columns are carried along unread.
+an empty table gives an empty table; other columns are carried along unread, and ValueError says so if one has the name
+of an output.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+FEW = 256
+
+
 def best_shard(key: Column, weights: Sequence[float], first: int = 0) -> Column:
     """Struct (score, back) of the shard that wins ``key`` among those numbered from ``first``; ``-back`` is its number."""
     if not weights or min(weights) <= 0:
@@ -38,10 +43,11 @@ def best_shard(key: Column, weights: Sequence[float], first: int = 0) -> Column:
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], added: float | None = None, text: str = "text") -> DataFrame:
     """``df`` with size, text_crc32, shard, slot and grown_shard (the shard with one more of weight ``added``; else null)."""
-    if taken := set(df.columns) & {"size", "text_crc32", "shard", "slot", "grown_shard", "__key", "__order", "__part", "__before"}:
+    if taken := {c.lower() for c in df.columns} & {"size", "text_crc32", "shard", "slot", "grown_shard", "__key", "__order", "__part", "__before"}:
         raise ValueError(f"columns already there: {sorted(taken)}")
     plain = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    order = F.md5(plain.cast("binary"))
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    order = F.md5(F.concat(plain, F.lit("/"), F.crc32(raw).cast("string")).cast("binary"))
 
     def placed(frame: DataFrame) -> DataFrame:
         frame = frame.withColumn("__key", plain).withColumn("__order", order).withColumn("__best", best_shard(F.col("__key"), weights))
@@ -52,11 +58,10 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], added: floa
         return frame.select("*", shard.alias("shard"), grown.alias("grown_shard"), F.substring("__order", 1, 3).alias("__part")).drop("__best")
 
     part = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed(df.select(key)).groupBy("shard", "__part").count().select("shard", "__part", F.coalesce(F.sum("count").over(part), F.lit(0)).alias("__before"))
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    before = placed(df.select(key, text)).groupBy("shard", "__part").count().select("shard", "__part", F.coalesce(F.sum("count").over(part), F.lit(0)).alias("__before"))
     rows = placed(df.withColumn("size", (F.octet_length(raw) + 8).cast("long")).withColumn("text_crc32", F.crc32(raw).cast("long")))
     inside = Window.partitionBy("shard", "__part").orderBy("__order", key, "size", "text_crc32")
-    rows = rows.withColumn("slot", F.row_number().over(inside)).join(F.broadcast(before), ["shard", "__part"])
+    rows = rows.withColumn("slot", F.row_number().over(inside)).join(F.broadcast(before) if len(weights) <= FEW else before, ["shard", "__part"])
     return rows.withColumn("slot", (F.col("slot") - 1 + F.col("__before")).cast("long")).drop("__key", "__order", "__part", "__before")
 
 
