@@ -139,7 +139,10 @@ def cut(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, per_language: int = 600, most_languages: int = 256) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Labels and model, from rows that are not held out and whose lang is not null."""
+    """Labels and model, from rows that are not held out and whose lang is not null.
+
+    The fit sees 1,024 bytes of about ``per_language`` documents of each of the ``most_languages`` most frequent languages
+    (ties by name).  Rarer ones aren't learned: their texts get the learned language that they are likest."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
     if not counts:

@@ -70,7 +70,7 @@ def sigmoid(z):
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, n_words: int, epochs: int = 5, batch: int = 32, rate: float = 0.02, seed: int = 11) -> dict[str, np.ndarray]:
-    """texts: feature numbers by word. Both labels are drawn equally often; the output bias is then moved to the true share."""
+    """texts: feature numbers by word. Both labels are drawn equally often, so that 0.5 is where they are equally likely at equal shares."""
     rng = np.random.default_rng(seed)
     model = {"embed": rng.normal(0, 0.1, (n_words + 1, EMBED)), "out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS), "out0": np.zeros(1)}
     model["embed"][0] = 0

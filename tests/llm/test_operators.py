@@ -243,6 +243,39 @@ def test_flac_blocks(spark):
     assert all(r["first_sample"] == r["block"] * 16 * 192 and stream[r["byte_offset"] : r["byte_offset"] + 2] == b"\xff\xf8" for r in blocks)
 
 
+def test_flac_survives_what_looks_like_a_header():
+    """Noise is stored verbatim; bytes in it that pass for a frame header, number and CRC-8 included, are no frame."""
+    rng = np.random.default_rng(12)
+    noise = bytearray(rng.integers(0, 256, 192 * 6, dtype=np.uint8))
+    plain = flac.encode([bytes(noise)])[0]
+    heads = [plain[a : a + 6] for a in flac.decode([plain])[1][0]]
+    for place, head in ((30, heads[2]), (192 + 50, heads[5]), (2 * 192 + 9, heads[0]), (3 * 192 + 80, heads[4])):
+        noise[place : place + 6] = bytes(b ^ 0x80 for b in head)
+    stream = flac.encode([bytes(noise)])[0]
+    assert sum(stream.count(h) for h in heads) == 10
+    other = flac.pad(b"another text " * 50)
+    assert flac.decode([stream, flac.encode([other])[0], stream])[0] == [bytes(noise), other, bytes(noise)]
+
+
+def test_flac_seeks():
+    payload = flac.pad("Où est la bibliothèque? ".encode() * 2500)
+    stream = flac.encode([payload])[0]
+    for first, count in ((0, 10), (191, 2), (64 * 192 - 1, 3), (30000, 20000), (len(payload) - 5, 50), (len(payload), 1), (5, 0), (0, len(payload))):
+        assert flac.samples_at(stream, first, count) == payload[first : first + count]
+    broken = bytearray(stream)
+    broken[-1000] ^= 4
+    with pytest.raises(ValueError):
+        flac.samples_at(bytes(broken), len(payload) - 2000, 2000)
+
+
+def test_sharding_spreads_rows_of_one_key(spark):
+    docs = spark.createDataFrame([(None, str(i)) for i in range(300)] + [(None, None), (None, "")], "doc_id bigint, text string")
+    out = sharding.assign_shards(docs, "doc_id", [1.0] * 3).collect()
+    assert len({r["shard"] for r in out}) == 1 and sorted(r["slot"] for r in out) == list(range(302))
+    with pytest.raises(ValueError, match="size"):
+        sharding.assign_shards(docs.selectExpr("doc_id", "text", "1 AS Size"), "doc_id", [1.0])
+
+
 def test_sharding(spark, small):
     out = rows(spark, small, "op4_sharding")
     assert len(out) == len(small[1])
