@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import byte_bpe, byte_cnn, flac, mixing, near_dup, pivot_index, prefix_free, secrets, sharding, word_cnn
+from .oracles import ORACLES
 
 
 def queries():
@@ -21,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
