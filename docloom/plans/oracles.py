@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import FOLD_DROP, FOLD_LONG, FOLD_ONE
-from docloom.operators.metrics import BOUNDS, CACHE_ROUTES, ROUTES
+from docloom.plans.oracles_more import MAP_BOXES, NORMALIZE, escalation, exposition, reading_order
+
+# Written out on their own, not taken from the code they check.
+ROUTES = ["/health", "/metrics", "/v1/formats", "/v1/extract/url", "/v1/extract/bytes", "/v1/ocr", "unmatched"]
+CACHE_ROUTES = ROUTES[3:5]
+BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 5000]
+FOLD_LONG = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "st", 0xFB06: "st", 0x2014: "--", 0x2022: "* ", 0x2026: "...", 0xDF: "ss", 0xA9: "(c)", 0xAE: "(R)", 0x2122: "(TM)"}
+FOLD_ONE = {"'": [0x2018, 0x2019, 0x201A, 0x2032], '"': [0x201C, 0x201D, 0x201E, 0x2033], "-": [0x2010 + k for k in (2, 3, 5)] + [0x2212], " ": [0xA0, 0x2007, 0x202F, 0x2060], ".": [0xB7], "x": [0xD7]}
+FOLD_ONE |= {"A": range(0xC0, 0xC6), "C": [0xC7], "E": range(0xC8, 0xCC), "I": range(0xCC, 0xD0), "N": [0xD1], "O": [*range(0xD2, 0xD7), 0xD8], "U": range(0xD9, 0xDD), "Y": [0xDD]}
+FOLD_ONE |= {"a": range(0xE0, 0xE6), "c": [0xE7], "e": range(0xE8, 0xEC), "i": range(0xEC, 0xF0), "n": [0xF1], "o": [*range(0xF2, 0xF7), 0xF8], "u": range(0xF9, 0xFD), "y": [0xFD, 0xFF]}
+FOLD_DROP = [0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF, 0xB4, 0x60, 0x2CA, 0x2CB, 0xA8, 0x2C6, 0x2DC]
 
 WS = r"[\pZ\t-\r\x{85}]"
 
@@ -22,10 +31,10 @@ def words(c: str) -> str:
 
 def fold(c: str) -> str:
     for k, v in FOLD_LONG.items():
-        c = f"replace({c}, {q(k)}, {q(v)})"
-    c = f"translate({c}, {q(''.join(FOLD_ONE.values()))}, {q(''.join(k * len(v) for k, v in FOLD_ONE.items()))})"
+        c = f"replace({c}, {q(chr(k))}, {q(v)})"
+    c = f"translate({c}, {q(''.join(chr(x) for v in FOLD_ONE.values() for x in v))}, {q(''.join(k * len(v) for k, v in FOLD_ONE.items()))})"
     for k in FOLD_DROP:
-        c = f"replace({c}, {q(k)}, '')"
+        c = f"replace({c}, {q(chr(k))}, '')"
     return f"regexp_replace(regexp_replace({c}, '[\\x{{300}}-\\x{{36f}}]', '', 'g'), '[^\\x00-\\x7f]', '?', 'g')"
 
 
@@ -107,7 +116,7 @@ ORACLES = {
       SELECT page_id, trim(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&amp;', '&')) AS title,
         trim(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&amp;', '&')) AS first_heading FROM x""",
     "ndjson_tally": "SELECT conv_id, 1 AS heads, 1 AS ends, 'Conversation ' || conv_id AS title, true AS all_chunks FROM conversations GROUP BY conv_id",
-    "formats": """SELECT * FROM (VALUES ('web', 'text/html', 'Web pages via readability + html2md'), ('pdf', 'application/pdf', 'PDF text extraction via pdf-extract'),
+    "formats": """SELECT * FROM (VALUES ('web', 'text/html', 'Web pages: main content by tags, as Markdown'), ('pdf', 'application/pdf', 'Page texts of a registered PDF engine'),
         ('markdown', 'text/markdown', 'Markdown passthrough with normalization'), ('plaintext', 'text/plain', 'Plain text with minimal processing')) f(kind, mime_types, description)""",
     "request_counts": f"WITH {LOG} SELECT route, status, count(*) AS requests FROM log GROUP BY ALL",
     "latency_histogram": f"""WITH {LOG}, r(route) AS (VALUES {values(ROUTES)}), l(le, b) AS (VALUES {", ".join(f"('{b}', {b})" for b in BOUNDS)}, ('+Inf', 9223372036854775807))
@@ -137,4 +146,9 @@ ORACLES = {
       SELECT image, ordinal, x0 AS x, y0 AS y, x1 - x0 AS width, y1 - y0 AS height, round(least(greatest(confidence * 0.9::DOUBLE, 0), 1), 6) AS confidence FROM c WHERE x1 > x0 AND y1 > y0""",
     "largest_image": f"""WITH {BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY width::BIGINT * height DESC, ordinal DESC) AS k FROM b)
       SELECT image, ordinal, width, height FROM r WHERE k = 1""",
+    "normalize_text": NORMALIZE,
+    "escalation_driver": escalation(PAGES, fold),
+    "exposition": exposition(LOG, ROUTES, CACHE_ROUTES, BOUNDS),
+    "reading_order": reading_order(BOXES),
+    "db_boxes": MAP_BOXES,
 }

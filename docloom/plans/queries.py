@@ -303,8 +303,10 @@ def ordered(spark, d):
 
 
 def detected(spark, d):
-    maps = score_rows(spark, d).select("vec_id", F.col("scores").alias("values"), F.lit(8).alias("rows"), F.lit(8).alias("cols"), F.lit(64).alias("width"), F.lit(64).alias("height"))
-    return ocr.detect(maps, "vec_id")
+    """Boxes of made-up maps of 8 by 8 logits."""
+    size = {"rows": F.lit(8), "cols": F.lit(8), "width": F.lit(64), "height": F.lit(64)}
+    maps = score_rows(spark, d).select("vec_id", F.transform("scores", lambda x: x * 12 - 1.2).alias("values")).withColumns(size)
+    return ocr.detect(maps, "vec_id").withColumn("confidence", F.round("confidence", 6))
 
 
 QUERIES = {
