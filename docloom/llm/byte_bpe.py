@@ -10,8 +10,9 @@
 3. Ids go back to the chunks, at most one row for a unit of a chunk, and each chunk's texts are put together from them.
 
 So a word costs one fold for the corpus and one row a chunk, however often it occurs; texts aren't shuffled at all.
-Words that are pieces need no fold; neither do the ``hot`` most frequent others of a bounded sample of documents, which
-are folded beforehand and broadcast.  That saves rows and changes no result: every other unit goes the way above.
+Words that are pieces need no fold; neither do the ``hot`` most frequent units of a bounded sample of documents, which are
+folded beforehand and broadcast.  That saves rows and changes no result: every other unit goes the way above.  Codes are
+small for frequent units, and their bytes are stored plane by plane, which compresses.
 
 The fold takes time with the square of a unit's length.  Words of more bytes than the longest piece are first cut
 wherever no piece that occurs there reaches across; no merge can cross such a place, so the parts are units of their
@@ -45,7 +46,9 @@ from .common import shared_dir, table
 
 LONGEST = 256
 BUCKETS = 1 << 16
-CHUNK = 16 << 20
+CHUNK = 32 << 20
+#: Bits of a unit's place in its chunk; a chunk of CHUNK bytes, or of one longer text, has fewer units than 2**PLACES.
+PLACES = 26
 #: Texts of more characters are cut a block of words at a time.
 BLOCK = 1 << 20
 
@@ -139,6 +142,17 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int], whole: bool = True) -> lis
     return out
 
 
+def heap_pieces(part: bytes, ranks: dict[bytes, int]) -> Iterator[bytes]:
+    """The pieces that ``part`` merges to, without taking it whole."""
+    if len(part) > 1 and part in ranks:
+        ends = heap_merge(part, ranks, whole=False)
+        if ends == [ranks[part]]:
+            yield part
+            return
+    by_rank = {r: p for p, r in ranks.items()} if len(part) > 1 else {ranks[part]: part}
+    yield from (by_rank[r] for r in heap_merge(part, ranks, whole=False))
+
+
 def parts(word: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
     """``word`` cut wherever no piece that occurs in it there reaches across: merges never cross such a place."""
     n, reach, begin, out = len(word), 0, 0, []
@@ -154,21 +168,20 @@ def parts(word: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
 
 
 class Cutter:
-    """Cuts texts into units and numbers them: pieces by rank, hot words next, then a chunk's own units by appearance."""
+    """Cuts texts into units and numbers them: those of ``known`` by place, then a chunk's own by appearance."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, hot: list[bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: list[bytes]):
         import regex
 
         self.find = regex.compile(pattern)
-        self.ranks, self.longest, self.names = ranks, max(map(len, ranks)), {}
-        self.first = max(ranks.values()) + 1 + len(hot)
-        known = {}
-        for piece, rank in ranks.items():
+        self.ranks, self.longest, self.first = ranks, max(map(len, ranks)), len(known)
+        self.place = {unit: i for i, unit in enumerate(known)}
+        by_word = {}
+        for unit, i in self.place.items():
             try:
-                known[piece.decode()] = rank
+                by_word[unit.decode()] = i
             except UnicodeDecodeError:
                 pass  # no text holds it as a word
-        known |= {w.decode(): self.first - len(hot) + i for i, w in enumerate(hot)}
         outer = self
 
         class Codes(dict):
@@ -182,7 +195,7 @@ class Cutter:
                     self[word] = code = -len(outer.lists)
                 return code
 
-        self._fresh = lambda: Codes(known)
+        self._fresh = lambda: Codes(by_word)
         self.start()
 
     def start(self) -> None:
@@ -190,18 +203,18 @@ class Cutter:
         self.units, self.of_unit, self.lists, self.codes = [], {}, [], self._fresh()
 
     def _unit(self, raw: bytes) -> int:
-        if (rank := self.ranks.get(raw)) is not None:
-            return rank
+        if (code := self.place.get(raw)) is not None:
+            return code
         if raw not in self.of_unit:
             self.of_unit[raw] = self.first + len(self.units)
             self.units.append(raw)
         return self.of_unit[raw]
 
-    def _long(self, raw: bytes) -> Iterator[int]:
+    def _long(self, raw: bytes) -> list[int]:
         out = []
         for part in parts(raw, self.ranks, self.longest):
             if part in self.ranks or len(part) > LONGEST:
-                out += heap_merge(part, self.ranks, whole=False)
+                out += [self.place[p] for p in heap_pieces(part, self.ranks)]
             else:
                 out.append(self._unit(part))
         return out
@@ -254,37 +267,50 @@ class Tokenizer:
         each = _let(F.split(F.lit(",".join(pieces)), ","), lambda hex_: F.transform(F.col(ids), lambda i: F.get(hex_, i)))
         return texts.select("*", F.unhex(F.array_join(each, "")).alias(name))
 
-    def hot_words(self, texts: DataFrame, documents: int, hot: int) -> list[tuple[bytes, list[int]]]:
-        """The ``hot`` most frequent units of about ``documents`` of the texts that are no pieces, with their ids."""
-        n = texts.count()
-        if not n:
-            return []
-        ranks, pattern = self.ranks, self.pattern
+    def known_units(self, texts: DataFrame, documents: int, hot: int) -> tuple[pa.Array, pa.Array]:
+        """Units and their ids: the ``hot`` most frequent of about ``documents`` of the texts, then all other pieces."""
+        n, ranks, pattern = texts.count(), self.ranks, self.pattern
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cutter = Cutter(ranks, pattern, [])
+            cutter = Cutter(ranks, pattern, list(ranks))
+            named = list(ranks)
             for batch in batches:
                 cutter.start()
                 counts: Counter[int] = Counter()
                 for text in batch.column(0):
                     codes, times = np.unique(cutter.cut(text.as_py()), return_counts=True)
                     counts.update(dict(zip(codes.tolist(), times.tolist(), strict=True)))
-                found = [(c, k) for c, k in counts.items() if c >= cutter.first]
-                columns = [pa.array([cutter.units[c - cutter.first] for c, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["unit", "times"])
+                units = [named[c] if c < cutter.first else cutter.units[c - cutter.first] for c in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(counts.values(), pa.int64())], names=["unit", "times"])
+
+        sample = texts.sample(min(1.0, documents / max(n, 1)), seed=1).mapInArrow(apply, "unit binary, times bigint")
+        top = sample.groupBy("unit").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "unit").limit(hot)
+        found = self.unit_ids(top.repartition(min(64, 1 + hot // 4000)), "unit").toArrow().sort_by([("times", "descending"), ("unit", "ascending")]).combine_chunks()
+        units, ids = found["unit"].combine_chunks(), found["ids"].combine_chunks()
+        rest = sorted(set(ranks) - set(units.to_pylist()), key=ranks.get)
+        return pa.concat_arrays([units.cast(pa.binary()), pa.array(rest, pa.binary())]), pa.concat_arrays([ids.cast(pa.list_(pa.int32())), pa.array([[ranks[p]] for p in rest], pa.list_(pa.int32()))])
+
+
+class Vocabulary:
+    """What a Python worker keeps of the broadcast units: ids and decoded bytes of each known code."""
 
-        sample = texts.sample(min(1.0, documents / n), seed=1).mapInArrow(apply, "unit binary, times bigint")
-        top = sample.where("length(unit) > 1").groupBy("unit").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "unit").limit(hot)
-        found = self.unit_ids(top.select("unit").repartition(min(64, 1 + hot // 4000)), "unit").toArrow()
-        words, ids = found["unit"].to_pylist(), found["ids"].to_pylist()
-        return [(w, i) for w, i in zip(words, ids, strict=True) if _is_text(w)]
+    held: dict[str, Vocabulary] = {}
 
+    def __init__(self, ranks: dict[bytes, int], ids: pa.Array):
+        self.pieces = {r: p for p, r in ranks.items()}
+        at, flat = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist(), ids.flatten().to_numpy().astype("<u4")
+        raw, flat = flat.tobytes(), flat.tolist()
+        self.ids = [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+        self.texts = [self.decoded(flat[a:b]) for a, b in zip(at, at[1:])]
 
-def _is_text(raw: bytes) -> bool:
-    try:
-        return bool(raw.decode())
-    except UnicodeDecodeError:
-        return False
+    def decoded(self, ids: list[int]) -> bytes:
+        return b"".join([self.pieces[i] for i in ids])
+
+    @classmethod
+    def of(cls, name: str, ranks: dict[bytes, int], ids: pa.Array) -> Vocabulary:
+        if name not in cls.held:
+            cls.held = {name: cls(ranks, ids)}
+        return cls.held[name]
 
 
 def _table_of(df: DataFrame, name: str, chunk: str) -> DataFrame:
@@ -299,93 +325,87 @@ def _table_of(df: DataFrame, name: str, chunk: str) -> DataFrame:
 OUTPUTS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iterable[str], sample: int = 12000, hot: int = 1 << 17) -> DataFrame:
+PLANES = ("b0", "b1", "b2", "b3")
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iterable[str], sample: int = 12000, hot: int = 1 << 18) -> DataFrame:
     """Columns ``keep`` with ``outputs`` (of OUTPUTS) of each whole text."""
     outputs = list(outputs)
     if taken := {c.lower() for c in keep} & set(outputs):
         raise ValueError(f"columns already there: {sorted(taken)}")
-    ranks, pattern = tokenizer.ranks, tokenizer.pattern
-    hot_ids = tokenizer.hot_words(docs.select("text"), sample, hot)
-    shared = tokenizer.spark.sparkContext.broadcast((ranks, hot_ids))
+    ranks, pattern, name = tokenizer.ranks, tokenizer.pattern, uuid.uuid4().hex
+    shared = tokenizer.spark.sparkContext.broadcast((ranks, *tokenizer.known_units(docs.select("text"), sample, hot)))
     names = [f"__c{i}" for i in range(len(keep))]
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("__text"))
     kept = given.drop("__text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, hot_ids = shared.value
-        cutter = Cutter(ranks, pattern, [w for w, _ in hot_ids])
-        number = TaskContext.get().partitionId() << 24
-        size, columns = 0, [*names, "chunk", "codes", "units"]
+        ranks, known, _ = shared.value
+        cutter = Cutter(ranks, pattern, known.to_pylist())
+        number = TaskContext.get().partitionId() << 18
+        size, columns = 0, [*names, "chunk", *PLANES, "units"]
+        types: list[pa.DataType] = []
 
-        def units(types: list[pa.DataType]) -> pa.RecordBatch:
-            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), pa.array([cutter.units], pa.list_(pa.binary()))]
+        def units() -> pa.RecordBatch:
+            empty = [pa.nulls(1, pa.binary())] * len(PLANES)
+            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), *empty, pa.array([cutter.units], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(out, names=columns)
 
-        types: list[pa.DataType] = []
         for batch in batches:
             types = [batch.column(k).type for k in range(len(names))]
             texts, i = batch.column(len(names)), 0
             while i < batch.num_rows:
-                codes, begin = [], i
+                planes, begin = [], i
                 while i < batch.num_rows and size < CHUNK:
-                    codes.append(cutter.cut(texts[i].as_py()).tobytes())
-                    size += 5 * len(codes[-1]) // 4 + 1  # about the text's bytes
+                    codes = cutter.cut(texts[i].as_py())
+                    planes.append([p.tobytes() for p in codes.view(np.uint8).reshape(-1, 4).T])
+                    size += 5 * len(codes) + 1  # about the text's bytes
                     i += 1
                 out = [*[batch.column(k).slice(begin, i - begin) for k in range(len(names))], pa.array([number] * (i - begin), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(codes, pa.binary()), pa.nulls(i - begin, pa.list_(pa.binary()))], names=columns)
+                yield pa.RecordBatch.from_arrays([*out, *[pa.array(p, pa.binary()) for p in zip(*planes, strict=True)], pa.nulls(i - begin, pa.list_(pa.binary()))], names=columns)
                 if size >= CHUNK:
-                    yield units(types)
+                    yield units()
                     cutter.start()
                     number, size = number + 1, 0
         if size:
-            yield units(types)
+            yield units()
 
     fields = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [""])
-    chunks = _table_of(given.mapInArrow(cut, fields + "chunk bigint, codes binary, units array<binary>"), "bpe", "chunk")
-    entries = chunks.where("units IS NOT NULL").select(F.col("chunk").alias("home"), F.posexplode("units").alias("place", "unit")).repartition("unit")
+    chunks = _table_of(given.mapInArrow(cut, fields + "chunk bigint, " + "".join(f"{p} binary, " for p in PLANES) + "units array<binary>"), "bpe", "chunk")
+    # one number for a unit's chunk and its place there; ids in as few bytes as the vocabulary needs
+    wide = 2 if max(ranks.values()) < 1 << 16 else 4
+    entries = chunks.where("units IS NOT NULL").select(F.shiftleft("chunk", PLACES).alias("at"), F.posexplode("units").alias("place", "unit"))
+    entries = entries.select((F.col("at") + F.col("place")).alias("at"), "unit").repartition("unit")
     folded = tokenizer.unit_ids(entries.select("unit").distinct(), "unit")
-    found = entries.join(folded, "unit").select("home", "place", "ids")
+    folded = folded.select("unit", F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("bigint")), 2 * wide, "0")), "")).alias("ids"))
+    found = entries.join(folded, "unit").select(F.shiftright("at", PLACES).alias("home"), (F.col("at") % (1 << PLACES)).cast("int").alias("place"), "ids")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranks, hot_ids = shared.value
-        first = max(ranks.values()) + 1
-        pieces = [b""] * first
-        for k, v in ranks.items():
-            pieces[v] = k
-        as_ids = [i.to_bytes(4, "little") for i in range(first)]
-        whole = pieces[:first]
-
-        def add(ids: list[int]) -> tuple[bytes, bytes]:
-            return b"".join([as_ids[i] for i in ids]), b"".join([pieces[i] for i in ids])
-
-        out_ids, out_text = list(as_ids), whole
-        for x, y in (add(ids) for _, ids in hot_ids):
-            out_ids.append(x)
-            out_text.append(y)
-        order = np.argsort(right["place"].to_numpy()).tolist()
-        each = right["ids"].to_pylist()
-        for k in order:
-            x, y = add(each[k])
-            out_ids.append(x)
-            out_text.append(y)
+        ranks, _, known = shared.value
+        vocabulary = Vocabulary.of(name, ranks, known)
+        own = [None] * right.num_rows
+        for place, ids in zip(right["place"].to_pylist(), right["ids"].to_pylist(), strict=True):
+            own[place] = np.frombuffer(ids, f">u{wide}").astype("<u4")
+        out_ids = vocabulary.ids + [ids.tobytes() for ids in own]
+        out_text = vocabulary.texts + [vocabulary.decoded(ids.tolist()) for ids in own]
         got: dict[str, list] = {k: [] for k in outputs}
-        for codes in left["codes"]:
-            codes = np.frombuffer(codes.as_buffer(), np.uint32).tolist()
+        for planes in zip(*(left[p] for p in PLANES), strict=True):
+            codes = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in planes], 1).view("<u4").ravel().tolist()
             ids = b"".join([out_ids[c] for c in codes])
-            text = b"".join([out_text[c] for c in codes]) if "decoded_sha256" in got else b""
-            for k, make in (
-                ("n_tokens", lambda: len(ids) // 4),  # noqa: B023
-                ("ids_sha256", lambda: hashlib.sha256(ids).hexdigest()),  # noqa: B023
-                ("decoded_sha256", lambda: hashlib.sha256(text).hexdigest()),  # noqa: B023
-                ("ids", lambda: np.frombuffer(ids, "<i4")),  # noqa: B023
-            ):
-                if k in got:
-                    got[k].append(make())
+            for k, column in got.items():
+                if k == "n_tokens":
+                    column.append(len(ids) // 4)
+                elif k == "ids":
+                    column.append(np.frombuffer(ids, "<i4"))
+                elif k == "ids_sha256":
+                    column.append(hashlib.sha256(ids).hexdigest())
+                else:
+                    column.append(hashlib.sha256(b"".join([out_text[c] for c in codes])).hexdigest())
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         more = [pa.array(got[k], kinds.get(k, pa.string())) for k in outputs]
         return pa.Table.from_arrays([*[left[n] for n in names], *more], names=[*names, *outputs])
 
-    rows = chunks.where("codes IS NOT NULL").select(*names, "chunk", "codes")
+    rows = chunks.where("units IS NULL").select(*names, "chunk", *PLANES)
     done = rows.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(assemble, fields + ", ".join(f"{k} {OUTPUTS[k]}" for k in outputs))
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *outputs)
 
