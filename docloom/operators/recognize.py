@@ -225,7 +225,7 @@ def read_images(rows: DataFrame, raw: str, open_reader: Callable[[], Reader], de
 
 
 # Strip writing: a line is a blue bar; a character is a green block on it whose red tells which it is.
-STRIP_LETTERS = ["", *"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,-"]
+STRIP_LETTERS = ["", *"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,-_"]
 STRIP_STEP, STRIP_TALL, STRIP_GAP = 6, 48, 40
 
 

@@ -151,4 +151,15 @@ ORACLES = {
     "exposition": exposition(LOG, ROUTES, CACHE_ROUTES, BOUNDS),
     "reading_order": reading_order(BOXES),
     "db_boxes": MAP_BOXES,
+    "image_decode": """WITH s AS (SELECT n_nationkey, ((6 * greatest(length(n_name), length(r_name)) + 76 + 31) // 32) * 32 AS w FROM nation JOIN region ON n_regionkey = r_regionkey)
+      SELECT n_nationkey, CASE WHEN n_nationkey % 6 <> 5 THEN w END AS width, CASE WHEN n_nationkey % 6 <> 5 THEN 224 END AS height, CASE WHEN n_nationkey % 6 <> 5 THEN w * 224 * 3 END AS bytes, n_nationkey % 6 = 5 AS failed FROM s""",
+    "image_ocr": """SELECT n_nationkey, n_name AS title, n_name || chr(10) || r_name || chr(10) AS markdown, 1 AS page_count, 'image-ocr' AS pipeline_used, true AS ocr_used, 2 AS regions FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "base64_images": """WITH i AS (SELECT n_nationkey, n_name, unnest([0, 1, 2]) AS index FROM nation)
+      SELECT n_nationkey, index, CASE WHEN index < 2 THEN n_name END AS text, CASE WHEN index = 2 THEN 'images[2]: ' || CASE n_nationkey % 4 WHEN 0 THEN 'image payload must not be empty' WHEN 1 THEN 'data URL is missing a comma separator'
+        WHEN 2 THEN 'data URL must use an image MIME type' ELSE 'invalid base64 image payload' END END AS error FROM i""",
+    "pdf_pages": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS page_number, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM conversations""",
+    "every_kind": """SELECT 'm' || conv_id AS id, 'markdown' AS source_kind, NULL AS error, NULL::INT AS page_count, 'markdown' AS pipeline_used, false AS scored FROM conversations GROUP BY conv_id
+      UNION ALL SELECT 'w' || page_id, 'web', NULL, NULL, 'web', false FROM pages
+      UNION ALL SELECT 'p' || conv_id, 'pdf', CASE WHEN conv_id % 7 = 6 THEN 'no document could be made of this pdf' END, CASE WHEN conv_id % 7 <> 6 THEN count(*) END, CASE WHEN conv_id % 7 <> 6 THEN 'pdf-fast' END, conv_id % 7 <> 6 FROM conversations GROUP BY conv_id
+      UNION ALL SELECT 'i' || n_nationkey, CASE WHEN n_nationkey % 6 = 5 THEN 'plaintext' ELSE 'image' END, CASE WHEN n_nationkey % 6 = 5 THEN 'empty body' END, CASE WHEN n_nationkey % 6 <> 5 THEN 1 END, CASE WHEN n_nationkey % 6 <> 5 THEN 'image-ocr' END, false FROM nation""",
 }

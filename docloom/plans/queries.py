@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import cache, metrics, ocr, pages, quality
+from docloom.operators import cache, metrics, ocr, pages, quality, recognize
 from docloom.operators.chunk import chunk_rows, numbered_rows, sections, split_sentences
 from docloom.operators.normalize import normalize_markdown
 from docloom.operators.web import html_title, html_to_markdown
-from docloom.plans import pdf, pipelines
+from docloom.plans import convert, pdf, pipelines
+from docloom.sources import images, pdf_text
 from docloom.sources import resolve as R
 
 
@@ -309,6 +310,70 @@ def detected(spark, d):
     return ocr.detect(maps, "vec_id").withColumn("confidence", F.round("confidence", 6))
 
 
+def strip_images(spark, d):
+    """Images of nations' names, with a region's name below, in strip writing."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return recognize.drawn(rows.select("n_nationkey", F.concat_ws("\n", "n_name", "r_name").alias("lines")), "lines", "png")
+
+
+def image_sources(spark, d):
+    out = images.decode_images(strip_images(spark, d).withColumn("png", F.when(F.col("n_nationkey") % 6 == 5, F.substring("png", 1, 60)).otherwise(F.col("png"))), "png")
+    return out.select("n_nationkey", "width", "height", F.octet_length("pixels").alias("bytes"), F.col("image_error").isNotNull().alias("failed"))
+
+
+def image_ocr(spark, d):
+    read = recognize.read_images(strip_images(spark, d), "png", recognize.strip_reader)
+    out = pdf.image_documents(read, F.col("recognized"))
+    how = F.col("diagnostics")
+    return out.select("n_nationkey", "title", "markdown", "metadata.page_count", how["pipeline_used"].alias("pipeline_used"), how["ocr_used"].alias("ocr_used"), F.size("regions").alias("regions"))
+
+
+def base64_payloads(spark, d):
+    n, text = F.col("n_nationkey"), F.base64(F.col("n_name").cast("binary"))
+    wrong = F.when(n % 4 == 0, "").when(n % 4 == 1, "data:image/png").when(n % 4 == 2, "data:text/plain;base64,aGk=").otherwise("?!")
+    given = F.array(text, F.concat(F.lit("data:image/png;base64,"), text), wrong)
+    return table(spark, d, "nation").select("n_nationkey", F.inline(images.base64_images(given))).select("n_nationkey", "index", F.decode("raw", "UTF-8").alias("text"), "error")
+
+
+def plain_pdf(texts):
+    """A PDF with a page for each text, as a column."""
+    body = lambda t: F.concat(F.lit("BT /F 12 Tf 72 720 Td ("), F.regexp_replace(t, r"([\\()])", r"\\$1"), F.lit(") Tj ET"))
+    page = lambda t, i: F.concat(
+        F.format_string("%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n", 3 + 2 * i, 4 + 2 * i),
+        F.format_string("%d 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n", 4 + 2 * i, F.length(body(t)), body(t)),
+    )
+    kids = F.array_join(F.transform(texts, lambda t, i: F.format_string("%d 0 R", 3 + 2 * i)), " ")
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count "), F.size(texts).cast("string"), F.lit(" /Kids ["), kids, F.lit("] >>\nendobj\n"))
+    return F.concat(head, F.array_join(F.transform(texts, page), ""), F.lit("trailer\n<< /Root 1 0 R >>\n%%EOF\n")).cast("binary")
+
+
+def pdf_files(spark, d):
+    """Made-up PDF files of the conversations, a page a turn, in plain letters."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: F.regexp_replace(x["text"], r"[^ -~]", " "))
+    return turns.select("conv_id", plain_pdf(texts).alias("raw"))
+
+
+def pdf_pages(spark, d):
+    pdf_text.register(spark)
+    pdf_files(spark, d).createOrReplaceTempView("docloom_pdf_files")
+    return spark.sql("SELECT f.conv_id, p.page_number, p.text FROM docloom_pdf_files f, LATERAL pdf_pages(f.raw) p")
+
+
+def every_kind(spark, d):
+    """Text, web, PDF and image sources in one table, converted by kind."""
+    null = F.lit(None).cast("string")
+    rows = [
+        md_conversations(spark, d).select(F.concat(F.lit("m"), "conv_id").alias("id"), F.lit("a.md").alias("name"), F.col("md").cast("binary").alias("body")),
+        table(spark, d, "pages").select(F.concat(F.lit("w"), "page_id").alias("id"), null.alias("name"), F.col("html").cast("binary").alias("body")),
+        pdf_files(spark, d).select(F.concat(F.lit("p"), "conv_id").alias("id"), F.when(F.col("conv_id") % 3 == 0, "b.pdf").alias("name"), F.when(F.col("conv_id") % 7 == 6, F.lit("%PDF-").cast("binary")).otherwise(F.col("raw")).alias("body")),
+        strip_images(spark, d).select(F.concat(F.lit("i"), "n_nationkey").alias("id"), null.alias("name"), F.when(F.col("n_nationkey") % 6 == 5, F.lit("").cast("binary")).otherwise(F.col("png")).alias("body")),
+    ]
+    sources = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    out = convert.convert(R.resolve(sources, "body", filename="name"), "id", recognize.strip_reader)
+    return out.select("id", "source_kind", "error", "metadata.page_count", F.col("diagnostics.pipeline_used").alias("pipeline_used"), F.col("diagnostics.text_quality_score").isNotNull().alias("scored"))
+
+
 QUERIES = {
     "doc_metadata": scalar_metadata,
     "pdf_text_fold": page_fold,
@@ -352,4 +417,9 @@ QUERIES = {
     "largest_image": largest,
     "reading_order": ordered,
     "db_boxes": detected,
+    "image_decode": image_sources,
+    "image_ocr": image_ocr,
+    "base64_images": base64_payloads,
+    "pdf_pages": pdf_pages,
+    "every_kind": every_kind,
 }
