@@ -58,13 +58,18 @@ class Vocabulary:
 
 
 def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PAD unknown words after each text, so that no filter covers two."""
+    """PAD unknown words after each text, so that no filter that begins in it covers the next one."""
     n = len(at) - 1
     out = np.zeros((len(ids) + PAD * n, ids.shape[1]), np.int64)
     out[np.arange(len(ids)) + np.repeat(PAD * np.arange(n), np.diff(at))] = ids
     return out, at + PAD * np.arange(n + 1)
 
 
+def pads(at: np.ndarray) -> np.ndarray:
+    """Places of the unknown words that ``padded`` put in; filters that begin there count for nothing."""
+    return (at[1:, None] - PAD + np.arange(PAD)).ravel()
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -92,6 +97,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, n_words: int, epochs: int =
         h, where = np.zeros((batch, len(WIDTHS) * FILTERS)), np.zeros((batch, len(WIDTHS) * FILTERS), np.int64)
         for n, w in enumerate(WIDTHS):
             r = sum(x[j : len(x) - PAD + j] @ model[f"conv{w}"][j] for j in range(w))
+            r[pads(at)] = 0
             for b in range(batch):
                 part = slice(n * FILTERS, (n + 1) * FILTERS)
                 where[b, part] = at[b] + r[at[b] : at[b + 1]].argmax(0)
@@ -127,7 +133,7 @@ class Scorer:
     def ids(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Scores of texts given as feature numbers by word, in blocks of BLOCK words."""
         ids, at = padded(ids, at)
-        top = np.zeros((len(at) - 1, len(self.out)), np.float32)
+        top, none = np.zeros((len(at) - 1, len(self.out)), np.float32), pads(at)
         ids = np.concatenate([ids, np.zeros((PAD, ids.shape[1]), np.int64)])
         for i in range(0, len(ids) - PAD, BLOCK):
             j = min(i + BLOCK, len(ids) - PAD)
@@ -137,6 +143,7 @@ class Scorer:
             r = x[: j - i] @ self.filters[0]
             for k in range(1, len(self.filters)):
                 r[:, k * FILTERS :] += x[k : j - i + k] @ self.filters[k]
+            r[none[np.searchsorted(none, i) : np.searchsorted(none, j)] - i] = 0
             first, last = np.searchsorted(at, i, "right") - 1, np.searchsorted(at, j, "left")
             best = np.maximum.reduceat(r, np.maximum(at[first:last], i) - i, axis=0)
             top[first:last] = np.maximum(top[first:last], best)

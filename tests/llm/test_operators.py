@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -642,3 +643,81 @@ def test_exact_links(spark, small, size, percent):
     want = {(x, y) for x, y in itertools.combinations(sorted(texts), 2) if sets[x] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
     docs = spark.read.parquet(f"{small[0]}/documents.parquet").dropDuplicates(["doc_id"])
     assert {tuple(r) for r in near_dup.exact_links(docs, size=size, percent=percent).collect()} == want
+
+
+def naive_language(model, text):
+    """The byte network as its formula says, one window, one position, one filter at a time."""
+    total = np.zeros(len(model["out0"]))
+    for at in range(0, len(text), byte_cnn.WINDOW):
+        piece = text[at : at + byte_cnn.WINDOW]
+        x = model["embed"][list(piece.ljust(byte_cnn.WINDOW, b"\0"))]
+        pooled = []
+        for w in byte_cnn.WIDTHS:
+            for f in range(byte_cnn.FILTERS):
+                r = [sum(x[i + j] @ model[f"conv{w}"][j][:, f] for j in range(w)) + model[f"conv{w}_0"][f] for i in range(byte_cnn.WINDOW - max(byte_cnn.WIDTHS) + 1)]
+                pooled.append(max(0.0, max(r)))
+        z = np.array(pooled) @ model["out"] + model["out0"]
+        e = np.exp(z - z.max())
+        total += e / e.sum() * len(piece)
+    return total / len(text)
+
+
+def test_language_scores_by_the_formula():
+    rng = np.random.default_rng(20)
+    model = {"embed": rng.normal(0, 0.5, (256, byte_cnn.EMBED)), "out": rng.normal(0, 1, (len(byte_cnn.WIDTHS) * byte_cnn.FILTERS, 3)), "out0": rng.normal(size=3)}
+    for w in byte_cnn.WIDTHS:
+        model[f"conv{w}"], model[f"conv{w}_0"] = rng.normal(size=(w, byte_cnn.EMBED, byte_cnn.FILTERS)), rng.normal(size=byte_cnn.FILTERS)
+    texts = [b"a", "Schöne Grüße aus dem Süden".encode(), b"x" * 300, bytes(rng.integers(0, 256, 700, dtype=np.uint8)), b"y" * 256]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = byte_cnn.Scorer(model).texts(offsets, np.frombuffer(b"".join(texts), np.uint8))
+    assert np.abs(got - [naive_language(model, t) for t in texts]).max() < 1e-3
+
+
+def test_toxicity_scores_by_the_formula():
+    rng = np.random.default_rng(21)
+    n_words = 50
+    model = {"embed": rng.normal(0, 0.5, (n_words + 1, word_cnn.EMBED)), "out": rng.normal(0, 0.5, len(word_cnn.WIDTHS) * word_cnn.FILTERS), "out0": rng.normal(size=1)}
+    model["embed"][0] = 0
+    for w in word_cnn.WIDTHS:
+        model[f"conv{w}"] = rng.normal(size=(w, word_cnn.EMBED, word_cnn.FILTERS))
+    texts = [rng.integers(0, n_words + 1, (n, 4)) for n in (0, 1, 2, 3, 40, 900)]
+    want = []
+    for ids in texts:
+        x = [model["embed"][row].sum(0) for row in ids] + [np.zeros(word_cnn.EMBED)] * max(word_cnn.WIDTHS)
+        pooled = []
+        for w in word_cnn.WIDTHS:
+            for f in range(word_cnn.FILTERS):
+                pooled.append(max([0.0] + [sum(x[i + j] @ model[f"conv{w}"][j][:, f] for j in range(w)) for i in range(len(ids))]))
+        want.append(1 / (1 + np.exp(-(np.array(pooled) @ model["out"] + model["out0"][0]))))
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    scorer = word_cnn.Scorer(np.arange(1, n_words + 1, dtype=np.uint64), model)
+    got = scorer.ids(np.concatenate(texts).astype(np.int64), at)
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_mixing_equals_least_squares(spark):
+    """Rates against a plain projected-gradient solution of the same least squares, and the query's totals against its targets."""
+    rng = np.random.default_rng(22)
+    p = rng.dirichlet([1.0, 0.5, 0.3], 300)
+    t = rng.integers(1, 60, 300).astype(float)
+    members = spark.createDataFrame([(int(i), int(t[i]), [float(v) for v in p[i]]) for i in range(300)], "doc_id bigint, n_tokens bigint, p array<double>").repartition(3)
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    steps, target = mixing.solve(members, list("abc"), weights, 3.0)
+    rate = steps.rates(p)[0]
+    assert steps.reached and np.abs((rate * t) @ p - target).max() <= 1e-3 * target.min() + 1e-3 * target.max()
+    assert (rate >= 0).all() and (rate <= 3).all()
+    # plain projected gradient on the same objective, with a small pull towards 1
+    x, mass, pull = np.ones(300), t @ p, 1e-6
+    for _ in range(20000):
+        gap = ((x * t) @ p - target) / mass
+        x = np.clip(x - 0.5 * (p @ gap + pull * (x - 1)), 0, 3)
+    assert np.abs((x * t) @ p - target).max() < 1e-2 * target.min()
+    assert abs((t * (rate - 1) ** 2).sum() - (t * (x - 1) ** 2).sum()) < 0.02 * (t * (x - 1) ** 2).sum()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_mixing_query_meets_its_targets(spark):
+    out = registered.queries()["op9_mixing"](spark, "/root/testdata/sf0.01").collect()
+    brought = {k: sum(r["rate"] * r["n_tokens"] * r[f"p_{k}"] for r in out) for k in mixing.WEIGHTS}
+    total = sum(brought.values())
+    assert all(abs(brought[k] / total - w) <= 0.01 * w for k, w in mixing.WEIGHTS.items())
