@@ -2,7 +2,7 @@
 
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Documents are packed, about ``CHUNK`` bytes together, in order of doc_id, and written once.
+1. Documents are packed, about ``CHUNK`` bytes together, and written once; in a chunk they are in order of doc_id.
 2. Rolling-hash triggers parse every chunk.  Each chunk sends its distinct trigger hashes, 40 bits of each, dealt by
    their leading bits; back comes a bit for each: seen in another document or not.  A trigger in a million documents is
    one entry a chunk.
@@ -11,8 +11,10 @@ A byte goes if a string of 50 bytes that covers it also starts in a document wit
    first document of each run of equals is found, and back comes a bit for each string: in an earlier document or not.
 4. Each chunk combines the bits with its parse, document by document, into removed runs.
 
-Equal strings have equal triggers at equal places, so no repeat is missed; strings are compared byte for byte, so none is
-invented.  Buckets hold bounded parts of the hash space whose number follows the corpus.
+Equal strings have equal triggers at equal places, so no repeat is missed.  Strings are compared by the 64-bit hash of their
+trigger's 20 bytes and byte for byte in the other 30, and a chunk's phrases of one trigger are told apart by a 64-bit hash of
+their bytes: a repeat is invented with a chance of about 2**-64 a pair.  Buckets hold bounded parts of the hash space; their
+number follows the corpus, that of the tasks they are dealt to ends at ``MOST_TASKS``.
 
 Null texts are empty; a null doc_id counts as larger than all others; rows that repeat a doc_id are one document to each
 other; texts under 50 bytes lose nothing; an empty table gives an empty table.
@@ -34,6 +36,7 @@ from .parsing import SPAN, Parse, around, earlier
 
 CHUNK, LAST = 2 << 20, np.iinfo(np.int64).max
 PER_BUCKET = 500_000  # triggers
+MOST_TASKS = 1 << 16
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -121,7 +124,7 @@ def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     chunks = materialize(packed(docs, key), "chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n_bits = max(0, int(np.ceil(np.log2(max(1, total / 16 / PER_BUCKET)))))
-    buckets = 1 << n_bits
+    tasks = min(1 << n_bits, MOST_TASKS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,7 @@ def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return pa.table({"chunk": [r["chunk"] for r in rows], "bucket": pa.array([r["bucket"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
 
     asked = chunks.mapInArrow(ask, "bucket bigint, chunk bigint, hashes binary, several binary")
-    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, bits binary")
+    answers = asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, bits binary")
     answers = materialize(answers, "seen")
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,7 +187,7 @@ def removed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return pa.table({"chunk": [x["chunk"] for x in rows], "bucket": pa.array([x["bucket"] for x in rows], pa.int64()), "masks": pa.array(masks, pa.binary())})
 
     told = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, "bucket bigint, chunk bigint, grams binary, lefts binary, rights binary, ranks binary, context binary")
-    compared = told.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare, "chunk bigint, bucket bigint, masks binary")
+    compared = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(compare, "chunk bigint, bucket bigint, masks binary")
     replies = answers.select("chunk", "bucket", "bits", F.lit(None).cast("binary").alias("masks")).unionByName(compared.select("chunk", "bucket", F.lit(None).cast("binary").alias("bits"), "masks"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
