@@ -1,4 +1,10 @@
-"""The corpus pipeline: STAGES over documents, each stage's rows written and read again before the next."""
+"""The corpus pipeline: STAGES over documents, each stage's rows written and read again before the next.
+
+language_id drops texts that are null, empty, without a letter or in no known language; near_dup leaves one document of each
+group and one row of each doc_id (rows without a doc_id all stay); secrets puts a mark in the place of each span; mixing
+takes documents at rates of at most one, so clean ones stay; byte_bpe gives token counts and digests instead of the text.
+Equal scores and repeated rows are treated alike; an empty table passes all stages; columns of any name are carried along,
+but for those that have the name of an output of the last stage."""
 
 from __future__ import annotations
 
