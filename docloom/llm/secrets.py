@@ -13,8 +13,11 @@ decoded and searched.  Null and empty texts have no spans; repeated rows get equ
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import keyword
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,7 +43,11 @@ IDENTIFIERS = """self request response config settings environ getenv os.environ
 final string integer boolean true false null none undefined example placeholder changeme default localhost username password_hash password_field token_type token_count
 access_token refresh_token csrf_token session_token secret_key secret_name api_key_name client_secret client_id authorization_header private_key_path public_key signature_version
 credential_provider bearer_token https://www.example.com/api/v1/auth/login /usr/local/lib/python /etc/ssl/certs application/json content-type x-api-key abcdefghijklmnopqrstuvwxyz
+site-packages dist-packages node_modules src/main/java/com/ resources templates static settings.py config.yml docker-compose.yaml requirements.txt https://docs. https://github.com/
+expiration_seconds default_value provider storage manager handler service repository controller middleware validator serializer permission required optional timeout
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1234567890123456 xxxxxxxxxxxxxxxx your_secret_here your-api-key-here insert_token_here"""
+#: Names of the language's own library, as it knows them: ordinary identifiers, without a list of ours.
+NAMES = " ".join(sorted({*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(dict), *dir(list)}))
 AROUND, LEAST_RATIO, LEVEL = 64, 0.45, 3
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
@@ -48,7 +55,7 @@ _WORDS = [w.encode() for w in SENSITIVE]
 
 
 class Novelty:
-    def __init__(self, primed: str = IDENTIFIERS):
+    def __init__(self, primed: str = NAMES + IDENTIFIERS):
         raw = zstandard.ZstdCompressionDict(primed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False)
 

@@ -721,3 +721,29 @@ def test_mixing_query_meets_its_targets(spark):
     brought = {k: sum(r["rate"] * r["n_tokens"] * r[f"p_{k}"] for r in out) for k in mixing.WEIGHTS}
     total = sum(brought.values())
     assert all(abs(brought[k] / total - w) <= 0.01 * w for k, w in mixing.WEIGHTS.items())
+
+
+def test_novelty_leaves_ordinary_code_alone():
+    novelty = secrets.Novelty()
+    ordinary = [
+        'self.access_token_expiration_seconds = config.get("access_token_expiration_seconds")',
+        "# the password is read from /usr/local/lib/python/site-packages/settings",
+        'authorization_header = "Authorization: Bearer " + access_token_provider.get_token()',
+        "private static final String signature_version_default = signature_version_default;",
+        "def refresh_session_token(self, session_token_storage): return session_token_storage",
+        "see https://www.example.com/api/v1/auth/login for the client_secret",
+        "token token token aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+        "secret: xxxxxxxxxxxxxxxxxxxxxxxx",
+        "nothing sensitive stands near qZ7hXk29LmPw83VbTnR4 in this line",
+    ]
+    for text in ordinary:
+        assert not [s for s in secrets.all_spans(text, secrets.base_spans(text), novelty) if s[2] == "novel"], text
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for k in range(60):
+        alphabet = letters if k % 3 == 0 else letters + "0123456789+/"
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 44)))
+        text = (f"Authorization: Bearer {secret}", f"private signing {secret}", f"{secret} # client secret", f"credential is {secret}, keep it")[k % 4]
+        found = secrets.all_spans(text, secrets.base_spans(text), novelty)
+        at = text.index(secret)
+        assert any(a <= at and at + len(secret) - 4 <= b for a, b, _ in found), text
