@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.plans.oracles_chunks import CHUNKS, EVENTS, paged
 from docloom.plans.oracles_more import MAP_BOXES, NORMALIZE, escalation, exposition, reading_order
 
 # Written out on their own, not taken from the code they check.
@@ -162,4 +163,7 @@ ORACLES = {
       UNION ALL SELECT 'w' || page_id, 'web', NULL, NULL, 'web', false FROM pages
       UNION ALL SELECT 'p' || conv_id, 'pdf', CASE WHEN conv_id % 7 = 6 THEN 'no document could be made of this pdf' END, CASE WHEN conv_id % 7 <> 6 THEN count(*) END, CASE WHEN conv_id % 7 <> 6 THEN 'pdf-fast' END, conv_id % 7 <> 6 FROM conversations GROUP BY conv_id
       UNION ALL SELECT 'i' || n_nationkey, CASE WHEN n_nationkey % 6 = 5 THEN 'plaintext' ELSE 'image' END, CASE WHEN n_nationkey % 6 = 5 THEN 'empty body' END, CASE WHEN n_nationkey % 6 <> 5 THEN 1 END, CASE WHEN n_nationkey % 6 <> 5 THEN 'image-ocr' END, false FROM nation""",
+    "chunks": CHUNKS,
+    "ndjson_events": EVENTS,
+    "pdf_documents": paged(PAGES, fold),
 }
