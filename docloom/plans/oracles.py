@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.plans.oracles_chunks import CHUNKS, EVENTS, paged
-from docloom.plans.oracles_more import MAP_BOXES, NORMALIZE, escalation, exposition, reading_order
+from docloom.plans.oracles_chunks import CHUNKS, DOCUMENTS, EVENTS, paged
+from docloom.plans.oracles_more import MAP_BOXES, NORMALIZE, embedded_only, escalation, exposition, page_ocr, reading_order
 
 # Written out on their own, not taken from the code they check.
 ROUTES = ["/health", "/metrics", "/v1/formats", "/v1/extract/url", "/v1/extract/bytes", "/v1/ocr", "unmatched"]
@@ -166,4 +166,7 @@ ORACLES = {
     "chunks": CHUNKS,
     "ndjson_events": EVENTS,
     "pdf_documents": paged(PAGES, fold),
+    "document_json": DOCUMENTS,
+    "page_ocr_documents": page_ocr(PAGES),
+    "embedded_image_ocr": embedded_only(PAGES, fold),
 }

@@ -49,8 +49,6 @@ TEXTS = f"SELECT -1 - doc_id AS key, 0 AS sec, NULL AS heading, {as_bytes(TRIMME
 
 CHUNKS = f"WITH RECURSIVE {chunks(f'{TURNS} UNION ALL {TEXTS}')} SELECT key AS conv_id, * EXCLUDE (key) FROM chunk"
 
-# The Markdown of a conversation as normalization leaves it: a blank line around each heading.
-CONVERSATION = f"md AS (SELECT conv_id AS key, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS m FROM conversations GROUP BY conv_id), norm AS (SELECT key, replace(m, chr(10) || chr(10) || '## ', chr(10) || chr(10) || '## ') AS m FROM md)"
 FLAGS = '"ocr_used":false,"render_used":false,"fallback_used":false,"fallback_reason":null,"text_quality_score":null'
 
 EVENTS = f"""WITH RECURSIVE {chunks(TURNS)}, k AS (SELECT DISTINCT conv_id AS key FROM conversations), n AS (SELECT k.key, count(chunk.key) AS n FROM k LEFT JOIN chunk USING (key) GROUP BY k.key)
@@ -59,6 +57,16 @@ UNION ALL SELECT key, ordinal, '{{"event":"chunk","id":"' || id || '","text":' |
 UNION ALL SELECT key, n + 1, '{{"event":"done","chunks_total":' || n || ',"latency_ms":0,"pipeline_used":"markdown",{FLAGS}}}' FROM n"""
 
 
+# The Markdown of a conversation as normalization leaves it: a heading's own blank line, and the one that was there.
+WORDS = f"len(list_filter(regexp_split_to_array({TRIMMED}, '{WS}+'), lambda x: x <> ''))"
+DOCUMENTS = f"""WITH RECURSIVE {chunks(TURNS)},
+md AS (SELECT conv_id AS key, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || repeat(chr(10), 3) || {TRIMMED}, chr(10) || chr(10) ORDER BY turn) || chr(10) AS m,
+  3 + sum(3 + {WORDS})::BIGINT AS words FROM conversations GROUP BY conv_id),
+c AS (SELECT key, string_agg('{{"id":"' || id || '","text":' || to_json(text) || ',"section":' || to_json(section) || ',"page_start":null,"page_end":null,"char_count":' || char_count || ',"token_estimate":' || token_estimate || '}}', ',' ORDER BY ordinal) AS c FROM chunk GROUP BY key)
+SELECT key AS conv_id, '{{"title":"Conversation ' || key || '","canonical_url":null,"markdown":' || to_json(m) || ',"chunks":[' || coalesce(c, '') || '],"metadata":{{"page_count":null,"word_count":' || words || ',"char_count":' || strlen(m)
+  || '}},"diagnostics":{{"pipeline_used":"markdown","ocr_used":false,"render_used":false,"fallback_used":false,"latency_ms":0}},"image_manifest":null}}' AS json FROM md LEFT JOIN c USING (key)"""
+
+
 def paged(pages: str, fold) -> str:
     """Documents of page lists by the fast path: pages rendered after their markers, in one section without a heading."""
     trim = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"

@@ -89,6 +89,26 @@ SELECT doc_id, u AS pipeline_used, u IN ('pdf-pdfium-ocr', 'pdf-embedded-image-o
   md5(CASE u WHEN 'pdf-fast' THEN md WHEN 'pdf-pdfium' THEN rmd WHEN 'pdf-pdfium-ocr' THEN xmd ELSE emd END) AS rendered_md5 FROM o"""
 
 
+READ = "read AS (SELECT doc_id, page_number, CASE WHEN item_id % 6 = 5 THEN '' ELSE benchmark.text END AS text FROM pg JOIN benchmark ON item_id + 1 = page_number)"
+
+
+def page_ocr(pages: str) -> str:
+    """Recognized pages alone: their quality, and the image of the first."""
+    recognized = "SELECT * FROM read WHERE doc_id % 5 <> 0"
+    return f"""WITH {pages}, {READ}, {judged("q", recognized, lambda c: c)}, i AS (SELECT doc_id, max(page_number) AS page_count, min(page_number) AS p FROM ({recognized}) GROUP BY doc_id)
+SELECT doc_id, page_count, score, 'rendered page image for page ' || p || ' (' || 10 * p || 'x' || 20 * p || ')' AS first_image FROM q JOIN i USING (doc_id)"""
+
+
+def embedded_only(pages: str, fold) -> str:
+    """The driver without rich text: embedded images repair, or the fast text stays."""
+    mixed = f"SELECT doc_id, page_number, CASE WHEN doc_id % 2 = 0 AND page_number % 3 = 0 AND read.text IS NOT NULL THEN read.text ELSE {fold('bad.text')} END AS text FROM bad LEFT JOIN read USING (doc_id, page_number)"
+    return f"""WITH {pages}, {READ}, {judged("fast", "SELECT * FROM bad", fold)}, {judged("mixed", mixed, lambda c: c)}, e AS (SELECT doc_id, count(*) AS n FROM read WHERE doc_id % 2 = 0 AND page_number % 3 = 0 GROUP BY doc_id),
+a AS (SELECT f.*, m.score AS ms, m.md AS mmd, e.n, f.score < 0.5 OR f.middle < 50 OR f.empty > 0.3 OR f.bad > 0.05 OR f.none AS needs FROM fast f JOIN mixed m USING (doc_id) LEFT JOIN e USING (doc_id)),
+b AS (SELECT *, needs AND n IS NOT NULL AND ms + 0.01 >= score AS repaired FROM a)
+SELECT doc_id, CASE WHEN repaired THEN 'pdf-embedded-image-ocr' ELSE 'pdf-fast' END AS pipeline_used, CASE WHEN repaired THEN ms ELSE score END AS score, CASE WHEN repaired THEN n END AS images,
+  CASE WHEN repaired THEN 'embedded-image OCR repaired ' || n || '/' || pages || ' page(s)' WHEN needs THEN 'embedded-image OCR could not improve the document' END AS outcome, md5(CASE WHEN repaired THEN mmd ELSE md END) AS rendered_md5 FROM b"""
+
+
 def banded(name: str, source: str) -> str:
     """A recursive CTE: boxes (image, n, y, height) one by one in order n, each with its band."""
     joins = f"abs(s.y + s.height / 2 - {name}.centre) <= greatest(greatest({name}.tall, s.height) * 0.6, 12) OR coalesce(greatest(least(s.y + s.height, {name}.bottom) - greatest(s.y, {name}.top), 0) / nullif(least(s.height, {name}.bottom - {name}.top), 0), 0) >= 0.35"

@@ -195,9 +195,9 @@ def escalated(spark, d):
 
 def embedded_only(spark, d):
     """The driver without rich text: embedded images are the only repair."""
-    out = pdf.pdf_documents(doc_pages(spark, d, bad=True), "doc_id", embedded=page_engines(spark, d)["embedded"], rich_reason="none here")
-    how = F.col("diagnostics")
-    return out.select("doc_id", "title", "metadata.page_count", how["pipeline_used"].alias("pipeline_used"), how["fallback_reason"].alias("fallback_reason"), F.size("chunks").alias("chunks"))
+    out = pdf.decide(doc_pages(spark, d, bad=True), "doc_id", embedded=page_engines(spark, d)["embedded"], rich_reason="none here")
+    outcome = F.nullif(F.substring_index("fallback_reason", "none here; ", -1), F.lit(""))
+    return out.select("doc_id", "pipeline_used", F.col("text_quality_score").alias("score"), F.size("image_manifest").alias("images"), outcome.alias("outcome"), F.md5(pages.rendered_list(F.col("pages")).cast("binary")).alias("rendered_md5"))
 
 
 def page_ocr(spark, d):
