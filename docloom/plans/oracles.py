@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans.oracles_chunks import CHUNKS, DOCUMENTS, EVENTS, paged
+from docloom.plans.oracles_chunks import CACHE_HITS, CHUNKS, DOCUMENTS, EVENTS, paged
 from docloom.plans.oracles_more import MAP_BOXES, NORMALIZE, embedded_only, escalation, exposition, page_ocr, reading_order
 
 # Written out on their own, not taken from the code they check.
@@ -169,4 +169,7 @@ ORACLES = {
     "document_json": DOCUMENTS,
     "page_ocr_documents": page_ocr(PAGES),
     "embedded_image_ocr": embedded_only(PAGES, fold),
+    "health": "SELECT 'ok' AS status, true AS ready",
+    "cache_hits": CACHE_HITS.replace("LOG", LOG),
+    "selected_pages": f"WITH {PAGES} SELECT doc_id, count(*) AS pages, sum(page_number)::BIGINT AS numbers FROM pg WHERE doc_id % 3 <> 0 OR page_number % 2 = 1 GROUP BY doc_id",
 }

@@ -67,6 +67,13 @@ SELECT key AS conv_id, '{{"title":"Conversation ' || key || '","canonical_url":n
   || '}},"diagnostics":{{"pipeline_used":"markdown","ocr_used":false,"render_used":false,"fallback_used":false,"latency_ms":0}},"image_manifest":null}}' AS json FROM md LEFT JOIN c USING (key)"""
 
 
+# An entry's bytes: its key, its Markdown, and its chunks' texts, ids and sections.
+CACHE_HITS = f"""WITH RECURSIVE LOG, {chunks(TURNS)},
+c AS (SELECT key, sum(strlen(text) + strlen(id) + strlen(section)) AS n FROM chunk GROUP BY key),
+m AS (SELECT conv_id AS key, strlen('# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS n FROM conversations GROUP BY conv_id)
+SELECT user_id, count(*) AS hits, max(strlen(user_id::VARCHAR) + m.n + coalesce(c.n, 0))::BIGINT AS bytes FROM log JOIN m ON m.key = user_id LEFT JOIN c ON c.key = user_id WHERE status = 200 GROUP BY user_id"""
+
+
 def paged(pages: str, fold) -> str:
     """Documents of page lists by the fast path: pages rendered after their markers, in one section without a heading."""
     trim = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"

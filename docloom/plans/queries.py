@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import cache, metrics, ocr, pages, quality, recognize
 from docloom.operators.chunk import chunk_rows, numbered_rows, sections, split_sentences
+from docloom.operators.chunk import chunks as numbered_array
 from docloom.operators.normalize import normalize_markdown
 from docloom.operators.web import html_title, html_to_markdown
 from docloom.plans import convert, pdf, pipelines
@@ -262,6 +263,21 @@ def cache_misses(spark, d):
     return cache.misses(log.where("hit").select("user_id"), log.where("status = 500").select("user_id").distinct(), "user_id")
 
 
+def cache_hits(spark, d):
+    """Requests answered from results, and the entries' sizes."""
+    results = md_conversations(spark, d).select(F.col("conv_id").alias("user_id"), "md", numbered_array(F.col("md")).alias("chunks"))
+    size = cache.entry_size(F.col("user_id").cast("string"), [F.col("md"), F.lit(None).cast("string")], F.col("chunks"))
+    found = cache.hits(request_log(spark, d).where("status = 200"), results, "user_id")
+    return found.groupBy("user_id").agg(F.count("*").alias("hits"), F.max(size).cast("bigint").alias("bytes"))
+
+
+def selected(spark, d):
+    """Chosen pages of every third document, all pages of the others."""
+    all_ = doc_pages(spark, d)
+    chosen = all_.where("doc_id % 3 = 0 AND page_number % 2 = 1").select("doc_id", "page_number")
+    return pages.select_pages(all_, chosen, "doc_id").groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("page_number").alias("numbers"))
+
+
 def decoded(spark, d):
     out = ocr.ctc_decode(score_rows(spark, d), "label", "vec_id", "scores", TOKENS)
     return out.select("label", "text", "tokens", F.round("confidence", 6).alias("confidence"))
@@ -400,6 +416,7 @@ QUERIES = {
     "ndjson_tally": event_tally,
     "document_json": json_documents,
     "formats": lambda spark, d: pipelines.formats(spark).withColumn("mime_types", F.array_join("mime_types", ",")),
+    "health": lambda spark, d: pipelines.health(spark).select("status", (F.col("tasks") > 0).alias("ready")),
     "request_counts": lambda spark, d: metrics.request_counts(request_log(spark, d)),
     "latency_histogram": lambda spark, d: metrics.latency_histogram(request_log(spark, d)),
     "latency_totals": lambda spark, d: metrics.latency_totals(request_log(spark, d)),
@@ -409,6 +426,8 @@ QUERIES = {
     "exposition": lambda spark, d: metrics.exposition(request_log(spark, d)),
     "lru_keep": kept_entries,
     "cache_miss": cache_misses,
+    "cache_hits": cache_hits,
+    "selected_pages": selected,
     "ctc_decode": decoded,
     "softmax_rows": probabilities,
     "batch_slices": slices,

@@ -89,3 +89,54 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["route"], r["requests"], r["le_50"]) for r in spark.sql("select * from me").collect()) == [("/health", 2, 1), ("/v1/ocr", 1, 0)]
+
+
+def test_fetched_sources(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from docloom.sources import fetch
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            body, kind, name = {"/a": (b"# T", "text/markdown; charset=utf-8", None), "/b": (b"%PDF-1.4", "application/octet-stream", 'attachment; filename="x.bin"'), "/empty": (b"", "text/plain", None), "/d.html": (b"<p>x", None, None)}.get(self.path, (None, None, None))
+            self.send_response(404 if body is None else 200)
+            for k, v in (("Content-Type", kind), ("Content-Disposition", name)):
+                if v:
+                    self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        rows = spark.createDataFrame([(i, u) for i, u in enumerate([f"{base}/a", f"{base}/b", f"{base}/empty", f"{base}/d.html", f"{base}/none", "ftp://x/y", None])], "id int, u string")
+        got = fetch.resolve_urls(rows, "u", timeout=5.0).orderBy("id").collect()
+        assert [r["source_kind"] for r in got[:4]] == ["markdown", "pdf", "plaintext", "web"]
+        assert (got[1]["resolved_filename"], got[3]["resolved_filename"], got[2]["error"], got[0]["error"]) == ("x.bin", "d.html", "empty body", None)
+        assert all(r["error"].startswith("fetch failed: ") for r in got[4:])
+        assert bytes(got[0]["raw_bytes"]) == b"# T" and fetch.get(f"{base}/a", 5.0, 2)[3].endswith("more than 2 bytes")
+    finally:
+        server.shutdown()
+
+
+def test_small_things(spark, tmp_path):
+    from docloom.functions import text as T
+    from docloom.operators import cache, metrics, pages
+    from docloom.plans.plugins import dictionary
+
+    assert values(spark, ["/health", "/v1/ocr", "/nope", None], "string", metrics.route_label) == ["/health", "/v1/ocr", "unmatched", "unmatched"]
+    assert values(spark, [b"ok", b"\xff\xfe", b"a\xc3", "é".encode()], "binary", T.decode_lossy) == ["ok", "��", "a�", "é"]
+    one = spark.createDataFrame([("k", "é", None, [("t", "c01", None), ("é", "c02", "s")], 3, 4.0, 4.05)], "k string, a string, b string, c array<struct<text:string,id:string,section:string>>, n int, x double, y double")
+    size = cache.entry_size(F.col("k"), [F.col("a"), F.col("b")], F.col("c"))
+    same = pages.same_dimensions(F.col("x"), F.col("x"), F.col("y"), F.col("x"))
+    none = pages.same_dimensions(F.col("x"), F.col("x"), F.lit(None).cast("double"), F.col("x"))
+    far = pages.same_dimensions(F.col("x"), F.col("x"), F.col("y") + 0.1, F.col("x"))
+    alt = pages.image_manifest("rendered page image", F.col("n"), F.lit(10), F.lit(20))["alt"]
+    assert tuple(one.select(size, same, none, far, alt).first()) == (1 + 2 + 4 + 6, True, False, False, "rendered page image for page 3 (10x20)")
+    (tmp_path / "d.txt").write_text("a\nb\n")
+    assert dictionary(spark, str(tmp_path / "d.txt")) == ["", "a", "b"]
