@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, restored, sample_order, shielded, slices, table, utf8
+from .common import discard, held_out, materialize, restored, sample_order, shielded, slices, table, tidy, utf8
 from .superminhash import _INSIDE
 from .words import runs
 
@@ -99,9 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, longest: in
     return names, w, bias + np.log([counts[k] / sum(counts.values()) for k in names])
 
 
-def posteriors(docs: DataFrame, w: np.ndarray, bias: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with n_tokens (words) and p, an array by domain."""
-    if taken := {"n_tokens", "p"} & set(keep):
+def posteriors(docs: DataFrame, w: np.ndarray, bias: np.ndarray, keep: list[str], steps: Steps | None = None) -> DataFrame:
+    """Columns ``keep`` with n_tokens (words) and p, an array by domain; with ``steps`` the rate, too, in the same pass."""
+    if taken := {"n_tokens", "p", "rate"} & set(keep):
         raise ValueError(f"columns already there: {sorted(taken)}")
     w = w.astype(np.float32)
     kept = docs.select(*keep, F.col("text").alias("__text"))
@@ -124,9 +124,12 @@ def posteriors(docs: DataFrame, w: np.ndarray, bias: np.ndarray, keep: list[str]
                 starts, _ = runs(_INSIDE[part], at)
                 tokens = np.diff(np.searchsorted(starts, at))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(keep))], pa.array(tokens), lists], names=[*keep, "n_tokens", "p"])
+                rate = [pa.array(steps.rates(p)[0])] if steps else []
+                columns = [*[batch.column(c).slice(i, j - i) for c in range(len(keep))], pa.array(tokens), lists, *rate]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "p", *["rate"] * len(rate)])
 
-    return kept.mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["n_tokens bigint", "p array<double>"]))
+    fields = [f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["n_tokens bigint", "p array<double>"] + ["rate double"] * bool(steps)
+    return kept.mapInArrow(tidy(apply), ", ".join(fields))
 
 
 class Steps:
@@ -250,9 +253,9 @@ def stage(spark, docs, sf_dir):
     """Documents as often as their rates say, none more than once; the columns of documents."""
     names, w, bias = train(docs, domains_of(table(spark, sf_dir, "labels")))
     rows, own = shielded(docs)
-    weighed = posteriors(rows, w, bias, own)
     members = materialize(posteriors(docs, w, bias, ["doc_id"]), "members")
     steps, _ = solve(members, names, WEIGHTS, 1.0)
+    discard(members)
     doc_id = F.col(own[docs.columns.index("doc_id")])
-    out = rated(weighed, steps).withColumn("copies", copies(F.col("rate"), doc_id)).where("copies > 0")
+    out = posteriors(rows, w, bias, own, steps).withColumn("copies", copies(F.col("rate"), doc_id)).where("copies > 0")
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*restored(docs, own))
