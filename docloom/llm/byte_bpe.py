@@ -38,15 +38,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import release, shared_dir, table, tidy, utf8
 
 LONGEST = 256
 BUCKETS = 1 << 16
-CHUNK = 32 << 20
+CHUNK, HELD = 32 << 20, 4 << 20
 #: Bits of a unit's place in its chunk; a chunk of CHUNK bytes, or of one longer text, has fewer units than 2**PLACES.
 PLACES = 26
 #: Texts of more characters are cut a block of words at a time.
@@ -168,56 +169,74 @@ def parts(word: bytes, ranks: dict[bytes, int], longest: int) -> list[bytes]:
 
 
 class Cutter:
-    """Cuts texts into units and numbers them: those of ``known`` by place, then a chunk's own by appearance."""
+    """Cuts texts into units and numbers them: those of ``known`` by place, then a chunk's own by appearance.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: list[bytes]):
+    What a chunk adds is one entry a distinct word; words are kept as they come out of the text."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: Iterable[bytes]):
         import regex
 
         self.find = regex.compile(pattern)
-        self.ranks, self.longest, self.first = ranks, max(map(len, ranks)), len(known)
-        self.place = {unit: i for i, unit in enumerate(known)}
-        by_word = {}
-        for unit, i in self.place.items():
+        self.ranks, self.longest, self.first = ranks, max(map(len, ranks)), 0
+        self.known: dict[str, int] = {}
+        self.odd: dict[bytes, int] = {}  # pieces that are no text on their own
+        for unit in known:
             try:
-                by_word[unit.decode()] = i
+                self.known[unit.decode()] = self.first
             except UnicodeDecodeError:
-                pass  # no text holds it as a word
+                self.odd[unit] = self.first
+            self.first += 1
         outer = self
 
         class Codes(dict):
             def __missing__(self, word: str) -> int:
-                """A new word's code; of a long one, -1 less its place among the chunk's lists of parts."""
-                raw = word.encode()
-                if len(raw) <= outer.longest:
-                    self[word] = code = outer._unit(raw)
-                else:
-                    outer.lists.append(np.array(outer._long(raw), np.int64))
-                    self[word] = code = -len(outer.lists)
+                """A word's code; of a long one, -1 less its place among the chunk's lists of parts."""
+                code = outer.known.get(word)
+                if code is None:
+                    code = outer._new(word) if len(word) * 4 <= outer.longest or len(word.encode()) <= outer.longest else outer._long(word.encode())
+                self[word] = code
                 return code
 
-        self._fresh = lambda: Codes(by_word)
+        self._fresh = Codes
         self.start()
 
     def start(self) -> None:
         """A new chunk."""
-        self.units, self.of_unit, self.lists, self.codes = [], {}, [], self._fresh()
-
-    def _unit(self, raw: bytes) -> int:
-        if (code := self.place.get(raw)) is not None:
+        self.own: list[str | bytes] = []
+        self.parts: dict[bytes, int] = {}
+        self.lists: list[np.ndarray] = []
+        self.codes = self._fresh()
+
+    def units(self) -> list[bytes]:
+        """The chunk's own units, in the order of their codes."""
+        return [u.encode() if isinstance(u, str) else u for u in self.own]
+
+    def _new(self, unit: str | bytes) -> int:
+        self.own.append(unit)
+        return self.first + len(self.own) - 1
+
+    def _part(self, raw: bytes) -> int:
+        """The code of a part of a long word."""
+        if (code := self.odd.get(raw)) is not None:
             return code
-        if raw not in self.of_unit:
-            self.of_unit[raw] = self.first + len(self.units)
-            self.units.append(raw)
-        return self.of_unit[raw]
+        if len(raw) <= self.longest:
+            try:
+                return self.codes[raw.decode()]
+            except UnicodeDecodeError:
+                pass
+        if raw not in self.parts:
+            self.parts[raw] = self._new(raw)
+        return self.parts[raw]
 
-    def _long(self, raw: bytes) -> list[int]:
+    def _long(self, raw: bytes) -> int:
         out = []
         for part in parts(raw, self.ranks, self.longest):
             if part in self.ranks or len(part) > LONGEST:
-                out += [self.place[p] for p in heap_pieces(part, self.ranks)]
+                out += [self._part(p) for p in heap_pieces(part, self.ranks)]
             else:
-                out.append(self._unit(part))
-        return out
+                out.append(self._part(part))
+        self.lists.append(np.array(out, np.int64))
+        return -len(self.lists)
 
     def words(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK:
@@ -272,23 +291,34 @@ class Tokenizer:
         n, ranks, pattern = texts.count(), self.ranks, self.pattern
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cutter = Cutter(ranks, pattern, list(ranks))
-            named = list(ranks)
+            cutter, named = Cutter(ranks, pattern, ranks), list(ranks)
             for batch in batches:
-                cutter.start()
-                counts: Counter[int] = Counter()
-                for text in batch.column(0):
-                    codes, times = np.unique(cutter.cut(text.as_py()), return_counts=True)
-                    counts.update(dict(zip(codes.tolist(), times.tolist(), strict=True)))
-                units = [named[c] if c < cutter.first else cutter.units[c - cutter.first] for c in counts]
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(counts.values(), pa.int64())], names=["unit", "times"])
-
-        sample = texts.sample(min(1.0, documents / max(n, 1)), seed=1).mapInArrow(apply, "unit binary, times bigint")
+                for i in range(0, batch.num_rows, 512):
+                    cutter.start()
+                    counts: Counter[int] = Counter()
+                    for text in batch.column(0).slice(i, 512):
+                        codes, times = np.unique(cutter.cut(text.as_py()), return_counts=True)
+                        counts.update(dict(zip(codes.tolist(), times.tolist(), strict=True)))
+                    units = named + cutter.units()
+                    yield pa.RecordBatch.from_arrays([pa.array([units[c] for c in counts], pa.binary()), pa.array(counts.values(), pa.int64())], names=["unit", "times"])
+
+        sample = texts.sample(min(1.0, documents / max(n, 1)), seed=1).mapInArrow(tidy(apply), "unit binary, times bigint")
         top = sample.groupBy("unit").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "unit").limit(hot)
-        found = self.unit_ids(top.repartition(min(64, 1 + hot // 4000)), "unit").toArrow().sort_by([("times", "descending"), ("unit", "ascending")]).combine_chunks()
-        units, ids = found["unit"].combine_chunks(), found["ids"].combine_chunks()
-        rest = sorted(set(ranks) - set(units.to_pylist()), key=ranks.get)
-        return pa.concat_arrays([units.cast(pa.binary()), pa.array(rest, pa.binary())]), pa.concat_arrays([ids.cast(pa.list_(pa.int32())), pa.array([[ranks[p]] for p in rest], pa.list_(pa.int32()))])
+        found = self.unit_ids(top.repartition(min(64, 1 + hot // 4000)), "unit").toArrow().sort_by([("times", "descending"), ("unit", "ascending")])
+        units, ids = (found[c].cast(t).combine_chunks() for c, t in (("unit", pa.binary()), ("ids", pa.list_(pa.int32()))))
+        pieces, own = pa.array(ranks, pa.binary()), pa.array(([r] for r in ranks.values()), pa.list_(pa.int32()))
+        rest = pc.invert(pc.is_in(pieces, units))
+        return pa.concat_arrays([units, pieces.filter(rest)]), pa.concat_arrays([ids, own.filter(rest)])
+
+
+def _runs(lengths: np.ndarray) -> np.ndarray:
+    """Where runs of these lengths begin, with the end."""
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _cut(raw: bytes, at: np.ndarray) -> list[bytes]:
+    at = at.tolist()
+    return [raw[a:z] for a, z in zip(at, at[1:])]
 
 
 class Vocabulary:
@@ -297,14 +327,20 @@ class Vocabulary:
     held: dict[str, Vocabulary] = {}
 
     def __init__(self, ranks: dict[bytes, int], ids: pa.Array):
-        self.pieces = {r: p for p, r in ranks.items()}
-        at, flat = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist(), ids.flatten().to_numpy().astype("<u4")
-        raw, flat = flat.tobytes(), flat.tolist()
-        self.ids = [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
-        self.texts = [self.decoded(flat[a:b]) for a, b in zip(at, at[1:])]
-
-    def decoded(self, ids: list[int]) -> bytes:
-        return b"".join([self.pieces[i] for i in ids])
+        by_rank = sorted(ranks, key=ranks.get)
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        size[[ranks[p] for p in by_rank]] = [len(p) for p in by_rank]
+        self.begin, self.raw = _runs(size), np.frombuffer(b"".join(by_rank), np.uint8)
+        flat = ids.flatten().to_numpy().astype("<u4")
+        at = _runs(ids.value_lengths().to_numpy())
+        self.ids, self.texts = _cut(flat.tobytes(), 4 * at), self.decoded(flat, at)
+
+    def decoded(self, flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The binary pieces of runs of ids, concatenated run by run."""
+        size = self.begin[flat + 1] - self.begin[flat]
+        ends = _runs(size)
+        place = np.arange(ends[-1]) + np.repeat(self.begin[flat] - ends[:-1], size)
+        return _cut(self.raw[place].tobytes(), ends[at])
 
     @classmethod
     def of(cls, name: str, ranks: dict[bytes, int], ids: pa.Array) -> Vocabulary:
@@ -328,35 +364,37 @@ OUTPUTS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "stri
 PLANES = ("b0", "b1", "b2", "b3")
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iterable[str], sample: int = 12000, hot: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iterable[str], sample: int = 12000, hot: int = 3 << 16) -> DataFrame:
     """Columns ``keep`` with ``outputs`` (of OUTPUTS) of each whole text."""
     outputs = list(outputs)
     if taken := {c.lower() for c in keep} & set(outputs):
         raise ValueError(f"columns already there: {sorted(taken)}")
     ranks, pattern, name = tokenizer.ranks, tokenizer.pattern, uuid.uuid4().hex
+    release(tokenizer.spark)  # what fits and plans of earlier stages left
     shared = tokenizer.spark.sparkContext.broadcast((ranks, *tokenizer.known_units(docs.select("text"), sample, hot)))
+    release(tokenizer.spark)
     names = [f"__c{i}" for i in range(len(keep))]
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("__text"))
     kept = given.drop("__text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known, _ = shared.value
-        cutter = Cutter(ranks, pattern, known.to_pylist())
+        cutter = Cutter(ranks, pattern, (u.as_py() for u in known))
         number = TaskContext.get().partitionId() << 18
         size, columns = 0, [*names, "chunk", *PLANES, "units"]
         types: list[pa.DataType] = []
 
         def units() -> pa.RecordBatch:
             empty = [pa.nulls(1, pa.binary())] * len(PLANES)
-            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), *empty, pa.array([cutter.units], pa.list_(pa.binary()))]
+            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), *empty, pa.array([cutter.units()], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(out, names=columns)
 
         for batch in batches:
             types = [batch.column(k).type for k in range(len(names))]
             texts, i = batch.column(len(names)), 0
             while i < batch.num_rows:
-                planes, begin = [], i
-                while i < batch.num_rows and size < CHUNK:
+                planes, begin, most = [], i, min(CHUNK, size + HELD)
+                while i < batch.num_rows and size < most:
                     codes = cutter.cut(texts[i].as_py())
                     planes.append([p.tobytes() for p in codes.view(np.uint8).reshape(-1, 4).T])
                     size += 5 * len(codes) + 1  # about the text's bytes
@@ -371,7 +409,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
             yield units()
 
     fields = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [""])
-    chunks = _table_of(given.mapInArrow(cut, fields + "chunk bigint, " + "".join(f"{p} binary, " for p in PLANES) + "units array<binary>"), "bpe", "chunk")
+    chunks = _table_of(given.mapInArrow(tidy(cut), fields + "chunk bigint, " + "".join(f"{p} binary, " for p in PLANES) + "units array<binary>"), "bpe", "chunk")
     # one number for a unit's chunk and its place there; ids in as few bytes as the vocabulary needs
     wide = 2 if max(ranks.values()) < 1 << 16 else 4
     entries = chunks.where("units IS NOT NULL").select(F.shiftleft("chunk", PLACES).alias("at"), F.posexplode("units").alias("place", "unit"))
@@ -383,11 +421,10 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         ranks, _, known = shared.value
         vocabulary = Vocabulary.of(name, ranks, known)
-        own = [None] * right.num_rows
-        for place, ids in zip(right["place"].to_pylist(), right["ids"].to_pylist(), strict=True):
-            own[place] = np.frombuffer(ids, f">u{wide}").astype("<u4")
-        out_ids = vocabulary.ids + [ids.tobytes() for ids in own]
-        out_text = vocabulary.texts + [vocabulary.decoded(ids.tolist()) for ids in own]
+        right = right.sort_by("place").combine_chunks()
+        size, raw = utf8(right["ids"])
+        flat, at = raw.view(f">u{wide}").astype("<u4"), size // wide
+        out_ids, out_text = vocabulary.ids + _cut(flat.tobytes(), 4 * at), vocabulary.texts + vocabulary.decoded(flat, at)
         got: dict[str, list] = {k: [] for k in outputs}
         for planes in zip(*(left[p] for p in PLANES), strict=True):
             codes = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in planes], 1).view("<u4").ravel().tolist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, restored, sample_order, shielded, slices, table, utf8
+from .common import held_out, restored, sample_order, shielded, slices, table, tidy, utf8
 
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 16
 TILE = 16  # windows at a time, so that their responses stay in cache
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray], ke
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([f"`{n}` {t}" for n, t in kept.drop("__text").dtypes] + ["lang_pred string", "score double"])
-    return kept.mapInArrow(apply, schema)
+    return kept.mapInArrow(tidy(apply), schema)
 
 
 def query(spark, sf_dir):

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, restored, shielded, slices, table, utf8
+from .common import discard, materialize, restored, shielded, slices, table, tidy, utf8
 from .components import connected_components, more_connected
 from .superminhash import bands, set_hashes, shingles, signatures
 from .words import mix
@@ -64,7 +64,7 @@ def signed(docs: DataFrame, key: str, size: int, percent: int) -> DataFrame:
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array([x.tobytes() for x in low], pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "h1", "h2", "sig", "bands"])
 
-    return docs.select(key, "text").mapInArrow(apply, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    return docs.select(key, "text").mapInArrow(tidy(apply), f"`{key}` {dict(docs.dtypes)[key]}, n_shingles bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -81,7 +81,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), h1, h2, *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (each, brief))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "h1", "h2", "elements", "brief"])
 
-    return docs.select("doc", "text").mapInArrow(apply, "doc bigint, n_shingles bigint, h1 bigint, h2 bigint, elements binary, brief binary")
+    return docs.select("doc", "text").mapInArrow(tidy(apply), "doc bigint, n_shingles bigint, h1 bigint, h2 bigint, elements binary, brief binary")
 
 
 def longer_bands(members: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     x = members.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     y = members.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     joined = pairs.join(x, "a").select("a", "b", "x").join(y, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(apply, "a bigint, b bigint")
+    return joined.mapInArrow(tidy(apply), "a bigint, b bigint")
 
 
 def blocks(buckets: DataFrame, with_common: bool) -> DataFrame:
