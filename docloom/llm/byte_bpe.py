@@ -5,8 +5,8 @@
    buckets by chunk.
 2. The distinct units of all chunks meet by value and each is folded once: the state is the pieces and the ranks of the
    neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are
-   handled as strings of one character a byte (ISO-8859-1).  Ranks are a literal: an array of small maps, indexed by crc32
-   of the piece, as one large map would be searched from end to end.  Its size is the vocabulary's.
+   handled as strings of one character a byte (ISO-8859-1).  Ranks are one value for all rows: an array of small maps,
+   indexed by crc32 of the piece, as one large map would be searched from end to end.  Its size is the vocabulary's.
 3. Ids go back to the chunks, at most one row for a unit of a chunk, and each chunk's texts are put together from them.
 
 So a word costs one fold for the corpus and one row a chunk, however often it occurs; texts aren't shuffled at all.
@@ -30,7 +30,6 @@ import base64
 import hashlib
 import heapq
 import itertools
-import json
 import uuid
 import zlib
 from collections import Counter
@@ -64,17 +63,19 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map: an array of maps, of which crc32 of the piece picks one."""
+def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank map: an array of maps, of which crc32 of the piece picks one.  A subquery of one stored row, as a plan that holds
+    the map itself is described with it, megabytes each time, and the driver keeps every description."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         key = piece.decode("latin-1")
         maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+    one = pa.array([[list(m.items()) for m in maps]], pa.list_(pa.map_(pa.string(), pa.int32())))
+    return spark.createDataFrame(pa.table({"ranks": one})).scalar()
 
 
-def look_up(literal: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(literal, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
+def look_up(maps: Column, piece: Column) -> Column:
+    return F.try_element_at(F.get(maps, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
 
 def fold(word: Column, rank) -> Column:
@@ -262,7 +263,7 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, pattern
-        self.literal = rank_literal(ranks)
+        self.maps = rank_maps(spark, ranks)
 
     def unit_ids(self, units: DataFrame, unit: str) -> DataFrame:
         """``units`` with ids of its binary column ``unit``; a unit that is a piece itself needs no merges."""
@@ -276,7 +277,8 @@ class Tokenizer:
 
             return _let(F.decode(F.col(unit), "ISO-8859-1"), of)
 
-        return units.select("*", _let(self.literal, ids).alias("ids"))
+        # functions of arrays take no subquery; the optimizer merges both steps, so that no row gets the maps
+        return units.select("*", self.maps.alias("__ranks")).select(*units.columns, _let(F.col("__ranks"), ids).alias("ids"))
 
     def decode(self, texts: DataFrame, ids: str, name: str) -> DataFrame:
         """``texts`` with the binary pieces of the array ``ids`` concatenated; null ids give null."""

@@ -343,6 +343,15 @@ def test_byte_bpe_of_long_words(spark):
     assert all(bytes(r["raw"]).decode() == texts[r["a.b"]] for r in back)
 
 
+def test_rank_map_stays_out_of_plans(spark):
+    """The driver keeps each plan's description: the map of 50,000 ranks isn't in it, nor does any row get the map."""
+    pytest.importorskip("public_tokenizers")
+    units = byte_bpe.production(spark).unit_ids(spark.createDataFrame([(b"abcd" * 9,), (b"x",)], "unit binary").distinct(), "unit")
+    assert len(units.collect()) == 2
+    plan = units._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000 and "__ranks" not in plan.optimizedPlan().toString()
+
+
 def test_byte_bpe_carries_columns(spark):
     pytest.importorskip("public_tokenizers")
     docs = spark.createDataFrame([(1, "a b", [1, 2], {"k": 1.5}, 7, "x"), (None, None, None, None, None, None)], "doc_id bigint, text string, codes array<int>, units map<string,double>, N_Tokens int, `a.b` string")
