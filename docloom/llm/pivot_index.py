@@ -7,7 +7,8 @@
    them counts in the first.  Files stay with their task while queries stream by; nothing is rebuilt for a query.
 4. Rows rank by the footrule distance of the prefixes, which is a constant less twice the sum over shared pivots of (PREFIX -
    the later of the two places).  Those at least as near as the ``SHARE`` nearest of a bounded sample of the rows would be
-   are reranked by the inner product in double precision.  A task returns ``k`` rows a query at most; a window takes the best.
+   are reranked by the inner product in double precision.  A task returns ``k`` rows a query at most, and only those that
+   score as high as the query's k-th best row of the sample, of those that the query's files show it; a window takes the best.
 
 Pivots: a sixteenth of the rows, 16 to ``PIVOTS``.  The sample that a query's bound comes from has ``SAMPLE`` rows at most;
 the share is ``LEAST * k`` rows at least, and ``LEAST_READ`` files are read at least.
@@ -73,16 +74,32 @@ class File:
         self.pivot, self.ids, self.x, self.pivots = pivot, ids, x, pivots
         self.heads, self.near = order[:, :COPIES], nearness(order, pivots)
 
-    def search(self, q: np.ndarray, order: np.ndarray, read: int, me: int, bound: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best rows that this file is the first to show to the query."""
+    def search(self, q: np.ndarray, order: np.ndarray, read: int, me: int, bound: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows that this file is the first to show to the query, without scores under ``floor``."""
         place = np.full(self.pivots, read, np.int64)
         place[order[:read]] = np.arange(read)
         fresh = place[self.heads].min(1) == place[self.pivot]
         rows = np.flatnonzero(fresh & (agreement(order[:PREFIX], self.near) >= bound) & (self.ids != me))
-        if len(rows) > k:
-            rounded = np.round(self.x[rows] @ q, 12)  # a product may differ in its last bit between equal vectors
-            rows = rows[rounded >= np.partition(rounded, len(rows) - k)[len(rows) - k]]
-        return self.ids[rows], (self.x[rows] * q).sum(1)
+        if len(rows):
+            rough = self.x[rows] @ q  # may differ in its last bits between equal vectors
+            least = max(floor, np.partition(rough, len(rows) - k)[len(rows) - k] if len(rows) > k else floor)
+            rows = rows[rough >= least - slack(self.x[rows], q)]
+        score = (self.x[rows] * q).sum(1)
+        best = np.lexsort((self.ids[rows], -score))[:k]
+        return self.ids[rows[best]], score[best]
+
+
+def slack(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """More than rounding can change in the products of the rows with ``q``."""
+    return 1e-12 * (np.abs(x) @ np.abs(q))
+
+
+def floor_of(q: np.ndarray, sample: np.ndarray, shown: np.ndarray, k: int) -> float:
+    """A score that k of the rows of the sample that the query is shown reach: none below is among the k best."""
+    if len(rows := np.flatnonzero(shown)) < k:
+        return -np.inf
+    lower = sample[rows] @ q - slack(sample[rows], q)
+    return float(np.partition(lower, len(rows) - k)[len(rows) - k])
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -95,31 +112,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         return spark.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
     size, n = commonest
     rows = rows.where(F.size("x") == size)
-    sample = np.array([r["x"] for r in rows.orderBy(sample_order(F.col("id")), "id").limit(SAMPLE).collect()])
+    taken = rows.orderBy(sample_order(F.col("id")), "id").limit(SAMPLE).collect()
+    named, sample = np.array([r["id"] for r in taken], np.int64), np.array([r["x"] for r in taken])
     pivots = sample[: min(len(sample), max(16, min(PIVOTS, n // 16)))]
     count, length, read = len(pivots), min(PREFIX, len(pivots)), min(len(pivots), max(LEAST_READ, int(np.ceil(READ * len(pivots)))))
     share = min(1.0, max(SHARE, LEAST * k / n))
     wide = max(length, read)
+    # the sample's own rows are filed by these orders, so that all tasks know alike which of them a query is shown
+    orders, at_id = order_of(sample, pivots, wide), {int(v): i for i, v in enumerate(named)}
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row once for every file it is in, and each query once for every file it reads."""
-        known = nearness(order_of(sample, pivots, length), count)
+        known, heads = nearness(orders[:, :length], count), orders[:, :COPIES]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, size)
                 order, ids, asks = order_of(x, pivots, wide), part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+                for i, v in enumerate(ids.tolist()):
+                    if v in at_id:
+                        order[i] = orders[at_id[v]]
                 ask = np.flatnonzero(asks)
-                bound = np.array([int(np.sort(agreement(order[i, :length], known))[-max(1, int(np.ceil(share * len(sample))))]) for i in ask], np.int32)
+                bound, floor = np.zeros(len(ask), np.int32), np.zeros(len(ask))
+                for j, i in enumerate(ask):
+                    near = agreement(order[i, :length], known)
+                    bound[j] = np.sort(near)[-max(1, int(np.ceil(share * len(sample))))]
+                    reads = np.isin(np.arange(count), order[i, :read])
+                    floor[j] = floor_of(x[i], sample, (near >= bound[j]) & reads[heads].any(1) & (named != ids[i]), k)
                 raw, prefix = ([r.tobytes() for r in a] for a in (x, order))
-                for who, files, bounds in ((np.arange(part.num_rows), order[:, :COPIES], np.full(part.num_rows, -1, np.int32)), (ask, order[ask, :read], bound)):
+                every = np.arange(part.num_rows)
+                for who, files, bounds, floors in ((every, order[:, :COPIES], np.full(len(every), -1, np.int32), np.zeros(len(every))), (ask, order[ask, :read], bound, floor)):
                     each = np.repeat(who, files.shape[1])
-                    columns = [pa.array(files.ravel().astype(np.int32)), pa.array(np.repeat(bounds, files.shape[1])), pa.array(ids[each])]
-                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([v[i] for i in each], pa.binary()) for v in (raw, prefix)]], names=["file", "bound", "id", "x", "prefix"])
+                    columns = [pa.array(files.ravel().astype(np.int32)), *[pa.array(np.repeat(v, files.shape[1])) for v in (bounds, floors)], pa.array(ids[each])]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array([v[i] for i in each], pa.binary()) for v in (raw, prefix)]], names=["file", "bound", "floor", "id", "x", "prefix"])
 
     asks = is_query if isinstance(is_query, Column) else F.expr(is_query)
     marked = rows.withColumn(key, F.col("id")).select("id", "x", F.coalesce(asks, F.lit(False)).alias("asks"))
-    posts = marked.mapInArrow(posted, "file int, bound int, id bigint, x binary, prefix binary")
+    posts = marked.mapInArrow(posted, "file int, bound int, floor double, id bigint, x binary, prefix binary")
     # slices of a file by its length, known within a few percent from the sample; at most PIVOTS entries
     lengths = np.bincount(order_of(sample, pivots, COPIES).ravel(), minlength=count) * (n / len(sample))
     slices = F.get(F.array(*[F.lit(int(np.ceil((v + n / len(sample)) / SLICE))) for v in lengths]), F.col("file"))
@@ -140,9 +169,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         now, rows, opened = None, [], None
         for batch in batches:
             names = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("file", "slice")], 1)
-            bounds, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            x = np.frombuffer(utf8(batch.column(3))[1].tobytes(), np.float64).reshape(-1, size)
-            order = np.frombuffer(utf8(batch.column(4))[1].tobytes(), np.uint16).reshape(-1, wide)
+            bounds, floors, ids = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            x = np.frombuffer(utf8(batch.column(4))[1].tobytes(), np.float64).reshape(-1, size)
+            order = np.frombuffer(utf8(batch.column(5))[1].tobytes(), np.uint16).reshape(-1, wide)
             edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)] if len(names) else [0]
             for a, z in zip(edges, edges[1:]):
                 if (name := tuple(names[a].tolist())) != now:
@@ -153,7 +182,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                 if own < z and rows:
                     opened = opened or File(now[0], *(np.concatenate(c) for c in zip(*rows, strict=True)), count)
                     for i in range(own, z):
-                        what, score = opened.search(x[i], order[i], read, int(ids[i]), int(bounds[i]), k)
+                        what, score = opened.search(x[i], order[i], read, int(ids[i]), int(bounds[i]), float(floors[i]), k)
                         found.append((np.full(len(what), ids[i]), what, score))
                         held += len(what)
                         if held >= HELD:

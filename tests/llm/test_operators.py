@@ -468,6 +468,32 @@ def test_pivot_files_hold_every_row_and_are_read_once(spark):
     assert right >= 0.9 * 20 * len(found)
 
 
+def test_pivot_tasks_return_little_of_many_copies(spark):
+    """One vector in a third of the rows, large numbers: copies go by vec_id, and tasks send little more than the k best."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 12)) * 1e6
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in pivot_index.nearest(df, F.col("vec_id") % 30 == 0, 20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(found) == list(range(0, 3000, 30))
+    copies = [i for i in range(3000) if i % 3 == 0]
+    for q, got in found.items():
+        assert [v for _, v in sorted(got)][:20] == [i for i in copies if i != q][:20]
+    ids = np.arange(40)
+    order = pivot_index.order_of(x[::3][:40], x[:16], 16)
+    file = pivot_index.File(int(order[0, 0]), ids, x[::3][:40], order, 16)
+    what, score = file.search(x[0], order[0], 16, 7, -1, -np.inf, 20)
+    assert what.tolist() == [i for i in range(21) if i != 7] and len(set(score)) == 1
+    assert len(file.search(x[0], order[0], 16, 7, -1, 2 * float(score[0]), 20)[0]) == 0
+    shown = np.arange(3000) % 3 > 0
+    exact = sorted((x[shown] * x[0]).sum(1))[-20]
+    floor = pivot_index.floor_of(x[0], x, shown, 20)
+    assert floor <= exact and floor > exact - 1e-6 * abs(exact)
+    assert pivot_index.floor_of(x[0], x[:19], np.ones(19, bool), 20) == -np.inf
+
+
 def test_pivot_index(spark, small):
     rng_rows = {v: np.array([np.float32(x) for x in np.random.default_rng(v % 290).normal(size=16)], np.float64) for v in range(300)}
     out = rows(spark, small, "op7_pivot_index")
