@@ -3,13 +3,16 @@
 1. Texts are cut once, by the tokenizer's pattern, in Arrow batches.  A text becomes the codes of its units (words, see
    below); about ``CHUNK`` bytes of text share one list of distinct units.  Both are written to the shared folder, in
    buckets by chunk.
-2. The distinct units of all chunks meet by value and each is folded once: the state is the pieces and the ranks of the
-   neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair has a rank.  Bytes are
-   handled as strings of one character a byte (ISO-8859-1).  Ranks are one value for all rows: an array of small maps,
-   indexed by crc32 of the piece, as one large map would be searched from end to end.  Its size is the vocabulary's.
-3. Ids go back to the chunks, at most one row for a unit of a chunk, and each chunk's texts are put together from them.
-
-So a word costs one fold for the corpus and one row a chunk, however often it occurs; texts aren't shuffled at all.
+2. The distinct units of all chunks meet by crc32, a bucket of them at a time, and each is folded once: the state is the
+   pieces and the ranks of the neighbouring pairs, and a step merges the leftmost pair of the lowest rank, until no pair
+   has a rank.  Bytes are handled as strings of one character a byte (ISO-8859-1).  Ranks are one value for all rows: an
+   array of small maps, indexed by crc32 of the piece, as one large map would be searched from end to end.  Its size is
+   the vocabulary's.
+3. Ids go back to the chunks, and each chunk's texts are put together from them.
+
+So a word costs one fold for the corpus and one entry a chunk, however often it occurs; texts aren't shuffled at all.
+Both ways, the entries that a chunk and a bucket share are one value of packed numbers and bytes, as a row each would take
+several times their size.  Buckets grow in number with the entries, so that one holds about ``MEET`` of them at most.
 Words that are pieces need no fold; neither do the ``hot`` most frequent units of a bounded sample of documents, which are
 folded beforehand and broadcast.  That saves rows and changes no result: every other unit goes the way above.  Codes are
 small for frequent units, and their bytes are stored plane by plane, which compresses.
@@ -41,14 +44,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import release, shared_dir, table, tidy, utf8
 
 LONGEST = 256
 BUCKETS = 1 << 16
 CHUNK, HELD = 32 << 20, 4 << 20
-#: Bits of a unit's place in its chunk; a chunk of CHUNK bytes, or of one longer text, has fewer units than 2**PLACES.
-PLACES = 26
+#: Entries of a bucket, about; up to BLOBS buckets they may be fewer, for the sake of parallel tasks.
+MEET, BLOBS = 1 << 18, 1 << 12
 #: Texts of more characters are cut a block of words at a time.
 BLOCK = 1 << 20
 
@@ -266,7 +270,8 @@ class Tokenizer:
         self.maps = rank_maps(spark, ranks)
 
     def unit_ids(self, units: DataFrame, unit: str) -> DataFrame:
-        """``units`` with ids of its binary column ``unit``; a unit that is a piece itself needs no merges."""
+        """``units`` with ids of its column ``unit``, binary or an array of such; a unit that is a piece itself needs no merges."""
+        many = isinstance(units.schema[unit].dataType, ArrayType)
 
         def ids(ranks: Column) -> Column:
             def rank(piece: Column) -> Column:
@@ -275,7 +280,10 @@ class Tokenizer:
             def of(raw: Column) -> Column:
                 return _let(rank(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(raw, rank)))
 
-            return _let(F.decode(F.col(unit), "ISO-8859-1"), of)
+            def one(value: Column) -> Column:
+                return _let(F.decode(value, "ISO-8859-1"), of)
+
+            return F.transform(unit, one) if many else one(F.col(unit))
 
         # functions of arrays take no subquery; the optimizer merges both steps, so that no row gets the maps
         return units.select("*", self.maps.alias("__ranks")).select(*units.columns, _let(F.col("__ranks"), ids).alias("ids"))
@@ -315,7 +323,7 @@ class Tokenizer:
 
 def _runs(lengths: np.ndarray) -> np.ndarray:
     """Where runs of these lengths begin, with the end."""
-    return np.concatenate([[0], np.cumsum(lengths)])
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 def _cut(raw: bytes, at: np.ndarray) -> list[bytes]:
@@ -323,6 +331,79 @@ def _cut(raw: bytes, at: np.ndarray) -> list[bytes]:
     return [raw[a:z] for a, z in zip(at, at[1:])]
 
 
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """Numbers of 32 bits plane by plane: all their lowest bytes, all second ones, and so on."""
+    return [p.tobytes() for p in numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+
+
+def _numbers(planes: Iterable[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8) for p in planes], 1).view("<u4").ravel()
+
+
+def packed(places: np.ndarray, at: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """One value for the entries between each two of ``ends``: their places, their lengths and what they hold, the numbers
+    plane by plane.  Entry i is flat[at[i]:at[i + 1]], numbers or bytes."""
+    heads = [*_planes(places), *_planes(np.diff(at))]
+    bodies = [flat.tobytes()] if flat.itemsize == 1 else _planes(flat)
+    inner, ends = at[ends].tolist(), ends.tolist()
+    return [b"".join([*[p[a:z] for p in heads], *[p[b:y] for p in bodies]]) for a, z, b, y in zip(ends, ends[1:], inner, inner[1:])]
+
+
+def unpacked(values: list[bytes], counts: list[int], wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, at, flat) of the entries of all ``values``, which hold ``counts`` of them; ``wide``: of numbers."""
+    heads = [b"".join([v[i * n : (i + 1) * n] for v, n in zip(values, counts, strict=True)]) for i in range(8)]
+    rest = [v[8 * n :] for v, n in zip(values, counts, strict=True)]
+    if wide:
+        flat = _numbers(b"".join([r[i * (len(r) >> 2) : (i + 1) * (len(r) >> 2)] for r in rest]) for i in range(4))
+    else:
+        flat = np.frombuffer(b"".join(rest), np.uint8)
+    return _numbers(heads[:4]), _runs(_numbers(heads[4:])), flat
+
+
+def deal(buckets: int, parts: int):
+    """For mapInArrow: the entries of each chunk's units, dealt to buckets by crc32 and packed; ``part`` is a bucket's partition."""
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not (n := len(units)):
+                    continue
+                units = units.values
+                bucket = np.fromiter((zlib.crc32(u) for u in units.to_pylist()), np.int64, n) % buckets
+                order = np.argsort(bucket, kind="stable")
+                own, begin = np.unique(bucket[order], return_index=True)
+                ends = np.append(begin, n)
+                values = packed(order, *utf8(units.take(pa.array(order))), ends)
+                columns = [(own % parts, pa.int32()), (own, pa.int64()), ([chunk] * len(own), pa.int64()), (np.diff(ends), pa.int32()), (values, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["part", "bucket", "chunk", "n", "entries"])
+
+    return apply
+
+
+def meet(rows: pa.Table) -> pa.Table:
+    """One row for a bucket: its distinct units, and of all chunks' entries the places and which unit each is."""
+    places, at, flat = unpacked(rows["entries"].to_pylist(), rows["n"].to_pylist(), False)
+    units = pa.BinaryArray.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
+
+    def one(column: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+
+    chunks, counts = (one(rows[k].combine_chunks()) for k in ("chunk", "n"))
+    which = units.indices.to_numpy().astype("<i4").tobytes()
+    return pa.Table.from_arrays([chunks, counts, pa.array([places.tobytes()], pa.binary()), pa.array([which], pa.binary()), one(units.dictionary)], names=["chunks", "counts", "places", "which", "units"])
+
+
+def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of ``meet`` for each chunk, packed, with a unit's ids in its place."""
+    for batch in batches:
+        columns = [batch.column(k) for k in ("chunks", "counts", "places", "which", "ids")]
+        for chunks, counts, places, which, ids in zip(*columns, strict=True):
+            found = ids.values.take(pa.array(np.frombuffer(which.as_buffer(), "<i4")))
+            at, flat = _runs(found.value_lengths().to_numpy()), found.flatten().to_numpy().astype("<u4")
+            values = packed(np.frombuffer(places.as_buffer(), "<u4"), at, flat, _runs(counts.values.to_numpy()))
+            yield pa.RecordBatch.from_arrays([chunks.values, counts.values, pa.array(values, pa.binary())], names=["home", "n", "entries"])
+
+
 class Vocabulary:
     """What a Python worker keeps of the broadcast units: ids and decoded bytes of each known code."""
 
@@ -375,7 +456,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
     release(tokenizer.spark)  # what fits and plans of earlier stages left
     shared = tokenizer.spark.sparkContext.broadcast((ranks, *tokenizer.known_units(docs.select("text"), sample, hot)))
     release(tokenizer.spark)
-    names = [f"__c{i}" for i in range(len(keep))]
+    names, spark = [f"__c{i}" for i in range(len(keep))], tokenizer.spark
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("__text"))
     kept = given.drop("__text")
 
@@ -383,12 +464,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
         ranks, known, _ = shared.value
         cutter = Cutter(ranks, pattern, (u.as_py() for u in known))
         number = TaskContext.get().partitionId() << 18
-        size, columns = 0, [*names, "chunk", *PLANES, "units"]
+        size, columns = 0, [*names, "chunk", *PLANES, "n", "units"]
         types: list[pa.DataType] = []
 
         def units() -> pa.RecordBatch:
             empty = [pa.nulls(1, pa.binary())] * len(PLANES)
-            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), *empty, pa.array([cutter.units()], pa.list_(pa.binary()))]
+            own = cutter.units()
+            out = [*[pa.nulls(1, t) for t in types], pa.array([number], pa.int64()), *empty, pa.array([len(own)], pa.int32()), pa.array([own], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(out, names=columns)
 
         for batch in batches:
@@ -398,11 +480,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
                 planes, begin, most = [], i, min(CHUNK, size + HELD)
                 while i < batch.num_rows and size < most:
                     codes = cutter.cut(texts[i].as_py())
-                    planes.append([p.tobytes() for p in codes.view(np.uint8).reshape(-1, 4).T])
+                    planes.append(_planes(codes))
                     size += 5 * len(codes) + 1  # about the text's bytes
                     i += 1
                 out = [*[batch.column(k).slice(begin, i - begin) for k in range(len(names))], pa.array([number] * (i - begin), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *[pa.array(p, pa.binary()) for p in zip(*planes, strict=True)], pa.nulls(i - begin, pa.list_(pa.binary()))], names=columns)
+                yield pa.RecordBatch.from_arrays([*out, *[pa.array(p, pa.binary()) for p in zip(*planes, strict=True)], pa.nulls(i - begin, pa.int32()), pa.nulls(i - begin, pa.list_(pa.binary()))], names=columns)
                 if size >= CHUNK:
                     yield units()
                     cutter.start()
@@ -411,25 +493,23 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], outputs: Iter
             yield units()
 
     fields = ", ".join([f"`{n}` {t}" for n, t in kept.dtypes] + [""])
-    chunks = _table_of(given.mapInArrow(tidy(cut), fields + "chunk bigint, " + "".join(f"{p} binary, " for p in PLANES) + "units array<binary>"), "bpe", "chunk")
-    # one number for a unit's chunk and its place there; ids in as few bytes as the vocabulary needs
-    wide = 2 if max(ranks.values()) < 1 << 16 else 4
-    entries = chunks.where("units IS NOT NULL").select(F.shiftleft("chunk", PLACES).alias("at"), F.posexplode("units").alias("place", "unit"))
-    entries = entries.select((F.col("at") + F.col("place")).alias("at"), "unit").repartition("unit")
-    folded = tokenizer.unit_ids(entries.select("unit").distinct(), "unit")
-    folded = folded.select("unit", F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("bigint")), 2 * wide, "0")), "")).alias("ids"))
-    found = entries.join(folded, "unit").select(F.shiftright("at", PLACES).alias("home"), (F.col("at") % (1 << PLACES)).cast("int").alias("place"), "ids")
+    chunks = _table_of(given.mapInArrow(tidy(cut), fields + "chunk bigint, " + "".join(f"{p} binary, " for p in PLANES) + "n int, units array<binary>"), "bpe", "chunk")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = chunks.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    dealt = chunks.where("units IS NOT NULL").select("chunk", "units")
+    dealt = dealt.mapInArrow(tidy(deal(max(min(parts, BLOBS), entries // MEET), parts)), "part int, bucket bigint, chunk bigint, n int, entries binary")
+    met = dealt.repartitionById(parts, F.col("part")).groupBy("part", "bucket").applyInArrow(meet, "chunks array<bigint>, counts array<int>, places binary, which binary, units array<binary>")
+    found = tokenizer.unit_ids(met, "units").select("chunks", "counts", "places", "which", "ids").mapInArrow(tidy(send), "home bigint, n int, entries binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         ranks, _, known = shared.value
         vocabulary = Vocabulary.of(name, ranks, known)
-        right = right.sort_by("place").combine_chunks()
-        size, raw = utf8(right["ids"])
-        flat, at = raw.view(f">u{wide}").astype("<u4"), size // wide
-        out_ids, out_text = vocabulary.ids + _cut(flat.tobytes(), 4 * at), vocabulary.texts + vocabulary.decoded(flat, at)
+        places, at, flat = unpacked(right["entries"].to_pylist(), right["n"].to_pylist(), True)
+        order = np.argsort(places).tolist()
+        out_ids, out_text = (known + [own[i] for i in order] for known, own in ((vocabulary.ids, _cut(flat.tobytes(), 4 * at)), (vocabulary.texts, vocabulary.decoded(flat, at))))
         got: dict[str, list] = {k: [] for k in outputs}
         for planes in zip(*(left[p] for p in PLANES), strict=True):
-            codes = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in planes], 1).view("<u4").ravel().tolist()
+            codes = _numbers(p.as_buffer() for p in planes).tolist()
             ids = b"".join([out_ids[c] for c in codes])
             for k, column in got.items():
                 if k == "n_tokens":
